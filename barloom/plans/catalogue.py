@@ -9,6 +9,7 @@ from barloom.plans.registry import REGISTRY, Query
 MODULES = [
     "factor_queries",
     "cleaning_queries",
+    "quality_queries",
 ]
 
 
