@@ -102,6 +102,8 @@ def count_where(predicate: Column) -> Column:
     return F.count_if(null_safe(predicate))
 
 
-def greatest_rate(left: Column, right: Column) -> Column:
-    """left / right with NULL on a zero denominator."""
-    return F.try_divide(left, right)
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs; NULL, not an error, when one side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.guards import date_range, require_columns
 from barloom.functions.ranks import average_rank
-from barloom.functions.scalars import board_of, sentiment_class
+from barloom.functions.scalars import board_of, safe_corr, sentiment_class
 from barloom.functions.windows import lag
 
 # The factors whose daily information coefficient is published.
@@ -105,7 +105,7 @@ def factor_ic(panel: DataFrame, factors: Sequence[str] = IC_FACTORS) -> DataFram
     value_rank, label_rank = F.when(ok, F.col("value_rank")), F.when(ok, F.col("label_rank"))
     daily = ranked.groupBy("date", "factor_name").agg(
         F.count_if(ok).alias("sample_count"),
-        F.corr(value_rank, label_rank).alias("ic"),
+        safe_corr(value_rank, label_rank).alias("ic"),
         (F.min(value_rank) < F.max(value_rank)).alias("_value_varies"),
         (F.min(label_rank) < F.max(label_rank)).alias("_label_varies"),
     )
@@ -147,7 +147,7 @@ def factor_corr(panel: DataFrame, factors: Sequence[str], by: Sequence[str] = ()
     """
     factors = list(factors)[:10]
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
-    wide = panel.groupBy(*by).agg(*[F.corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
+    wide = panel.groupBy(*by).agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     entries = [
         F.struct(F.lit(x).alias("factor_x"), F.lit(y).alias("factor_y"), F.col(f"`{a}|{b}`").alias("correlation"))
         for a, b in pairs

@@ -10,6 +10,7 @@ MODULES = [
     "factor_queries",
     "cleaning_queries",
     "quality_queries",
+    "crosssection_queries",
 ]
 
 
