@@ -11,6 +11,7 @@ MODULES = [
     "cleaning_queries",
     "quality_queries",
     "crosssection_queries",
+    "serving_queries",
 ]
 
 
