@@ -12,6 +12,7 @@ MODULES = [
     "quality_queries",
     "crosssection_queries",
     "serving_queries",
+    "learning_queries",
 ]
 
 
