@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.ranks import bucketed_counts
 from barloom.functions.scalars import safe_corr
 from barloom.functions.windows import history
+from barloom.session import materialise
 
 # Candidate features, sentiment features, and sources counted as verified.
 CLASSIC_FEATURES = [
@@ -168,7 +169,10 @@ def _features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def train_direction(
     train: DataFrame, features: Sequence[str], iterations: int = 200, depth: int = 4, step: float = 0.05, seed: int = 42
 ) -> Model:
-    """Boosted trees for the direction of the next day, positives weighted by class balance."""
+    """Boosted trees for the direction of the next day, positives weighted by class balance.
+
+    Boosting reads its input once per round, so the rows are written out first.
+    """
     weight = class_weight(train).select("weight").scalar()
     rows = _features(train, features).withColumns(
         {
@@ -180,7 +184,7 @@ def train_direction(
         featuresCol="features", labelCol="direction", weightCol="weight", maxIter=iterations, maxDepth=depth,
         stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
     )
-    return learner.fit(rows.select("features", "direction", "weight"))
+    return learner.fit(materialise(rows.select("features", "direction", "weight"), "direction"))
 
 
 def predict_direction(model: Model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -195,7 +199,7 @@ def train_return(
     train: DataFrame, features: Sequence[str], iterations: int = 500, depth: int = 5, step: float = 0.015, seed: int = 42
 ) -> tuple[Model, Model]:
     """Boosted regression of the next return and a linear baseline."""
-    rows = _features(train.where(F.col("label").isNotNull()), features).select("features", "label")
+    rows = materialise(_features(train.where(F.col("label").isNotNull()), features).select("features", "label"), "return")
     boosted = GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=step,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,

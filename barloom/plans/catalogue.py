@@ -13,6 +13,8 @@ MODULES = [
     "crosssection_queries",
     "serving_queries",
     "learning_queries",
+    "strategy_queries",
+    "source_queries",
 ]
 
 

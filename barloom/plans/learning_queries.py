@@ -8,6 +8,7 @@ from barloom.operators import learning as ln
 from barloom.plans.oracle import HIST
 from barloom.plans.panels import long_panel
 from barloom.plans.registry import query
+from barloom.session import materialise
 
 FEATURES = ["ret_5d", "ma5_ma10_diff", "rsi", "macd", "volatility_20d", "bb_position", "volume_ratio", "amount_ratio"]
 READY = "(SELECT * FROM bars_ready WHERE label IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES) + ") AS ready"
@@ -131,7 +132,8 @@ ROUNDS = 5
 
 
 def _trained(spark, sf):
-    splits = ln.time_split_purged(frame(spark, sf)).select("code", "date", "close", "label", "split", *FEATURES)
+    rows = materialise(frame(spark, sf).select("code", "date", "close", "label", *FEATURES), "frame")
+    splits = ln.time_split_purged(rows)
     train = splits.where(F.col("split") == "train")
     return ln.train_direction(train, FEATURES, iterations=ROUNDS), splits
 
@@ -150,14 +152,15 @@ def feature_importance_topk(spark, sf):
 
 @query("score_holdout", "date code close:4 predicted:6 actual:6 implied_close:4")
 def score_holdout(spark, sf):
-    model, _ = _trained(spark, sf)
-    return ln.score_holdout(model, frame(spark, sf), FEATURES)
+    model, rows = _trained(spark, sf)
+    return ln.score_holdout(model, rows, FEATURES)
 
 
 @query("train_return", "split_id period n mse:6 r2:6 accuracy:6 ic:6 win_rate:6 baseline_mse:6 baseline_r2:6")
 def train_return(spark, sf):
-    panel = ln.rolling_year_splits(long_panel(spark, sf).select("code", "date", "label", *FEATURES))
-    windows = ln.year_windows(panel).select("split_id", "period").distinct().orderBy("split_id").collect()
+    panel = ln.rolling_year_splits(materialise(long_panel(spark, sf).select("code", "date", "label", *FEATURES), "panel"))
+    # One row per window of years; each window is a training run of its own.
+    windows = panel.select("split_id", "period").distinct().orderBy("split_id").collect()
     out = None
     for window in windows:
         rows = ln.standardise_on_train(panel.where(F.col("split_id") == window["split_id"]), FEATURES)

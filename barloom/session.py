@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,3 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder, for one written table."""
     return f"{shared_dir(spark)}/{name}-{os.urandom(6).hex()}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once to the shared folder and read it back.
+
+    For iterative work and plans with several consumers: the lineage is cut at
+    files every executor can reach, so a lost executor costs a re-read and not
+    a recomputation of everything before it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
