@@ -124,6 +124,8 @@ VIEWS: dict[str, str] = {
             row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity,
                 l_discount, l_tax, l_returnflag, l_linestatus) AS seq
         FROM (SELECT *, l_extendedprice / nullif(l_quantity, 0) AS price FROM lineitem) AS priced""",
+    "evmkt": "SELECT * REPLACE (100 + open / 10 AS open, 100 + close / 10 AS close) FROM evbars",
+    "ltmkt": "SELECT * REPLACE (100 + open / 1000 AS open, 100 + close / 1000 AS close) FROM bars",
     **factors_from("bars"),
     **factors_from("evbars"),
 }

@@ -15,9 +15,19 @@ N = 10
 SCENARIOS = [st.scenario("base", N), st.scenario("cheap", 5, commission=0.0, stamp=0.0, slippage=0.0)]
 
 
-def _fixture(spark, sf, bars=bars_short):
+def short_market(spark, sf):
+    """Event bars with prices squeezed to moves of a few percent, so that compounding stays in range."""
+    return bars_short(spark, sf).withColumns({c: 100 + F.col(c) / 10 for c in ("open", "close")})
+
+
+def long_market(spark, sf):
+    """Line-item bars squeezed alike; names trade on a fifth of the days, so orders get blocked."""
+    return bars_long(spark, sf).withColumns({c: 100 + F.col(c) / 1000 for c in ("open", "close")})
+
+
+def _fixture(spark, sf, source=short_market):
     """Market, usable signals (yesterday's return as the score) and targets."""
-    market = bars(spark, sf)
+    market = source(spark, sf)
     predictions = (
         market.withColumn("predicted", pct_change("close"))
         .where(F.col("predicted").isNotNull())
@@ -46,19 +56,19 @@ def _views(bars: str) -> str:
 @query(
     "bt_signals",
     "date code predicted:5 execution_date",
-    f"WITH {_views('bars')} SELECT date, code, predicted, execution_date FROM sig",
+    f"WITH {_views('ltmkt')} SELECT date, code, predicted, execution_date FROM sig",
 )
 def bt_signals(spark, sf):
-    return _fixture(spark, sf, bars_long)[1]
+    return _fixture(spark, sf, long_market)[1]
 
 
 @query(
     "bt_targets",
     "scenario date execution_date code position weight:6",
-    f"WITH {_views('bars')} SELECT scenario, date, execution_date, code, position, weight FROM tgt",
+    f"WITH {_views('ltmkt')} SELECT scenario, date, execution_date, code, position, weight FROM tgt",
 )
 def bt_targets(spark, sf):
-    return _fixture(spark, sf, bars_long)[2]
+    return _fixture(spark, sf, long_market)[2]
 
 
 def _bars_sql(bars: str) -> str:
@@ -78,7 +88,7 @@ def _bars_sql(bars: str) -> str:
 @query(
     "bt_execution_bars",
     "scenario date trading code rank open:4 volume buy_block sell_block",
-    _bars_sql("evbars"),
+    _bars_sql("evmkt"),
 )
 def bt_execution_bars(spark, sf):
     market, usable, chosen = _fixture(spark, sf)
@@ -88,10 +98,10 @@ def bt_execution_bars(spark, sf):
 @query(
     "bt_execution_bars_sparse",
     "scenario date n blocked",
-    f"SELECT scenario, date, count(*) AS n, count(sell_block) AS blocked FROM ({_bars_sql('bars')}) AS b GROUP BY scenario, date",
+    f"SELECT scenario, date, count(*) AS n, count(sell_block) AS blocked FROM ({_bars_sql('ltmkt')}) AS b GROUP BY scenario, date",
 )
 def bt_execution_bars_sparse(spark, sf):
-    market, usable, chosen = _fixture(spark, sf, bars_long)
+    market, usable, chosen = _fixture(spark, sf, long_market)
     bars = st.execution_bars(chosen, usable, market)
     return bars.groupBy("scenario", "date").agg(F.count(F.lit(1)).alias("n"), F.count("sell_block").alias("blocked"))
 
@@ -100,7 +110,7 @@ def bt_execution_bars_sparse(spark, sf):
 FLAGS_SQL = """
     SELECT *, CASE WHEN code LIKE '%4' THEN volume < 2 END AS is_suspended, CASE WHEN code LIKE '%5' THEN volume > 1 END AS can_buy,
         CASE WHEN code LIKE '%6' THEN close * 1.1 END AS limit_up, CASE WHEN code LIKE '%6' THEN close * 0.9 END AS limit_down,
-        CASE WHEN code LIKE '%7' THEN NULL WHEN code LIKE '%8' THEN volume - 1 ELSE volume END AS v2 FROM evbars"""
+        CASE WHEN code LIKE '%7' THEN NULL WHEN code LIKE '%8' THEN volume - 1 ELSE volume END AS v2 FROM evmkt"""
 
 
 @query(
@@ -115,7 +125,7 @@ FLAGS_SQL = """
 )
 def bt_block_reason(spark, sf):
     ends = lambda d: F.col("code").endswith(d)
-    market = bars_short(spark, sf).withColumns(
+    market = short_market(spark, sf).withColumns(
         {
             "is_suspended": F.when(ends("4"), F.col("volume") < 2),
             "can_buy": F.when(ends("5"), F.col("volume") > 1),
@@ -130,7 +140,7 @@ def bt_block_reason(spark, sf):
     )
 
 
-TURNOVER_CTE = f"""{_views('evbars')},
+TURNOVER_CTE = f"""{_views('evmkt')},
     reb AS (SELECT scenario, execution_date, lead(execution_date) OVER (PARTITION BY scenario ORDER BY execution_date) AS nxt
         FROM (SELECT DISTINCT scenario, execution_date FROM tgt) AS a),
     moved AS (SELECT coalesce(n.scenario, o.scenario) AS scenario, coalesce(n.execution_date, o.nxt) AS execution_date,
@@ -142,7 +152,7 @@ TURNOVER_CTE = f"""{_views('evbars')},
 RETURNS_CTE = f"""{TURNOVER_CTE},
     mv AS (SELECT m.code, m.date AS execution_date, CASE WHEN m.nd = c.next_date THEN m.no / m.open - 1 END AS move FROM (
         SELECT code, date, open, lead(date) OVER (PARTITION BY code ORDER BY date) AS nd, lead(open) OVER (PARTITION BY code ORDER BY date)
-        AS no FROM evbars WHERE open > 0) AS m JOIN cal AS c USING (date)),
+        AS no FROM evmkt WHERE open > 0) AS m JOIN cal AS c USING (date)),
     gross AS (SELECT t.scenario, t.execution_date, sum(t.weight * coalesce(mv.move, 0)) AS gross_return, count(*) AS names
         FROM tgt AS t LEFT JOIN mv ON mv.code = t.code AND mv.execution_date = t.execution_date GROUP BY ALL),
     cost(scenario, commission, stamp, slippage) AS (VALUES ('base', 0.0003::DOUBLE, 0.0005::DOUBLE, 0.001::DOUBLE), ('cheap', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE)),
@@ -171,7 +181,7 @@ def bt_weight_returns(spark, sf):
 
 
 BENCHMARK_CTE = """bm AS (SELECT d.date, b.open / first_value(b.open) OVER (ORDER BY d.date) AS benchmark_cumulative FROM days AS d
-    JOIN (SELECT date, sum(open * volume) / sum(volume) AS open FROM evbars GROUP BY date) AS b ON b.date = d.date)"""
+    JOIN (SELECT date, sum(open * volume) / sum(volume) AS open FROM evmkt GROUP BY date) AS b ON b.date = d.date)"""
 
 
 def index_open(market):
@@ -181,7 +191,7 @@ def index_open(market):
 @query(
     "bt_benchmark",
     "date benchmark_cumulative:6 benchmark_name",
-    f"WITH {_views('evbars')}, {BENCHMARK_CTE} SELECT *, 'index' AS benchmark_name FROM bm",
+    f"WITH {_views('evmkt')}, {BENCHMARK_CTE} SELECT *, 'index' AS benchmark_name FROM bm",
 )
 def bt_benchmark(spark, sf):
     market, usable, _ = _fixture(spark, sf)
@@ -191,9 +201,9 @@ def bt_benchmark(spark, sf):
 @query(
     "bt_benchmark_universe",
     "date log_benchmark:5 benchmark_name",
-    f"""WITH {_views('evbars')} SELECT date, ln(product(1 + c) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    f"""WITH {_views('evmkt')} SELECT date, ln(product(1 + c) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         AS log_benchmark, 'equal weight' AS benchmark_name FROM (SELECT date, coalesce(avg(c), 0) AS c FROM (SELECT b.date,
-        b.open / nullif(lag(b.open) OVER (PARTITION BY b.code ORDER BY b.date), 0) - 1 AS c FROM evbars AS b JOIN days AS d USING (date)
+        b.open / nullif(lag(b.open) OVER (PARTITION BY b.code ORDER BY b.date), 0) - 1 AS c FROM evmkt AS b JOIN days AS d USING (date)
         WHERE b.code IN (SELECT code FROM sig)) AS a GROUP BY date) AS z""",
 )
 def bt_benchmark_universe(spark, sf):
@@ -209,7 +219,7 @@ NAV_CTE = f"""{RETURNS_CTE}, {BENCHMARK_CTE},
         AND CURRENT ROW)) AS top, max(cumulative_return) OVER (PARTITION BY scenario ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING
         AND CURRENT ROW) AS own_top FROM nav),
     ords AS (SELECT t.scenario, count(*) FILTER (b.open > 0) AS filled_order_count, count(*) FILTER (NOT coalesce(b.open > 0, false))
-        AS blocked_order_count FROM tgt AS t LEFT JOIN evbars AS b ON b.code = t.code AND b.date = t.execution_date GROUP BY t.scenario)"""
+        AS blocked_order_count FROM tgt AS t LEFT JOIN evmkt AS b ON b.code = t.code AND b.date = t.execution_date GROUP BY t.scenario)"""
 
 
 def _approximate(spark, sf):
@@ -258,7 +268,7 @@ def trading_gap_compare(spark, sf):
 @query(
     "holdings_slice",
     "date code predicted:4",
-    f"WITH {_views('evbars')} SELECT date, code, predicted FROM tgt WHERE scenario = 'base' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
+    f"WITH {_views('evmkt')} SELECT date, code, predicted FROM tgt WHERE scenario = 'base' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
 )
 def holdings_slice(spark, sf):
     chosen = _fixture(spark, sf)[2].where(F.col("scenario") == "base")
@@ -269,7 +279,7 @@ def holdings_slice(spark, sf):
 
 
 def _book(spark, sf):
-    market, usable, chosen = _fixture(spark, sf, bars_long)
+    market, usable, chosen = _fixture(spark, sf, long_market)
     bars = materialise(st.execution_bars(chosen, usable, market), "execution")
     return st.ledger(bars, usable, market, st.scenario_frame(spark, SCENARIOS))
 
