@@ -8,7 +8,9 @@ NULL until a window is full.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.guards import require_columns
@@ -20,7 +22,6 @@ from barloom.functions.windows import (
     rolling_mean,
     rolling_std,
     rolling_sum,
-    rows,
     running_product,
     so_far,
 )
@@ -31,37 +32,64 @@ STRICT_REQUIRED = ["close", "label", "ma20", "volatility_20d", "rsi", "macd", "v
 EPSILON = 1e-10
 
 
-def returns() -> dict[str, Column]:
-    return {"ret": pct_change("close"), "ret_5d": pct_change("close", 5), "ret_10d": pct_change("close", 10)}
+@dataclass(frozen=True)
+class Family:
+    """A factor family: window columns, then columns computed from them.
+
+    Window results are named before they are used, since Spark evaluates every
+    occurrence of a window expression. Names starting with ``_`` are dropped.
+    """
+
+    windows: dict[str, Column]
+    derived: dict[str, Column] = field(default_factory=dict)
+
 
+def apply(df: DataFrame, *families: Family) -> DataFrame:
+    """All windows of the families in one pass over the (code, date) order, then one projection."""
+    windows = {name: value for family in families for name, value in family.windows.items()}
+    derived = {name: value for family in families for name, value in family.derived.items()}
+    df = df.withColumns(windows)
+    df = df.withColumns(derived) if derived else df
+    return df.drop(*[name for name in windows if name.startswith("_")])
 
-def moving_averages(strict: bool = False) -> dict[str, Column]:
-    return {f"ma{n}": rolling_mean("close", n, strict) for n in (5, 10, 20, 60)}
+
+def returns() -> Family:
+    lags = {"ret": 1, "ret_5d": 5, "ret_10d": 10}
+    return Family(
+        {f"_close_{n}": lag("close", n) for n in lags.values()},
+        {name: F.try_divide(F.col("close"), F.col(f"_close_{n}")) - 1 for name, n in lags.items()},
+    )
 
 
-def ma_differences() -> dict[str, Column]:
-    return {"ma5_ma10_diff": F.col("ma5") - F.col("ma10"), "ma5_ma20_diff": F.col("ma5") - F.col("ma20")}
+def moving_averages(strict: bool = False) -> Family:
+    return Family(
+        {f"ma{n}": rolling_mean("close", n, strict) for n in (5, 10, 20, 60)},
+        {"ma5_ma10_diff": F.col("ma5") - F.col("ma10"), "ma5_ma20_diff": F.col("ma5") - F.col("ma20")},
+    )
 
 
-def volatility(strict: bool = False) -> dict[str, Column]:
-    return {f"volatility_{n}d": rolling_std("ret", n, strict) for n in (20, 60)}
+def volatility(strict: bool = False) -> Family:
+    """Needs ``ret``."""
+    return Family({f"volatility_{n}d": rolling_std("ret", n, strict) for n in (20, 60)})
 
 
-def price_moves() -> dict[str, Column]:
+def price_moves() -> Family:
     """Gain and loss of a day; the first day has neither, and counts as zero."""
-    delta = F.col("close") - lag("close")
-    return {
-        "gain": F.when(delta > 0, delta).otherwise(0.0),
-        "loss": F.when(delta < 0, -delta).otherwise(0.0),
-    }
+    delta = F.col("close") - F.col("_close_1")
+    return Family(
+        {"_close_1": lag("close")},
+        {"gain": F.when(delta > 0, delta).otherwise(0.0), "loss": F.when(delta < 0, -delta).otherwise(0.0)},
+    )
 
 
-def rsi(strict: bool = False) -> Column:
-    gain, loss = rolling_mean("gain", 14, strict), rolling_mean("loss", 14, strict)
-    if not strict:
-        return 100 - 100 / (1 + gain / (loss + EPSILON))
-    # loss 0 with gains is 100, with no gains undefined: both follow from gain / (gain + loss).
-    return 100 * F.try_divide(gain, gain + loss)
+def rsi(strict: bool = False) -> Family:
+    """Needs ``gain`` and ``loss``."""
+    gain, loss = F.col("_gain"), F.col("_loss")
+    windows = {"_gain": rolling_mean("gain", 14, strict), "_loss": rolling_mean("loss", 14, strict)}
+    if strict:
+        # loss 0 with gains is 100, with no gains undefined: both follow from gain / (gain + loss).
+        return Family(windows, {"rsi": 100 * F.try_divide(gain, gain + loss)})
+    return Family(windows, {"rsi": 100 - 100 / (1 + gain / (loss + EPSILON))})
 
 
 def macd(df: DataFrame) -> DataFrame:
@@ -72,65 +100,68 @@ def macd(df: DataFrame) -> DataFrame:
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
-def volume_factors(strict: bool = False) -> dict[str, Column]:
-    change = pct_change("volume")
-    if strict:
-        base = rolling_mean("volume", 20, True)
-        return {
-            "volume_ma5": rolling_mean("volume", 5, True),
-            "volume_ma20": base,
-            "volume_ratio": F.try_divide(F.col("volume"), base),
-            "volume_change": change,
-        }
-    base = rolling_mean("volume", 5)
-    return {"volume_ma5": base, "volume_ratio": F.col("volume") / (base + 1), "volume_change": change}
+def volume_factors(strict: bool = False) -> Family:
+    volume = F.col("volume")
+    windows = {"volume_ma5": rolling_mean("volume", 5, strict), "_volume_1": lag("volume")}
+    change = F.try_divide(volume, F.col("_volume_1")) - 1
+    if not strict:
+        return Family(windows, {"volume_ratio": volume / (F.col("volume_ma5") + 1), "volume_change": change})
+    windows["volume_ma20"] = rolling_mean("volume", 20, True)
+    return Family(windows, {"volume_ratio": F.try_divide(volume, F.col("volume_ma20")), "volume_change": change})
 
 
-def amount_factors(strict: bool = False) -> dict[str, Column]:
-    base = rolling_mean("amount", 20, strict)
-    ratio = F.try_divide(F.col("amount"), base) if strict else F.col("amount") / (base + 1)
-    return {"amount_ma20": base, "amount_ratio": ratio}
+def amount_factors(strict: bool = False) -> Family:
+    amount, base = F.col("amount"), F.col("amount_ma20")
+    ratio = F.try_divide(amount, base) if strict else amount / (base + 1)
+    return Family({"amount_ma20": rolling_mean("amount", 20, strict)}, {"amount_ratio": ratio})
 
 
-def momentum() -> dict[str, Column]:
-    return {"momentum_20d": pct_change("close", 20), "momentum_60d": pct_change("close", 60)}
+def momentum() -> Family:
+    return Family(
+        {f"_close_{n}": lag("close", n) for n in (20, 60)},
+        {f"momentum_{n}d": F.try_divide(F.col("close"), F.col(f"_close_{n}")) - 1 for n in (20, 60)},
+    )
 
 
-def reversal(strict: bool = False) -> dict[str, Column]:
+def reversal(strict: bool = False) -> Family:
+    """Needs ``ret`` and ``ret_5d``."""
     if strict:
-        return {"reversal_5d": -rolling_sum("ret", 5, True), "reversal_20d": -rolling_sum("ret", 20, True)}
-    return {"reversal_5d": -F.col("ret_5d"), "reversal_20d": -rolling_mean("ret", 20)}
+        windows = {f"_ret_sum_{n}": rolling_sum("ret", n, True) for n in (5, 20)}
+        return Family(windows, {f"reversal_{n}d": -F.col(f"_ret_sum_{n}") for n in (5, 20)})
+    return Family(
+        {"_ret_mean": rolling_mean("ret", 20)}, {"reversal_5d": -F.col("ret_5d"), "reversal_20d": -F.col("_ret_mean")}
+    )
 
 
-def bollinger(strict: bool = False) -> dict[str, Column]:
-    mid, std = rolling_mean("close", 20, strict), rolling_std("close", 20, strict)
-    upper, lower = mid + 2 * std, mid - 2 * std
-    close = F.col("close")
-    bands = {"bb_mid": mid, "bb_upper": upper, "bb_lower": lower}
+def bollinger(strict: bool = False) -> Family:
+    close, mid = F.col("close"), F.col("bb_mid")
+    name = "bb_std" if strict else "_bb_std"
+    upper, lower = mid + 2 * F.col(name), mid - 2 * F.col(name)
+    windows = {"bb_mid": rolling_mean("close", 20, strict), name: rolling_std("close", 20, strict)}
     if strict:
-        return {
-            **bands,
-            "bb_std": std,
-            "bb_width": upper - lower,
-            "bb_position": F.try_divide(close - lower, upper - lower),
+        shape = {"bb_width": upper - lower, "bb_position": F.try_divide(close - lower, upper - lower)}
+    else:
+        shape = {
+            "bb_width": F.try_divide(upper - lower, mid),
+            "bb_position": (close - lower) / (upper - lower + EPSILON),
         }
-    return {
-        **bands,
-        "bb_width": F.try_divide(upper - lower, mid),
-        "bb_position": (close - lower) / (upper - lower + EPSILON),
-    }
+    return Family(windows, {"bb_upper": upper, "bb_lower": lower, **shape})
 
 
-def price_ratios(strict: bool = False) -> dict[str, Column]:
+def price_ratios(strict: bool = False) -> Family:
     pad = 0.0 if strict else EPSILON
-    return {
-        "high_low_ratio": F.try_divide(F.col("high"), F.col("low") + pad),
-        "close_open_ratio": F.try_divide(F.col("close"), F.col("open") + pad),
-    }
+    return Family(
+        {},
+        {
+            "high_low_ratio": F.try_divide(F.col("high"), F.col("low") + pad),
+            "close_open_ratio": F.try_divide(F.col("close"), F.col("open") + pad),
+        },
+    )
 
 
-def label() -> dict[str, Column]:
-    return {"label": F.lead("ret", 1).over(history())}
+def label() -> Family:
+    """Needs ``ret``."""
+    return Family({"label": F.lead("ret", 1).over(history())})
 
 
 def factor_panel(bars: DataFrame, mode: str = "lenient") -> DataFrame:
@@ -143,19 +174,11 @@ def factor_panel(bars: DataFrame, mode: str = "lenient") -> DataFrame:
     df = macd(bars)
     if strict:
         df = df.drop("macd_hist")
-    df = df.withColumns(
-        {
-            **returns(),
-            **price_moves(),
-            **moving_averages(strict),
-            **momentum(),
-            **volume_factors(strict),
-            **amount_factors(strict),
-            **bollinger(strict),
-        }
+    df = apply(
+        df, returns(), price_moves(), moving_averages(strict), momentum(), volume_factors(strict), amount_factors(strict),
+        bollinger(strict), price_ratios(strict),
     )
-    df = df.withColumns({**ma_differences(), **volatility(strict), "rsi": rsi(strict), **reversal(strict)})
-    df = df.withColumns({**price_ratios(strict), **label()})
+    df = apply(df, volatility(strict), rsi(strict), reversal(strict), label())
     return df.drop("gain", "loss")
 
 
@@ -165,24 +188,16 @@ def drop_warmup(panel: DataFrame, mode: str = "lenient") -> DataFrame:
 
 def core_factors(bars: DataFrame) -> DataFrame:
     """The short factor list written by the partitioned job, with its year column."""
-    return (
-        bars.withColumn("ret", pct_change("close"))
-        .withColumns(
-            {
-                "ma5": rolling_mean("close", 5),
-                "ma20": rolling_mean("close", 20),
-                "volatility_20d": rolling_std("ret", 20),
-                "volume_ma5": rolling_mean("volume", 5),
-            }
-        )
-        .withColumns(
-            {
-                "volume_ratio": F.col("volume") / (F.col("volume_ma5") + 1.0),
-                **label(),
-                "year": F.year("date"),
-            }
-        )
+    df = bars.withColumns(
+        {
+            "ret": pct_change("close"),
+            "ma5": rolling_mean("close", 5),
+            "ma20": rolling_mean("close", 20),
+            "volume_ma5": rolling_mean("volume", 5),
+        }
     )
+    df = df.withColumns({"volatility_20d": rolling_std("ret", 20), **label().windows})
+    return df.withColumns({"volume_ratio": F.col("volume") / (F.col("volume_ma5") + 1.0), "year": F.year("date")})
 
 
 def year_summary(factors: DataFrame) -> DataFrame:

@@ -22,27 +22,27 @@ def f_ret(spark, sf):
 
 @query("f_ret_n", "code date ret_5d:6 ret_10d:6", _from_panel("ret_5d, ret_10d"))
 def f_ret_n(spark, sf):
-    return bars_long(spark, sf).withColumns(f.returns())
+    return f.apply(bars_long(spark, sf), f.returns())
 
 
 @query("f_ma", "code date ma5:4 ma10:4 ma20:4 ma60:4", _from_panel("ma5, ma10, ma20, ma60"))
 def f_ma(spark, sf):
-    return bars_long(spark, sf).withColumns(f.moving_averages())
+    return f.apply(bars_long(spark, sf), f.moving_averages())
 
 
 @query("f_ma_diff", "code date ma5_ma10_diff:4 ma5_ma20_diff:4", _from_panel("ma5_ma10_diff, ma5_ma20_diff"))
 def f_ma_diff(spark, sf):
-    return bars_long(spark, sf).withColumns(f.moving_averages()).withColumns(f.ma_differences())
+    return f.apply(bars_long(spark, sf), f.moving_averages())
 
 
 @query("f_volatility", "code date volatility_20d:5 volatility_60d:5", _from_panel("volatility_20d, volatility_60d"))
 def f_volatility(spark, sf):
-    return bars_long(spark, sf).withColumn("ret", w.pct_change("close")).withColumns(f.volatility())
+    return f.apply(f.apply(bars_long(spark, sf), f.returns()), f.volatility())
 
 
 @query("f_rsi", "code date rsi:6", _from_panel("rsi"))
 def f_rsi(spark, sf):
-    return bars_long(spark, sf).withColumns(f.price_moves()).withColumn("rsi", f.rsi())
+    return f.apply(f.apply(bars_long(spark, sf), f.price_moves()), f.rsi())
 
 
 @query("f_macd", "code date macd:4 macd_signal:4 macd_hist:4", _from_panel("macd, macd_signal, macd_hist"))
@@ -56,22 +56,22 @@ def f_macd(spark, sf):
     _from_panel("volume_ma5, volume_ratio, volume_change"),
 )
 def f_volume(spark, sf):
-    return bars_long(spark, sf).withColumns(f.volume_factors())
+    return f.apply(bars_long(spark, sf), f.volume_factors())
 
 
 @query("f_amount", "code date amount_ma20:3 amount_ratio:6", _from_panel("amount_ma20, amount_ratio"))
 def f_amount(spark, sf):
-    return bars_long(spark, sf).withColumns(f.amount_factors())
+    return f.apply(bars_long(spark, sf), f.amount_factors())
 
 
 @query("f_momentum", "code date momentum_20d:5 momentum_60d:5", _from_panel("momentum_20d, momentum_60d"))
 def f_momentum(spark, sf):
-    return bars_long(spark, sf).withColumns(f.momentum())
+    return f.apply(bars_long(spark, sf), f.momentum())
 
 
 @query("f_reversal", "code date reversal_5d:5 reversal_20d:5", _from_panel("reversal_5d, reversal_20d"))
 def f_reversal(spark, sf):
-    return bars_long(spark, sf).withColumns(f.returns()).withColumns(f.reversal())
+    return f.apply(f.apply(bars_long(spark, sf), f.returns()), f.reversal())
 
 
 @query(
@@ -80,7 +80,7 @@ def f_reversal(spark, sf):
     _from_panel("bb_mid, bb_upper, bb_lower, bb_width, bb_position"),
 )
 def f_bollinger(spark, sf):
-    return bars_long(spark, sf).withColumns(f.bollinger())
+    return f.apply(bars_long(spark, sf), f.bollinger())
 
 
 @query(
@@ -89,12 +89,12 @@ def f_bollinger(spark, sf):
     _from_panel("high_low_ratio, close_open_ratio", "evbars_panel"),
 )
 def f_price_ratio(spark, sf):
-    return bars_short(spark, sf).withColumns(f.price_ratios())
+    return f.apply(bars_short(spark, sf), f.price_ratios())
 
 
 @query("f_label", "code date label:6", _from_panel("label"))
 def f_label(spark, sf):
-    return bars_long(spark, sf).withColumn("ret", w.pct_change("close")).withColumns(f.label())
+    return f.apply(f.apply(bars_long(spark, sf), f.returns()), f.label())
 
 
 @query(

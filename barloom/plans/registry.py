@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from barloom.plans import oracle
 
 OFFSET = 3.7e-9
+SCALE = {n: 10.0**n for n in range(10)}
 Build = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,7 +36,8 @@ class Query:
         out = []
         for name, digits in self.columns():
             value = F.col(name)
-            out.append(value if digits is None else F.round(value + OFFSET, digits).alias(name))
+            # rint on a scaled double stays in generated code; round() would go through BigDecimal.
+            out.append(value if digits is None else (F.rint((value.cast("double") + OFFSET) * SCALE[digits]) / SCALE[digits] + 0.0).alias(name))
         return self.build(spark, sf_dir).select(*out)
 
     def oracle(self) -> str | None:
@@ -43,7 +45,12 @@ class Query:
             return None
         out = []
         for name, digits in self.columns():
-            out.append(f'"{name}"' if digits is None else f'round("{name}" + {OFFSET!r}, {digits}) + 0.0 AS "{name}"')
+            if digits is None:
+                out.append(f'"{name}"')
+                continue
+            shifted = f'(CAST("{name}" AS DOUBLE) + CAST({OFFSET!r} AS DOUBLE))'
+            scale = f"CAST({SCALE[digits]!r} AS DOUBLE)"
+            out.append(f'round({shifted} * {scale}) / {scale} + 0.0 AS "{name}"')
         return f"{oracle.prelude(self.sql)} SELECT {', '.join(out)} FROM ({self.sql}) AS answer"
 
 

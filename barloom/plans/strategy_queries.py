@@ -26,8 +26,12 @@ def long_market(spark, sf):
 
 
 def _fixture(spark, sf, source=short_market):
-    """Market, usable signals (yesterday's return as the score) and targets."""
-    market = source(spark, sf)
+    """Market, usable signals (yesterday's return as the score) and targets.
+
+    A strategy reads its market table many times (calendar, bars, benchmark), so
+    the derived bars are written once, as a market table would be.
+    """
+    market = materialise(source(spark, sf), "market")
     predictions = (
         market.withColumn("predicted", pct_change("close"))
         .where(F.col("predicted").isNotNull())
@@ -280,7 +284,7 @@ def holdings_slice(spark, sf):
 
 def _book(spark, sf):
     market, usable, chosen = _fixture(spark, sf, long_market)
-    bars = materialise(st.execution_bars(chosen, usable, market), "execution")
+    bars = st.execution_bars(chosen, usable, market)
     return st.ledger(bars, usable, market, st.scenario_frame(spark, SCENARIOS))
 
 
