@@ -26,7 +26,7 @@ def long_market(spark, sf):
 
 
 def _fixture(spark, sf, source=short_market):
-    """Market, usable signals (yesterday's return as the score) and targets.
+    """Market, usable signals (yesterday's return as the score), targets and valuation days.
 
     A strategy reads its market table many times (calendar, bars, benchmark), so
     the derived bars are written once, as a market table would be.
@@ -37,8 +37,7 @@ def _fixture(spark, sf, source=short_market):
         .where(F.col("predicted").isNotNull())
         .select("date", "code", "predicted")
     )
-    usable = st.signals(predictions, market, check=False)
-    return market, usable, st.targets(usable, SCENARIOS)
+    return market, *st.stage(st.signals(predictions, market, check=False), market, SCENARIOS)
 
 
 def _views(bars: str) -> str:
@@ -95,8 +94,8 @@ def _bars_sql(bars: str) -> str:
     _bars_sql("evmkt"),
 )
 def bt_execution_bars(spark, sf):
-    market, usable, chosen = _fixture(spark, sf)
-    return st.execution_bars(chosen, usable, market)
+    market, _, chosen, days = _fixture(spark, sf)
+    return st.execution_bars(chosen, days, market)
 
 
 @query(
@@ -105,8 +104,8 @@ def bt_execution_bars(spark, sf):
     f"SELECT scenario, date, count(*) AS n, count(sell_block) AS blocked FROM ({_bars_sql('ltmkt')}) AS b GROUP BY scenario, date",
 )
 def bt_execution_bars_sparse(spark, sf):
-    market, usable, chosen = _fixture(spark, sf, long_market)
-    bars = st.execution_bars(chosen, usable, market)
+    market, _, chosen, days = _fixture(spark, sf, long_market)
+    bars = st.execution_bars(chosen, days, market)
     return bars.groupBy("scenario", "date").agg(F.count(F.lit(1)).alias("n"), F.count("sell_block").alias("blocked"))
 
 
@@ -180,7 +179,7 @@ def bt_weight_turnover(spark, sf):
     f"WITH {RETURNS_CTE} SELECT * FROM net",
 )
 def bt_weight_returns(spark, sf):
-    market, _, chosen = _fixture(spark, sf)
+    market, _, chosen, _ = _fixture(spark, sf)
     return st.weight_returns(chosen, market, st.scenario_frame(spark, SCENARIOS))
 
 
@@ -198,8 +197,8 @@ def index_open(market):
     f"WITH {_views('evmkt')}, {BENCHMARK_CTE} SELECT *, 'index' AS benchmark_name FROM bm",
 )
 def bt_benchmark(spark, sf):
-    market, usable, _ = _fixture(spark, sf)
-    return st.benchmark_curve(index_open(market), usable, market)
+    market, usable, _, days = _fixture(spark, sf)
+    return st.benchmark_curve(index_open(market), usable, days, market)
 
 
 @query(
@@ -211,8 +210,8 @@ def bt_benchmark(spark, sf):
         WHERE b.code IN (SELECT code FROM sig)) AS a GROUP BY date) AS z""",
 )
 def bt_benchmark_universe(spark, sf):
-    market, usable, _ = _fixture(spark, sf)
-    curve = st.benchmark_curve(None, usable, market, check=False)
+    market, usable, _, days = _fixture(spark, sf)
+    curve = st.benchmark_curve(None, usable, days, market, check=False)
     return curve.withColumn("log_benchmark", F.log("benchmark_cumulative"))
 
 
@@ -228,10 +227,10 @@ NAV_CTE = f"""{RETURNS_CTE}, {BENCHMARK_CTE},
 
 def _approximate(spark, sf):
     """Daily values of the vectorised backtest and buy orders with their status."""
-    market, usable, chosen = _fixture(spark, sf)
+    market, usable, chosen, days = _fixture(spark, sf)
     grid = st.scenario_frame(spark, SCENARIOS)
     nav = st.approximate_nav(st.weight_returns(chosen, market, grid), grid)
-    daily = st.results(nav, st.benchmark_curve(index_open(market), usable, market), grid)
+    daily = st.results(nav, st.benchmark_curve(index_open(market), usable, days, market), grid)
     picks = chosen.select("scenario", "code", F.col("execution_date").alias("date")).join(market, ["code", "date"], "left")
     reason = st.block_reason("buy", market.columns)
     orders = picks.select(
@@ -283,9 +282,8 @@ def holdings_slice(spark, sf):
 
 
 def _book(spark, sf):
-    market, usable, chosen = _fixture(spark, sf, long_market)
-    bars = st.execution_bars(chosen, usable, market)
-    return st.ledger(bars, usable, market, st.scenario_frame(spark, SCENARIOS))
+    market, _, chosen, days = _fixture(spark, sf, long_market)
+    return st.ledger(st.execution_bars(chosen, days, market), days, st.scenario_frame(spark, SCENARIOS))
 
 
 @query(
