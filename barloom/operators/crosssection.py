@@ -233,9 +233,8 @@ def industry_heatmap(industry: DataFrame, n: int = 20) -> DataFrame:
     days = sorted(r["date"] for r in recent_dates(industry, n).collect())
     if not days:
         raise ValueError("no industry rows to show")
-    label = F.date_format("date", "yyyy-MM-dd")
-    chosen = industry.where(F.col("date").isin(days))
-    return chosen.groupBy("industry_l1").pivot(label, [d.isoformat() for d in days]).agg(F.avg("average_return") * 100)
+    chosen = industry.where(F.col("date").isin(days)).withColumn("day", F.date_format("date", "yyyy-MM-dd"))
+    return chosen.groupBy("industry_l1").pivot("day", [d.isoformat() for d in days]).agg(F.avg("average_return") * 100)
 
 
 def heatmap_cells(industry: DataFrame, n: int = 20) -> DataFrame:
