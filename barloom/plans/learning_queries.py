@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import learning as ln
+from barloom.operators.joins import join_sentiment
 from barloom.plans.oracle import HIST
 from barloom.plans.panels import long_panel
 from barloom.plans.registry import query
@@ -19,16 +20,20 @@ def frame(spark, sf):
     return ln.model_frame(long_panel(spark, sf), FEATURES)
 
 
+UNVERIFIED = [c for c in ln.CLASSIC_FEATURES if c not in ln.SENTIMENT_FEATURES]
+
+
 @query(
     "verified_features",
-    "position feature",
-    "SELECT row_number() OVER () - 1 AS position, feature FROM (SELECT unnest(["
-    + ", ".join(f"'{c}'" for c in ln.CLASSIC_FEATURES if c not in ln.SENTIMENT_FEATURES)
-    + "]) AS feature) AS f WHERE (SELECT count(*) FROM bars) > 0",
+    "feature filled",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS filled FROM bars_ready" for c in UNVERIFIED),
 )
 def verified_features(spark, sf):
-    features = ln.verified_features(long_panel(spark, sf).withColumn("sentiment_source", F.lit("not_available")))
-    return spark.createDataFrame(list(enumerate(features)), "position long, feature string")
+    """The features a model may use on a panel with unverified sentiment, and how often each is filled."""
+    panel = join_sentiment(long_panel(spark, sf), None)
+    features = ln.verified_features(panel)
+    counts = panel.agg(*[F.count(c).alias(c) for c in features])
+    return counts.unpivot([], features, "feature", "filled")
 
 
 SPLIT_SQL = f"""
