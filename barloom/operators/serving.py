@@ -6,7 +6,7 @@ are passed as literals, never pasted into SQL text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +49,23 @@ def fact_panel(bars: DataFrame, sentiment: DataFrame | None, data_version: str)
     return join_sentiment(panel, sentiment).withColumn("data_version", F.lit(data_version))
 
 
-def aggregates(facts: DataFrame, catalog: DataFrame, data_version: str, source_label: str) -> dict[str, DataFrame]:
-    """Everything derived from the fact table. Give it the written table, so factors are not computed again."""
+def aggregates(
+    facts: DataFrame,
+    catalog: DataFrame,
+    data_version: str,
+    source_label: str,
+    stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> dict[str, DataFrame]:
+    """Everything derived from the fact table. Give it the written table, so factors are not computed again.
+
+    The market table and the quality report feed several tables. A build that
+    writes them all passes ``session.materialise`` as ``stage``, so each is
+    computed once; a reader of a single table leaves the plans lazy.
+    """
     version = F.lit(data_version).alias("data_version")
     dim = detail_coverage(facts, catalog)
-    market = crosssection.market_daily(facts).select("*", F.lit(source_label).alias("source"), version)
-    report = quality.quality_report(facts)
+    market = stage(crosssection.market_daily(facts).select("*", F.lit(source_label).alias("source"), version), "market")
+    report = stage(quality.quality_report(facts), "report")
     run = f"quality-{data_version[:16]}"
     return {
         "dim_stock": dim,

@@ -17,7 +17,7 @@ from barloom.plans.quality_queries import DIRTY, REPORT_SQL, dirty
 from barloom.plans.registry import query
 from barloom.plans.serving_queries import star
 from barloom.plans.strategy_queries import NAV_CTE, _approximate, _fixture
-from barloom.session import scratch_path
+from barloom.session import materialise, scratch_path
 from barloom.sources import readers, sinks
 from barloom.sources.adapter import bars_long, bars_short, catalog, sentiment
 
@@ -164,7 +164,8 @@ def _published(spark, sf):
     staged = f"{root}/staged"
     sinks.by_key(facts).write.parquet(staged)
     stored = spark.read.parquet(staged)
-    tables = {"fact_stock_daily_demo": stored, **s.aggregates(stored, catalog(spark, sf), "v1", "line items")}
+    derived = s.aggregates(stored, catalog(spark, sf), "v1", "line items", stage=materialise)
+    tables = {"fact_stock_daily_demo": stored, **derived}
     sinks.publish(spark, tables, root, "v1", {"fact_stock_daily_demo": stored.count()})
     return sinks.open_published(spark, root)
 
