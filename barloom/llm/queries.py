@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontam, linededup, pii, quality, secrets, simhash
+from barloom.llm import bpe, decontam, linededup, pii, quality, secrets, sharding, simhash
 from barloom.llm.common import table
 
+SHARDS = 40
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -33,6 +34,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shuffled(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(pii.scan(table(spark, sf_dir, "documents")), pii.BASE)
 
