@@ -140,8 +140,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _narrow(docs, id_col, text_col).mapInArrow(run, "key binary, doc bigint")
 
 
-def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+def _narrow(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
 
 def _shard(shards: int) -> Column:
@@ -255,13 +255,14 @@ class LineIndex:
         shared = self.table("counts").where("refs > 1")
         return maybe.join(shared, "key").where("doc > first").groupBy("doc").agg(F.collect_list("key").alias("keys"))
 
-    def apply(self, docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Per row: the id, ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay, as bytes)."""
+    def apply(self, docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+        """Per row: the id, ``n_lines``, ``n_dropped``, ``kept`` (the lines that stay, as bytes) and ``row``, a struct of
+        the id and the columns to carry."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 total, lost, texts = [], [], []
-                for text, keys in zip(b.column(1), b.column(2), strict=True):
+                for text, keys in zip(b.column("text"), b.column("keys"), strict=True):
                     raw = text.as_py() or b""
                     lines = raw.split(b"\n")
                     total.append(len(lines))
@@ -271,19 +272,20 @@ class LineIndex:
                     lost.append(total[-1] - len(lines))
                     texts.append(raw)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.binary())], [id_col, "n_lines", "n_dropped", "kept"]
+                    [b.column("row"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.binary())], ["row", "n_lines", "n_dropped", "kept"]
                 )
 
-        rows = _narrow(docs, id_col, text_col).withColumn("id", F.nullif("doc", F.lit(NULL_ID)))
-        marked = rows.join(dropped, "doc", "left").select("id", "text", "keys")
-        return marked.mapInArrow(run, f"`{id_col}` bigint, n_lines bigint, n_dropped bigint, kept binary")
+        row = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, *carry))]).alias("row")
+        rows = _narrow(docs, id_col, text_col, row).join(dropped, "doc", "left").select("row", "text", "keys")
+        cut = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_lines bigint, n_dropped bigint, kept binary")
+        return cut.select(F.col("row")[id_col].alias(id_col), "n_lines", "n_dropped", "kept", "row")
 
 
 def _counted(holders: DataFrame) -> DataFrame:
     return holders.groupBy("key").agg(F.count("*").alias("refs"), F.min("doc").alias("first"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """A table against itself: an index of its documents decides over their own lines. Result as ``LineIndex.apply``."""
     index = LineIndex.empty(docs.sparkSession).insert(docs, id_col, text_col)
-    return index.apply(docs, index.dropped(), id_col, text_col)
+    return index.apply(docs, index.dropped(), id_col, text_col, carry)
