@@ -92,7 +92,7 @@ class Bitmap:
 
     @staticmethod
     def has(whole: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-        at = shingles & np.int64(BITS - 1)
+        at = shingles & np.int64(8 * len(whole) - 1)
         return (whole[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
