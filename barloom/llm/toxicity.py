@@ -142,7 +142,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 15, rate: float = 0.0
         logits = x @ params[1] + params[2]
         return x, logits, words, back, piece[parts]
 
-    step, epochs = 0, max(epochs, -(-steps * batch // len(label)))
+    step, epochs = 0, max(epochs, -(-steps // -(-len(label) // batch)))
     for epoch in range(epochs):
         if epoch >= epochs // 3:  # toxic documents by their worst windows
             margin = np.concatenate([(lambda g: g[:, 1] - g[:, 0])(forward(np.arange(i, min(i + 8 * batch, len(label))))[1]) for i in range(0, len(label), 8 * batch)])
