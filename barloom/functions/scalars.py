@@ -12,9 +12,8 @@ SHENZHEN_MAIN = "深市主板"
 SHANGHAI_MAIN = "沪市主板"
 OTHER_BOARD = "其他"
 
-CODE_PATTERN = r"^[0-9]{6}$"
-# The 6-digit code space is what bounds a cross-section: no date can hold more symbols.
-CODE_SPACE = 1_000_000
+CODE_PATTERN = r"^[0-9]{6}$"  # what vendors send
+LONG_CODE_PATTERN = r"^[0-9]{6,}$"  # codes made from keys, which may be longer
 
 
 def col(value: Column | str) -> Column:
@@ -38,13 +37,13 @@ def normalise_code(value: Column | str) -> Column:
     return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
 
 
-def is_valid_code(value: Column | str) -> Column:
-    return null_safe(col(value).rlike(CODE_PATTERN))
+def is_valid_code(value: Column | str, pattern: str = CODE_PATTERN) -> Column:
+    return null_safe(col(value).rlike(pattern))
 
 
 def code_from_number(value: Column | str) -> Column:
-    """A six-digit code for any integer key."""
-    return F.lpad(F.pmod(col(value), F.lit(CODE_SPACE)).cast("string"), 6, "0")
+    """A code for any integer key, different for different keys: six digits at least, more where the key has more."""
+    return normalise_code(col(value).cast("long"))
 
 
 def board_of(code: Column | str) -> Column:

@@ -66,15 +66,15 @@ def running_product(value: Column | str) -> Column:
 
 
 def ewma(df: DataFrame, spans: Sequence[tuple[str, str, int]]) -> DataFrame:
-    """Exponential means y0 = x0, y = (1-a) y + a x with a = 2 / (span + 1).
-
-    ``spans`` lists (input column, output column, span). The recursion is
-    unrolled to y_t = a * sum q^k x_{t-k} (with x0 divided by a), and the sum is
-    built up in a few rounds of fixed lags: a round of r lags turns sums over m
-    terms into sums over r*m terms. Terms whose weight is below double
-    precision are never needed, so the rounds are few and all run on the one
-    (code, date) ordering: no extra shuffle, no extra sort, no Python.
-    Input values have to be non-NULL.
+    """Exponential means y0 = x0, y = (1-a) y + a x with a = 2 / (span + 1), over rows that may have gaps.
+
+    ``spans`` lists (input column, output column, span). A missing input carries the mean on; the next value then meets a
+    mean that has aged by d rows: y = (q^d y + a x) / (q^d + a) with q = 1-a, which for d = 1 is the line above. Before the
+    first value there is no mean.
+
+    The recursion y_t = c_t y + (1-c_t) x_t runs over the rows with values only. It is unrolled in a few rounds of fixed
+    lags: a round of r lags turns pairs (product of c, weighted sum) over m rows into pairs over r*m rows. As c is q at
+    most, terms whose weight is below double precision are never needed. All runs on one exchange by code, without Python.
     """
     w = history()
     plan = []
@@ -85,20 +85,29 @@ def ewma(df: DataFrame, spans: Sequence[tuple[str, str, int]]) -> DataFrame:
         rounds = 1 if terms <= 12 else 2 if terms <= 200 else 3
         radix = max(2, math.ceil(terms ** (1.0 / rounds)))
         plan.append((source, target, a, q, rounds, radix))
-    first = F.lag(F.lit(1), 1).over(w).isNull()
-    df = df.select(
-        "*",
-        *[F.when(first, F.col(s) / a).otherwise(F.col(s)).alias(t) for s, t, a, *_ in plan],
-    )
-    for step in range(max(p[4] for p in plan)):
-        updated = {}
-        for _, target, _, q, rounds, radix in plan:
-            if step >= rounds:
-                continue
-            width = radix**step
-            total = F.col(target)
-            for k in range(1, radix):
-                total = total + F.lag(target, k * width, 0.0).over(w) * (q ** (k * width))
-            updated[target] = total
-        df = df.withColumns(updated)
-    return df.withColumns({t: F.col(t) * a for _, t, a, *_ in plan})
+    columns = [c for c in df.columns if c not in {t for _, t, _ in spans}]
+    df = df.withColumn("_row", F.row_number().over(w))
+    for source in dict.fromkeys(p[0] for p in plan):
+        own = [p for p in plan if p[0] == source]
+        valued = Window.partitionBy("code", "_valued").orderBy("date")
+        df = df.withColumn("_valued", F.col(source).isNotNull())
+        df = df.withColumn("_age", F.col("_row") - F.lag("_row").over(valued))
+        for _, t, a, q, *_ in own:
+            aged = F.pow(F.lit(q), F.col("_age"))
+            kept = F.when(F.col("_age").isNull(), 0.0).when(F.col("_age") == 1, q).otherwise(aged / (aged + a))
+            df = df.withColumn(f"_c_{t}", kept).withColumn(t, F.col(source) * (1 - F.col(f"_c_{t}")))
+        for step in range(max(p[4] for p in own)):
+            updated = {}
+            for _, t, _, _, rounds, radix in own:
+                if step >= rounds:
+                    continue
+                width = radix**step
+                total, product = F.col(t), F.col(f"_c_{t}")
+                for k in range(1, radix):
+                    total = total + product * F.lag(t, k * width, 0.0).over(valued)
+                    product = product * F.lag(f"_c_{t}", k * width, 0.0).over(valued)
+                updated |= {t: total, f"_c_{t}": product}
+            df = df.withColumns(updated)
+        # Rows without a value repeat the last mean.
+        df = df.withColumns({t: F.last(F.when(F.col("_valued"), F.col(t)), ignorenulls=True).over(so_far()) for _, t, *_ in own})
+    return df.select(*columns, *[t for _, t, _ in spans])

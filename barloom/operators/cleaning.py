@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.guards import require_columns
-from barloom.functions.scalars import count_where, is_valid_code, null_safe, trade_date
+from barloom.functions.scalars import CODE_PATTERN, count_where, is_valid_code, null_safe, trade_date
 
 RAW_COLUMNS = ["trade_date", "open", "high", "low", "close", "vol", "amount"]
 RENAMES = {"trade_date": "date", "vol": "volume"}
@@ -44,10 +44,10 @@ def invalid_date_counts(raw: DataFrame) -> DataFrame:
     return raw.groupBy("code").agg(F.count_if(trade_date("trade_date").isNull()).alias("invalid_dates"))
 
 
-def valid_bar() -> Column:
+def valid_bar(code_pattern: str = CODE_PATTERN) -> Column:
     """Code, date, close, volume and price bounds all in order; missing values make it false."""
     return (
-        is_valid_code("code")
+        is_valid_code("code", code_pattern)
         & F.col("date").isNotNull()
         & null_safe(F.col("close") > 0)
         & null_safe(F.col("volume") >= 0)
@@ -56,8 +56,8 @@ def valid_bar() -> Column:
     )
 
 
-def valid_bar_filter(bars: DataFrame) -> DataFrame:
-    return bars.where(valid_bar())
+def valid_bar_filter(bars: DataFrame, code_pattern: str = CODE_PATTERN) -> DataFrame:
+    return bars.where(valid_bar(code_pattern))
 
 
 def broken_ohlc(high: str = "high", low: str = "low") -> Column:

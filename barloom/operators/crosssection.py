@@ -141,11 +141,11 @@ def factor_availability(ic: DataFrame, requested: Sequence[str]) -> DataFrame:
 
 
 def factor_corr(panel: DataFrame, factors: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pairwise-complete Pearson correlations of up to ten factors, long form.
+    """Pairwise-complete Pearson correlations of the given factors, long form.
 
     All pairs come out of one aggregate; ``by`` groups them, per symbol say.
     """
-    factors = list(factors)[:10]
+    factors = list(factors)
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
     wide = panel.groupBy(*by).agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     entries = [

@@ -31,12 +31,13 @@ STEPS = 20
 
 
 def verified_features(panel: DataFrame, candidates: Sequence[str] = CLASSIC_FEATURES) -> list[str]:
-    """Candidates the panel has, without sentiment unless some row has a verified source."""
-    features = [c for c in candidates if c in panel.columns]
-    verified = "sentiment_source" in panel.columns and bool(
-        panel.where(F.col("sentiment_source").isin(VERIFIED_SOURCES)).limit(1).count()
-    )
-    return features if verified else [c for c in features if c not in SENTIMENT_FEATURES]
+    """The candidates that the panel has; sentiment only counts once a source of it is known to be good."""
+    wanted = set(panel.columns).intersection(candidates)
+    if wanted.intersection(SENTIMENT_FEATURES):
+        trusted = panel.where(F.col("sentiment_source").isin(VERIFIED_SOURCES)) if "sentiment_source" in panel.columns else None
+        if trusted is None or trusted.isEmpty():
+            wanted.difference_update(SENTIMENT_FEATURES)
+    return [c for c in candidates if c in wanted]
 
 
 def model_frame(panel: DataFrame, features: Sequence[str]) -> DataFrame:

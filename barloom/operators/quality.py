@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.guards import require_columns
-from barloom.functions.scalars import count_where, is_valid_code, iso_date, normalise_code, null_safe
+from barloom.functions.scalars import CODE_PATTERN, count_where, is_valid_code, iso_date, normalise_code, null_safe
 from barloom.functions.windows import pct_change
 from barloom.operators.cleaning import dedup, valid_bar
 
@@ -76,7 +76,7 @@ def extreme_returns(df: DataFrame, limit: float = EXTREME_RETURN) -> DataFrame:
     return unique.groupBy("code").agg(count_where(F.abs("ret") > limit).alias("extreme_count"))
 
 
-def quality_report(df: DataFrame) -> DataFrame:
+def quality_report(df: DataFrame, code_pattern: str = CODE_PATTERN) -> DataFrame:
     """The one-row report. Dates that do not parse count as missing cells."""
     require_columns(df, ["code", "date"])
     columns = df.columns
@@ -125,7 +125,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         F.sum("nonpositive").alias("nonpositive_price_count"),
         F.sum("negative_volume").alias("negative_volume_count"),
         F.sum("zero_volume").alias("zero_volume_count"),
-        F.coalesce(F.sum(F.when(~is_valid_code(normalise_code("code")), F.col("n"))), none).alias("invalid_code_count"),
+        F.coalesce(F.sum(F.when(~is_valid_code(normalise_code("code"), code_pattern), F.col("n"))), none).alias("invalid_code_count"),
         count_where(F.abs("ret") > EXTREME_RETURN).alias("extreme_return_count"),
     )
     return report.withColumn("quality_status", quality_status())
@@ -164,8 +164,8 @@ def source_distribution(df: DataFrame) -> DataFrame:
     )
 
 
-def valid_summary(bars: DataFrame) -> DataFrame:
-    ok = valid_bar()
+def valid_summary(bars: DataFrame, code_pattern: str = CODE_PATTERN) -> DataFrame:
+    ok = valid_bar(code_pattern)
     return bars.agg(
         F.count(F.lit(1)).alias("input_rows"),
         F.count_if(ok).alias("valid_rows"),

@@ -40,10 +40,10 @@ def movers(panel: DataFrame, day, n: int = 10, gainers: bool = True) -> DataFram
     return snapshot.where(change.isNotNull()).orderBy(order, "code").limit(guards.positive_int(n))
 
 
-def snapshot_page(snapshot: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def snapshot_page(snapshot: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """One page of a snapshot, by amount."""
     ordered = snapshot.orderBy(F.col("amount").desc(), "code")
-    return ordered.offset(guards.offset(offset)).limit(guards.bounded_limit(limit, 2000))
+    return guards.row_limit(ordered.offset(guards.offset(offset)), limit)
 
 
 def snapshot_table(snapshot: DataFrame, board: str | None = None, sort_by: str = "change_pct") -> DataFrame:

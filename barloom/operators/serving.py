@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import guards
+from barloom.functions.scalars import LONG_CODE_PATTERN
 from barloom.operators import crosssection, quality
 from barloom.operators.factors import drop_warmup, factor_panel, prev_close_change
 from barloom.operators.joins import detail_coverage, join_peers, join_sentiment, join_snapshot_dim
@@ -65,7 +66,7 @@ def aggregates(
     version = F.lit(data_version).alias("data_version")
     dim = detail_coverage(facts, catalog)
     market = stage(crosssection.market_daily(facts).select("*", F.lit(source_label).alias("source"), version), "market")
-    report = stage(quality.quality_report(facts), "report")
+    report = stage(quality.quality_report(facts, LONG_CODE_PATTERN), "report")
     run = f"quality-{data_version[:16]}"
     return {
         "dim_stock": dim,
@@ -125,13 +126,13 @@ def asset_summary(star: Star) -> DataFrame:
     )
 
 
-def stock_catalog(star: Star, industry: str | None = None, has_detail: bool | None = None, limit: int = 6000) -> DataFrame:
+def stock_catalog(star: Star, industry: str | None = None, has_detail: bool | None = None, limit: int | None = None) -> DataFrame:
     out = star["dim_stock"]
     if industry is not None:
         out = out.where(F.col("industry_l1") == industry)
     if has_detail is not None:
         out = out.where(F.col("has_detail") == int(has_detail))
-    return out.select(*CATALOG).orderBy("code").limit(guards.bounded_limit(limit, 10000))
+    return guards.row_limit(out.select(*CATALOG).orderBy("code"), limit)
 
 
 def stock_metadata(star: Star, code: str) -> DataFrame:
@@ -142,7 +143,7 @@ def market_summary(star: Star, start=None, end=None) -> DataFrame:
     return _between(star["fact_market_daily"], start, end).select(*MARKET).orderBy("date")
 
 
-def market_snapshot(star: Star, day=None, limit: int = 500, offset: int = 0) -> DataFrame:
+def market_snapshot(star: Star, day=None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """One date with symbol attributes, paged by amount; the date defaults to the last one."""
     if day is None:
         facts = star["fact_stock_daily_demo"]
@@ -160,15 +161,15 @@ def industry_summary(star: Star, start=None, end=None, industries: Iterable[str]
     return out.select(*INDUSTRY).orderBy("industry_l1", "date")
 
 
-def stock_history(star: Star, code: str, start=None, end=None, limit: int = 2000) -> DataFrame:
+def stock_history(star: Star, code: str, start=None, end=None, limit: int | None = None) -> DataFrame:
     rows = star["fact_stock_daily_demo"].where(F.col("code") == guards.security_code(code))
-    return _between(rows, start, end).orderBy("date").limit(guards.bounded_limit(limit, 5000))
+    return guards.row_limit(_between(rows, start, end).orderBy("date"), limit)
 
 
-def peer_history(star: Star, industry: str, start=None, end=None, limit: int = 20000) -> DataFrame:
+def peer_history(star: Star, industry: str, start=None, end=None, limit: int | None = None) -> DataFrame:
     peers = join_peers(star["fact_stock_daily_demo"], star["dim_stock"], guards.industry_name(industry), start, end)
     columns = ["code", "name", "industry_l1", "date", "close", "ret", "volatility_20d"]
-    return peers.select(*columns).orderBy("code", "date").limit(guards.bounded_limit(limit, 50000))
+    return guards.row_limit(peers.select(*columns).orderBy("code", "date"), limit)
 
 
 def factor_ic(star: Star, factors: Iterable[str] | None = None, start=None, end=None) -> DataFrame:
@@ -183,8 +184,8 @@ def factor_catalog(star: Star) -> DataFrame:
     return star["fact_factor_ic_daily"].select("factor_name").distinct().orderBy("factor_name")
 
 
-def quality_runs(star: Star, limit: int = 30) -> DataFrame:
-    return star["fact_data_quality_run"].orderBy(F.col("started_at").desc()).limit(guards.bounded_limit(limit, 100))
+def quality_runs(star: Star, limit: int | None = None) -> DataFrame:
+    return guards.row_limit(star["fact_data_quality_run"].orderBy(F.col("started_at").desc()), limit)
 
 
 def quality_issues(star: Star, run_id: str | None = None) -> DataFrame:
@@ -198,8 +199,6 @@ def quality_issues(star: Star, run_id: str | None = None) -> DataFrame:
 
 def latest_quotes(star: Star, codes: Iterable[str]) -> DataFrame:
     chosen = sorted({guards.security_code(c) for c in codes})
-    if len(chosen) > 100:
-        raise ValueError("at most 100 codes")
     facts = star["fact_stock_daily_demo"]
     rows = facts.where(F.col("code").isin(chosen) & (F.col("date") == _last_date(star)))
     return rows.select("code", "date", "close", "pct_chg", "change").orderBy("code")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import normalise_code
+from barloom.functions.scalars import LONG_CODE_PATTERN, normalise_code
 from barloom.operators import cleaning as c
 from barloom.plans.oracle import HIST
 from barloom.plans.registry import query
@@ -99,10 +99,10 @@ def dated(spark, sf):
 @query(
     "valid_bar_filter",
     RAW_SHAPE,
-    f"SELECT * FROM ({DATED}) AS d WHERE regexp_full_match(code, '[0-9]{{6}}') AND date IS NOT NULL AND {VALID}",
+    f"SELECT * FROM ({DATED}) AS d WHERE regexp_full_match(code, '[0-9]{{6,}}') AND date IS NOT NULL AND {VALID}",
 )
 def valid_bar_filter(spark, sf):
-    return c.valid_bar_filter(dated(spark, sf))
+    return c.valid_bar_filter(dated(spark, sf), LONG_CODE_PATTERN)
 
 
 @query(

@@ -9,7 +9,7 @@ from barloom.operators import crosssection as x
 from barloom.operators import joins as j
 from barloom.operators import ranking as r
 from barloom.operators.factors import prev_close_change, sentiment_ma
-from barloom.plans.oracle import HIST, board, rows, supplier_code
+from barloom.plans.oracle import HIST, board, rows
 from barloom.plans.panels import long_panel, scored_panel
 from barloom.plans.registry import query
 from barloom.sources.adapter import bars_long, bars_short, catalog, sentiment, table
@@ -22,10 +22,7 @@ def with_ret(spark, sf):
 
 # ---- joins -------------------------------------------------------------------------------------
 
-LATE_SENT = (
-    f"SELECT *, avg(sentiment) OVER {rows(5)} AS sentiment_ma5, avg(sentiment) OVER {rows(10)} AS sentiment_ma10 "
-    "FROM sent WHERE date >= DATE '2024-01-08'"
-)
+SENT = f"SELECT *, avg(sentiment) OVER {rows(5)} AS sentiment_ma5, avg(sentiment) OVER {rows(10)} AS sentiment_ma10 FROM sent"
 
 
 @query(
@@ -33,11 +30,13 @@ LATE_SENT = (
     "code date close:4 sentiment:6 sentiment_ma5:6 sentiment_ma10:6 comment_count sentiment_source",
     f"SELECT code, date, close, coalesce(sentiment, 0) AS sentiment, coalesce(sentiment_ma5, 0) AS sentiment_ma5, "
     f"coalesce(sentiment_ma10, 0) AS sentiment_ma10, coalesce(comment_count, 0) AS comment_count, "
-    f"coalesce(data_source, 'not_available') AS sentiment_source FROM evbars LEFT JOIN ({LATE_SENT}) AS s USING (code, date)",
+    f"coalesce(data_source, 'not_available') AS sentiment_source FROM (SELECT code, date, close FROM evbars UNION ALL "
+    f"SELECT code, date, close FROM bars) AS b LEFT JOIN ({SENT}) AS s USING (code, date)",
 )
 def join_sentiment(spark, sf):
-    late = sentiment(spark, sf).where(F.col("date") >= F.lit("2024-01-08").cast("date"))
-    return j.join_sentiment(bars_short(spark, sf), sentiment_ma(late))
+    # Line items have no sentiment, events all have one: hits and misses, both sides whole.
+    both = bars_short(spark, sf).unionByName(bars_long(spark, sf))
+    return j.join_sentiment(both, sentiment_ma(sentiment(spark, sf)))
 
 
 @query(
@@ -82,11 +81,10 @@ def join_latest(spark, sf):
 @query(
     "detail_coverage",
     "code name has_detail",
-    "SELECT code, name, CASE WHEN code IN (SELECT code FROM bars WHERE date < DATE '1995-01-05') THEN 1 ELSE 0 END AS has_detail FROM dim",
+    "SELECT code, name, CASE WHEN code IN (SELECT code FROM evbars) THEN 1 ELSE 0 END AS has_detail FROM dim",
 )
 def detail_coverage(spark, sf):
-    early = bars_long(spark, sf).where(F.col("date") < F.lit("1995-01-05").cast("date"))
-    return j.detail_coverage(early, catalog(spark, sf))
+    return j.detail_coverage(bars_short(spark, sf), catalog(spark, sf))
 
 
 @query(
@@ -104,12 +102,12 @@ def calendar_next(spark, sf):
     "calendar_reindex",
     "date open:4",
     "SELECT date, open FROM (SELECT DISTINCT date FROM bars) AS d LEFT JOIN (SELECT date, avg(open) AS open FROM bars "
-    "WHERE volume > 10 GROUP BY date) AS b USING (date)",
+    "GROUP BY date) AS b USING (date)",
 )
 def calendar_reindex(spark, sf):
     bars = bars_long(spark, sf)
-    index = bars.where(F.col("volume") > 10).groupBy("date").agg(F.avg("open").alias("open"))
-    return j.calendar_reindex(index, bars, check=False)
+    index = bars.groupBy("date").agg(F.avg("open").alias("open"))
+    return j.calendar_reindex(index, bars)
 
 
 MARKS_SQL = """
@@ -279,10 +277,10 @@ def board_breadth(spark, sf):
     "board_amount_share",
     "board amount:2 share_pct:1",
     f"SELECT board, amount, amount / sum(amount) OVER () * 100 AS share_pct FROM (SELECT {board()} AS board, "
-    "sum(amount) AS amount FROM bars WHERE date >= DATE '2001-01-01' GROUP BY 1) AS b",
+    "sum(amount) AS amount FROM bars GROUP BY 1) AS b",
 )
 def board_amount_share(spark, sf):
-    return x.board_amount_share(bars_long(spark, sf).where(F.col("date") >= F.lit("2001-01-01").cast("date")))
+    return x.board_amount_share(bars_long(spark, sf))
 
 
 @query(
@@ -578,11 +576,7 @@ def symbol_union(spark, sf):
 @query(
     "key_difference",
     "code",
-    f"SELECT DISTINCT {supplier_code('s_suppkey')} AS code FROM supplier WHERE s_acctbal > 0 EXCEPT "
-    "SELECT code FROM bars WHERE date < DATE '1995-01-10'",
+    "SELECT DISTINCT code FROM dim EXCEPT SELECT code FROM evbars",
 )
 def key_difference(spark, sf):
-    rich = table(spark, sf, "supplier").where(F.col("s_acctbal") > 0)
-    codes = catalog(spark, sf).join(rich.select("s_name"), F.col("name") == F.col("s_name"), "left_semi")
-    early = bars_long(spark, sf).where(F.col("date") < F.lit("1995-01-10").cast("date"))
-    return j.missing_detail(codes, early)
+    return j.missing_detail(catalog(spark, sf), bars_short(spark, sf))

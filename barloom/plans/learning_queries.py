@@ -140,24 +140,25 @@ def _trained(spark, sf):
     rows = materialise(frame(spark, sf).select("code", "date", "close", "label", *FEATURES), "frame")
     splits = ln.time_split_purged(rows)
     train = splits.where(F.col("split") == "train")
-    return ln.train_direction(train, FEATURES, iterations=ROUNDS), splits
+    return ln.train_direction(train, FEATURES, iterations=ROUNDS), splits, rows
 
 
 @query("train_direction", "date code predicted:6 actual:6")
 def train_direction(spark, sf):
-    model, splits = _trained(spark, sf)
+    model, splits, _ = _trained(spark, sf)
     return ln.predict_direction(model, splits.where(F.col("split") == "test"), FEATURES)
 
 
 @query("feature_importance_topk", "feature importance:6")
 def feature_importance_topk(spark, sf):
-    model, _ = _trained(spark, sf)
+    model, *_ = _trained(spark, sf)
     return ln.feature_importance(model, FEATURES, spark, 10)
 
 
 @query("score_holdout", "date code close:4 predicted:6 actual:6 implied_close:4")
 def score_holdout(spark, sf):
-    model, rows = _trained(spark, sf)
+    # The holdout is the last stretch of all rows; the days purged around the training split belong to it.
+    model, _, rows = _trained(spark, sf)
     return ln.score_holdout(model, rows, FEATURES)
 
 
@@ -180,7 +181,7 @@ def train_return(spark, sf):
 
 @query("training_log", "model record")
 def training_log(spark, sf):
-    model, splits = _trained(spark, sf)
+    model, splits, _ = _trained(spark, sf)
     scored = ln.predict_direction(model, splits.where(F.col("split") == "test"), FEATURES)
     return ln.training_log(ln.eval_classification(scored), splits, "boosted_trees", FEATURES, {"iterations": ROUNDS, "depth": 4})
 

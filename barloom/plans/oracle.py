@@ -18,8 +18,12 @@ def rows(n: int) -> str:
 SO_FAR = "(PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
+def code_of(number: str) -> str:
+    return f"CASE WHEN ({number}) < 100000 THEN lpad(CAST(({number}) AS VARCHAR), 6, '0') ELSE CAST(({number}) AS VARCHAR) END"
+
+
 def supplier_code(key: str) -> str:
-    return f"lpad(CAST(({key} * 7919 + 1) % 1000000 AS VARCHAR), 6, '0')"
+    return code_of(f"{key} * 7919 + 1")
 
 
 def ewma(source: str, span: int) -> str:
@@ -94,8 +98,8 @@ VIEWS: dict[str, str] = {
         SELECT code, date, arg_min(price, i) AS open, max(price) AS high, min(price) AS low,
             arg_max(price, i) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount
         FROM ticks GROUP BY code, date""",
-    "ev_ticks": """
-        SELECT lpad(CAST(user_id % 1000000 AS VARCHAR), 6, '0') AS code, CAST(ts AS DATE) AS date, value,
+    "ev_ticks": f"""
+        SELECT {code_of('user_id')} AS code, CAST(ts AS DATE) AS date, value,
             event_type, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i
         FROM events""",
     "evbars": """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import LONG_CODE_PATTERN
 from barloom.operators import quality as q
 from barloom.plans.cleaning_queries import CLEAN_SQL, DATED, VALID, cleaned, dated
 from barloom.plans.oracle import HIST
@@ -47,7 +48,7 @@ REPORT_SQL = f"""
         {_sum_missing(DIRTY_COLUMNS[:8])} AS unexpected_missing_cell_count,
         count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS nonpositive_price_count,
         count(*) FILTER (volume < 0) AS negative_volume_count, count(*) FILTER (volume = 0) AS zero_volume_count,
-        count(*) FILTER (NOT regexp_full_match(code, '[0-9]{{6}}')) AS invalid_code_count,
+        count(*) FILTER (NOT regexp_full_match(code, '[0-9]{{6,}}')) AS invalid_code_count,
         (SELECT count(*) FROM (SELECT close / lag(close) OVER {HIST} - 1 AS r FROM (SELECT code, date, max(close) AS close
             FROM ({DIRTY}) AS a WHERE date IS NOT NULL GROUP BY code, date) AS b) AS c WHERE abs(r) > 0.3) AS extreme_return_count
         FROM ({DIRTY}) AS d) AS r"""
@@ -61,12 +62,12 @@ REPORT_SHAPE = (
 
 @query("quality_report", REPORT_SHAPE, REPORT_SQL)
 def quality_report(spark, sf):
-    return q.quality_report(dirty(spark, sf))
+    return q.quality_report(dirty(spark, sf), LONG_CODE_PATTERN)
 
 
 @query("quality_status", "quality_status row_count", REPORT_SQL)
 def quality_status(spark, sf):
-    return q.quality_report(dirty(spark, sf))
+    return q.quality_report(dirty(spark, sf), LONG_CODE_PATTERN)
 
 
 def _profile_sql(columns: list[str], source: str) -> str:
@@ -100,12 +101,12 @@ def extreme_returns(spark, sf):
 @query(
     "source_distribution",
     "source row_count",
-    "SELECT coalesce(data_source, 'not_available') AS source, count(*) AS row_count FROM evbars LEFT JOIN "
-    "(SELECT * FROM sent WHERE date >= DATE '2024-01-08') AS s USING (code, date) GROUP BY 1",
+    "SELECT coalesce(data_source, 'not_available') AS source, count(*) AS row_count FROM (SELECT code, date FROM evbars UNION ALL "
+    "SELECT code, date FROM bars) AS b LEFT JOIN sent AS s USING (code, date) GROUP BY 1",
 )
 def source_distribution(spark, sf):
-    late = sentiment(spark, sf).where(F.col("date") >= F.lit("2024-01-08").cast("date"))
-    joined = bars_short(spark, sf).join(late, ["code", "date"], "left")
+    both = bars_short(spark, sf).unionByName(bars_long(spark, sf))
+    joined = both.join(sentiment(spark, sf), ["code", "date"], "left")
     return q.source_distribution(joined.withColumnRenamed("data_source", "sentiment_source"))
 
 
@@ -117,7 +118,7 @@ def source_distribution(spark, sf):
     f"min(date) AS start_date, max(date) AS end_date FROM ({DATED}) AS d",
 )
 def valid_summary(spark, sf):
-    return q.valid_summary(dated(spark, sf))
+    return q.valid_summary(dated(spark, sf), LONG_CODE_PATTERN)
 
 
 SCORE_SQL = f"""
@@ -128,7 +129,7 @@ SCORE_SQL = f"""
 
 @query("quality_score", "run_id row_count quality_score:3 status", SCORE_SQL)
 def quality_score(spark, sf):
-    return q.quality_run(q.quality_report(dirty(spark, sf)), "run", "v1")
+    return q.quality_run(q.quality_report(dirty(spark, sf), LONG_CODE_PATTERN), "run", "v1")
 
 
 RULE_ROWS = " UNION ALL ".join(
@@ -144,7 +145,7 @@ ISSUES_SQL = f"""
 
 def issues(spark, sf):
     frame = dirty(spark, sf)
-    return q.quality_issues(q.quality_report(frame), q.missing_profile(frame), "run")
+    return q.quality_issues(q.quality_report(frame, LONG_CODE_PATTERN), q.missing_profile(frame), "run")
 
 
 @query("quality_issues", "run_id rule_name column_name issue_count severity category", ISSUES_SQL)
@@ -179,7 +180,7 @@ def coverage(spark, sf):
     f"FROM ({ISSUES_SQL}) AS i, (SELECT count(*) AS n FROM raw) AS r GROUP BY rule_name, category",
 )
 def issue_rollup(spark, sf):
-    run = q.quality_run(q.quality_report(dirty(spark, sf)), "run", "v1")
+    run = q.quality_run(q.quality_report(dirty(spark, sf), LONG_CODE_PATTERN), "run", "v1")
     return q.issue_rollup(issues(spark, sf), run)
 
 
@@ -192,7 +193,7 @@ CHECK_ROWS = " UNION ALL ".join(
 
 @query("quality_checks_view", "check_name issue_count verdict", CHECK_ROWS)
 def quality_checks_view(spark, sf):
-    return q.quality_checks(q.quality_report(dirty(spark, sf)))
+    return q.quality_checks(q.quality_report(dirty(spark, sf), LONG_CODE_PATTERN))
 
 
 @query(

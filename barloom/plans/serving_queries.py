@@ -11,7 +11,7 @@ from barloom.operators import ranking as r
 from barloom.operators import serving as s
 from barloom.operators import text as t
 from barloom.plans.crosssection_queries import IC_SQL, INDUSTRY_SHAPE, INDUSTRY_SQL, MARKET_SHAPE, _ic_sql, industry_rows
-from barloom.plans.oracle import HIST
+from barloom.plans.oracle import HIST, code_of
 from barloom.plans.registry import query
 from barloom.sources.adapter import EVENT_WEIGHTS, bars_long, catalog, table
 
@@ -77,7 +77,7 @@ def join_run_quality(spark, sf):
 @query(
     "q_catalog",
     "code name market board industry_l1 is_demo has_detail source",
-    f"SELECT * FROM ({DETAIL}) AS d WHERE industry_l1 = 'NATION_3' ORDER BY code LIMIT 6000",
+    f"SELECT * FROM ({DETAIL}) AS d WHERE industry_l1 = 'NATION_3' ORDER BY code",
 )
 def q_catalog(spark, sf):
     return s.stock_catalog(star(spark, sf), "NATION_3", True)
@@ -107,7 +107,7 @@ SNAPSHOT_SQL = (
 @query(
     "q_market_snapshot",
     "code name market board industry_l1 date close:4 pre_close:4 change:4 pct_chg:3 volume amount:3 ret:5 sentiment:2",
-    f"{SNAPSHOT_SQL} ORDER BY amount DESC, code LIMIT 500",
+    f"{SNAPSHOT_SQL}",
 )
 def q_market_snapshot(spark, sf):
     return s.market_snapshot(star(spark, sf))
@@ -125,7 +125,7 @@ def q_industry_summary(spark, sf):
 @query(
     "q_stock_history",
     "code date close:4 ma20:4 rsi:6 macd:4 bb_position:5 pct_chg:3 label:5 sentiment:2 data_version",
-    f"SELECT * FROM {FACTS} WHERE code = '007920' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' ORDER BY date LIMIT 2000",
+    f"SELECT * FROM {FACTS} WHERE code = '007920' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'",
 )
 def q_stock_history(spark, sf):
     return s.stock_history(star(spark, sf), "007920", "1996-01-01", "1999-12-31")
@@ -135,7 +135,7 @@ def q_stock_history(spark, sf):
     "q_peer_history",
     "code name industry_l1 date close:4 ret:5 volatility_20d:5",
     "SELECT code, name, industry_l1, date, close, ret, volatility_20d FROM bars_ready JOIN dim USING (code) "
-    "WHERE industry_l1 = 'NATION_3' AND date >= DATE '2000-01-01' ORDER BY code, date LIMIT 20000",
+    "WHERE industry_l1 = 'NATION_3' AND date >= DATE '2000-01-01'",
 )
 def q_peer_history(spark, sf):
     return s.peer_history(star(spark, sf), "NATION_3", "2000-01-01")
@@ -186,7 +186,7 @@ def q_quality_issues(spark, sf):
 
 
 # The list a page would ask for: the first hundred suppliers.
-WATCHLIST = [f"{(k * 7919 + 1) % 1000000:06d}" for k in range(100)]
+WATCHLIST = [f"{k * 7919 + 1:06d}" for k in range(100)]
 
 
 @query(
@@ -355,7 +355,7 @@ def daily_sentiment(spark, sf):
 @query(
     "comment_sentiment",
     "code date sentiment:6 comment_count data_source",
-    """SELECT lpad(CAST(user_id % 1000000 AS VARCHAR), 6, '0') AS code, CAST(ts AS DATE) AS date,
+    f"""SELECT {code_of('user_id')} AS code, CAST(ts AS DATE) AS date,
         coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS sentiment, 1 AS comment_count, 'events' AS data_source
         FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1""",
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import LONG_CODE_PATTERN
 from barloom.operators import factors as f
 from barloom.operators import quality as q
 from barloom.operators import serving as s
@@ -130,7 +131,7 @@ def scan_catalog(spark, sf):
 )
 def scan_json_report(spark, sf):
     frame = dirty(spark, sf)
-    report = sinks.report_with_details(q.quality_report(frame), q.missing_profile(frame))
+    report = sinks.report_with_details(q.quality_report(frame, LONG_CODE_PATTERN), q.missing_profile(frame))
     path = sinks.write_report(report, scratch_path(spark, "report"))
     stored = readers.read_report(spark, path, sinks.nested_report_schema())
     return stored.select("row_count", "stock_count", "quality_status", F.explode("missing_details").alias("d")).select(
@@ -153,7 +154,7 @@ def write_partitioned(spark, sf):
 
 @query("write_quality", "row_count stock_count quality_status", REPORT_SQL)
 def write_quality(spark, sf):
-    path = sinks.write_report(q.quality_report(dirty(spark, sf)), scratch_path(spark, "quality"))
+    path = sinks.write_report(q.quality_report(dirty(spark, sf), LONG_CODE_PATTERN), scratch_path(spark, "quality"))
     return spark.read.json(path)
 
 
@@ -213,7 +214,7 @@ def content_version(spark, sf):
     "write_backtest",
     "part row_count",
     f"WITH {NAV_CTE} SELECT 'backtest_results' AS part, count(*) AS row_count FROM nav UNION ALL SELECT 'backtest_metrics', "
-    "count(*) FROM ords UNION ALL SELECT 'daily_portfolios', count(*) FROM tgt UNION ALL SELECT 'execution_log', count(*) FROM tgt",
+    "count(*) FROM ords UNION ALL SELECT 'target_weights', count(*) FROM tgt UNION ALL SELECT 'execution_log', count(*) FROM tgt",
 )
 def write_backtest(spark, sf):
     market, daily, orders, grid = _approximate(spark, sf)

@@ -1,4 +1,4 @@
-"""Strategy evaluation: signals, targets, bars, turnover, ledger, benchmark, metrics."""
+"""Strategy evaluation: signals, targets, bars, turnover, returns, orders, benchmark, metrics."""
 
 from __future__ import annotations
 
@@ -231,11 +231,7 @@ def _approximate(spark, sf):
     grid = st.scenario_frame(spark, SCENARIOS)
     nav = st.approximate_nav(st.weight_returns(chosen, market, grid), grid)
     daily = st.results(nav, st.benchmark_curve(index_open(market), usable, days, market), grid)
-    picks = chosen.select("scenario", "code", F.col("execution_date").alias("date")).join(market, ["code", "date"], "left")
-    reason = st.block_reason("buy", market.columns)
-    orders = picks.select(
-        "scenario", "code", "date", reason.alias("reason"), F.when(reason.isNull(), "filled").otherwise("blocked").alias("status")
-    )
+    orders = st.buy_orders(chosen, market)
     return market, daily, orders, grid
 
 
@@ -278,22 +274,28 @@ def holdings_slice(spark, sf):
     return m.holdings_slice(chosen, "2024-01-05", "2024-01-20")
 
 
-# ---- path-dependent: rows only here, checked against a hand-written loop in the tests ------------
-
-
-def _book(spark, sf):
-    market, _, chosen, days = _fixture(spark, sf, long_market)
-    return st.ledger(st.execution_bars(chosen, days, market), days, st.scenario_frame(spark, SCENARIOS))
+# ---- daily values and orders of the weights -----------------------------------------------------
 
 
 @query(
     "bt_ledger",
-    "scenario date portfolio_return:6 gross_return:6 equity_curve:2 transaction_cost:8 turnover:6 cash:2 n_stocks stale_price_positions",
+    "scenario date portfolio_return:6 gross_return:6 cumulative_return:5 benchmark_cumulative:6 transaction_cost:8 turnover:6 names",
+    f"WITH {NAV_CTE} SELECT * FROM nav",
 )
 def bt_ledger(spark, sf):
-    return st.nav_rows(_book(spark, sf))
+    """Daily values by target weights."""
+    return _approximate(spark, sf)[1]
 
 
-@query("bt_orders", "scenario date code side status reason quantity:6 price:4 fee:6")
+@query(
+    "bt_orders",
+    "scenario date code status reason",
+    f"""WITH {_views('ltmkt')} SELECT t.scenario, t.execution_date AS date, t.code, CASE WHEN b.open > 0 AND b.volume > 0 THEN 'filled'
+        ELSE 'blocked' END AS status, CASE WHEN NOT coalesce(b.open > 0, false) THEN 'missing_open'
+        WHEN NOT coalesce(b.volume > 0, false) THEN 'missing_or_zero_volume' END AS reason
+        FROM tgt AS t LEFT JOIN ltmkt AS b ON b.code = t.code AND b.date = t.execution_date""",
+)
 def bt_orders(spark, sf):
-    return st.order_rows(_book(spark, sf))
+    """Buy orders of the targets with their status, over names that trade on some days only."""
+    market, _, chosen, _ = _fixture(spark, sf, long_market)
+    return st.buy_orders(chosen, market)

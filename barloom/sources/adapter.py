@@ -1,11 +1,12 @@
 """Order, event and supplier tables read as market data.
 
 No market feed ships with the data, so bars are derived from it: a supplier or
-a user is a symbol, a day of line items or events is its bar. Codes are six
-digits, so a date never holds more than a million symbols, and bars are unique
-on (code, date), so a symbol never holds more rows than there are days. Both
-come from hash aggregates with map-side combine: a supplier with a third of all
-line items costs no task more than its share of input files.
+a user is a symbol, a day of line items or events is its bar. Different keys
+have different codes, however many there are. Bars are unique on (code, date),
+so a symbol never holds more rows than there are days; a date holds as many
+rows as there are symbols. They come from aggregates with map-side combine
+(sorted ones, as the order of the ticks is a struct): a supplier with a third
+of all line items costs no task more than its share of input files.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def supplier_code(key: str = "l_suppkey") -> Column:
-    """Injective on keys below a million and spread over all prefixes."""
+    """Injective, and spread over all prefixes."""
     return code_from_number(F.col(key) * 7919 + 1)
 
 

@@ -71,7 +71,7 @@ def write_report(report: DataFrame, path: str) -> str:
 
 def write_backtest(results: DataFrame, metrics: DataFrame, holdings: DataFrame, orders: DataFrame, path: str) -> dict[str, str]:
     out = {}
-    parts = {"backtest_results": results, "backtest_metrics": metrics, "daily_portfolios": holdings, "execution_log": orders}
+    parts = {"backtest_results": results, "backtest_metrics": metrics, "target_weights": holdings, "execution_log": orders}
     for name, frame in parts.items():
         out[name] = f"{path}/{name}"
         frame.write.mode("overwrite").parquet(out[name])

@@ -120,3 +120,24 @@ def test_percent_ranks(spark):
     assert [rows[c]["a"] for c in "abcd"] == [0.875, 0.25, 0.875, 0.5]
     assert rows["e"]["a"] is None
     assert [rows[c]["f"] for c in "abcd"] == [0.75, 0.25, 1.0, 0.5]
+
+
+def test_exponential_means_carry_on_over_gaps(spark):
+    """Missing closes at the start, in runs and at the end, against pandas."""
+
+
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for code, share in (("000031", 0.0), ("000032", 0.2), ("000033", 0.85), ("000034", 1.0)):
+        values = pd.Series(np.where(rng.random(700) < share, np.nan, 40 + rng.normal(0, 1, 700).cumsum()))
+        if code == "000032":
+            values[:5] = np.nan
+        for span in (5, 26):
+            want[code, span] = values.ewm(span=span, adjust=False).mean()
+        rows += [(code, dt.date(2030, 1, 1) + dt.timedelta(days=i), None if np.isnan(v) else float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "code string, date date, close double")
+    for r in ewma(df, [("close", "fast", 5), ("close", "slow", 26)]).collect():
+        for name, span in (("fast", 5), ("slow", 26)):
+            expected = want[r["code"], span][(r["date"] - dt.date(2030, 1, 1)).days]
+            assert (r[name] is None) == bool(np.isnan(expected))
+            assert r[name] is None or r[name] == pytest.approx(expected, rel=1e-9)

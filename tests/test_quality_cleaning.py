@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import guards
-from barloom.functions.scalars import board_of, money_label, normalise_code, trade_date
+from barloom.functions.scalars import board_of, code_from_number, money_label, normalise_code, trade_date
 from barloom.operators import cleaning as c
 from barloom.operators import quality as q
 from barloom.operators.joins import join_sentiment
@@ -18,26 +18,28 @@ from barloom.streaming import incremental as inc
 def test_dirty_rows(spark):
     df = spark.createDataFrame(
         [
-            ("600519", "2026-01-02", 10.0, 11.0, 9.0, 10.5, "real"),
-            ("600519", "2026-01-02", 10.0, 9.0, 9.5, 10.5, "real"),
-            ("000001", "invalid", 8.0, 9.0, 7.0, None, "synthetic_demo"),
+            ("300456", "2030-05-06", 20.0, 22.0, 19.0, 21.0, "survey"),
+            ("300456", "2030-05-06", 20.0, 18.0, 17.0, 19.5, "survey"),  # same key, high below open
+            ("300456", "2030-05-07", 21.0, 23.0, 20.0, None, "survey"),  # one missing cell
+            ("000021", "31 May", 5.0, 6.0, 4.0, 5.0, "made"),  # no date: the other one
         ],
         "code string, date string, open double, high double, low double, close double, sentiment_source string",
     )
     r = q.quality_report(df).first()
-    assert (r.row_count, r.duplicate_key_count, r.invalid_date_count, r.invalid_ohlc_count) == (3, 1, 1, 1)
+    assert (r.row_count, r.duplicate_key_count, r.invalid_date_count, r.invalid_ohlc_count) == (4, 1, 1, 1)
     assert (r.missing_cell_count, r.unexpected_missing_cell_count) == (2, 2)
     assert (r.structural_factor_missing_count, r.structural_label_missing_count, r.quality_status) == (0, 0, "FAIL")
 
 
 def test_structural_gaps_only_warn(spark):
-    day = dt.date(2026, 1, 2)
+    days = [dt.date(2030, 5, d) for d in (6, 7, 8)]
+    gaps = [(None, 0.02), (None, -0.01), (0.3, None)]  # two factors still warming up, the last label not known yet
     df = spark.createDataFrame(
-        [("600519", day, 10.0, 11.0, 9.0, 10.0, 5.0, 50.0, None, 0.1), ("600519", day + dt.timedelta(1), 10.0, 11.0, 9.0, 10.0, 5.0, 50.0, 0.1, None)],
+        [("300456", day, 20.0, 22.0, 19.0, 21.0, 3.0, 63.0, *gap) for day, gap in zip(days, gaps, strict=True)],
         "code string, date date, open double, high double, low double, close double, volume double, amount double, momentum_60d double, label double",
     )
     r = q.quality_report(df).first()
-    assert (r.raw_missing_cell_count, r.structural_factor_missing_count, r.structural_label_missing_count) == (0, 1, 1)
+    assert (r.raw_missing_cell_count, r.structural_factor_missing_count, r.structural_label_missing_count) == (0, 2, 1)
     assert (r.unexpected_missing_cell_count, r.quality_status) == (0, "WARN")
 
 
@@ -48,34 +50,35 @@ def test_clean_frame_passes(spark):
 
 def test_sentiment_defaults_and_join(spark):
     raw = spark.createDataFrame(
-        [("1", "2026-01-02", 0.2, 0.1, 0.05), ("1", "bad", 0.3, 0.1, 0.05)],
+        [("21", "2030-05-06", -0.4, 0.6, 0.7), ("21", "in May", 0.9, 0.6, 0.7)],
         "code string, date string, sentiment double, sentiment_ma5 double, sentiment_ma10 double",
     )
     s = readers.normalise_sentiment(raw)
     row = s.first()
     assert s.count() == 1
-    assert (row["code"], row["comment_count"], row["data_source"]) == ("000001", 0, "legacy_unknown")
-    panel = spark.createDataFrame([("000001", dt.date(2026, 1, 2), 9.0), ("000002", dt.date(2026, 1, 2), 9.0)], "code string, date date, close double")
+    assert (row["code"], row["comment_count"], row["data_source"]) == ("000021", 0, "legacy_unknown")
+    panel = spark.createDataFrame([("000021", dt.date(2030, 5, 6), 7.5), ("000022", dt.date(2030, 5, 6), 7.5)], "code string, date date, close double")
     got = {r["code"]: r for r in join_sentiment(panel, s).collect()}
-    assert (got["000001"]["sentiment"], got["000001"]["sentiment_source"]) == (0.2, "legacy_unknown")
-    assert (got["000002"]["sentiment"], got["000002"]["sentiment_source"]) == (0.0, "not_available")
+    assert (got["000021"]["sentiment"], got["000021"]["sentiment_source"]) == (-0.4, "legacy_unknown")
+    assert (got["000022"]["sentiment"], got["000022"]["sentiment_source"]) == (0.0, "not_available")
     assert join_sentiment(panel, None).first()["sentiment_source"] == "not_available"
 
 
 def test_upsert(spark):
-    d2, d3 = dt.date(2026, 1, 2), dt.date(2026, 1, 3)
-    stored = spark.createDataFrame([("600519", d2, 1400.0), ("600519", d3, 1410.0), ("000001", d3, 12.5)], "code string, date date, ret double")
+    may, june = dt.date(2030, 5, 6), dt.date(2030, 6, 3)
+    stored = spark.createDataFrame([("300456", may, 7.0), ("000021", june, 8.0)], "code string, date date, ret double")
     batch = spark.createDataFrame(
-        [("600519.0", "2026-01-02", 0.01, 0.12), ("1", "2026-01-02", -0.02, -0.08), (None, "2026-01-02", 1.0, 1.0), ("5", "x", 1.0, 1.0)],
+        [("300456.0", "2030-05-06", 0.4, 0.5), ("22", "2030-06-03", 0.6, 0.7), ("22", "2030-06-04", 0.8, 0.9), (None, "2030-06-04", 3.0, 3.0), ("9", "soon", 3.0, 3.0)],
         "code string, date string, ret double, momentum_20d double",
     )
     once = inc.upsert(stored, inc.prepare_batch(batch, ["ret"]))
-    again = spark.createDataFrame([("600519", "2026-01-02", 0.25)], "code string, date string, momentum_20d double")
+    again = spark.createDataFrame([("22", "2030-06-04", -0.9)], "code string, date string, momentum_20d double")
     rows = {(r["code"], r["date"]): r for r in inc.upsert(once, inc.prepare_batch(again, ["momentum_20d"])).collect()}
     assert len(rows) == 4
-    assert rows["600519", d2]["momentum_20d"] == 0.25
-    assert rows["600519", d2]["ret"] == 0.01
-    assert rows["600519", d3]["ret"] == 1410.0 and rows["600519", d3]["momentum_20d"] is None
+    last = dt.date(2030, 6, 4)
+    assert (rows["000022", last]["ret"], rows["000022", last]["momentum_20d"]) == (0.8, -0.9)
+    assert (rows["300456", may]["ret"], rows["300456", may]["momentum_20d"]) == (0.4, 0.5)
+    assert rows["000021", june]["ret"] == 8.0 and rows["000021", june]["momentum_20d"] is None
 
 
 def test_upsert_overwrites_with_null(spark):
@@ -103,10 +106,23 @@ def test_hostile_input_is_rejected():
         guards.safe_columns(["ok", "x; drop table"])
     with pytest.raises(ValueError):
         guards.offset(-1)
-    assert guards.bounded_limit(99999, 2000) == 2000
     assert guards.security_code("1") == "000001"
 
 
+def test_limits_are_exact_or_refused(spark):
+    df = spark.range(5000)
+    assert guards.row_limit(df, None).count() == 5000 and guards.row_limit(df, 4321).count() == 4321
+    for bad in (0, -1, 1.5, "10", True):
+        with pytest.raises(ValueError):
+            guards.row_limit(df, bad)
+
+
+def test_codes_of_different_keys_differ(spark):
+    keys = [1, 7, 999_999, 1_000_000, 1_000_001, 2_000_001, 123_456_789_012]
+    codes = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k bigint").select(code_from_number("k")).collect()]
+    assert codes == ["000001", "000007", "999999", "1000000", "1000001", "2000001", "123456789012"]
+
+
 def test_unique_key(spark):
     good = spark.createDataFrame([("a", 1), ("b", 1)], "code string, n int")
     assert guards.assert_unique_key(good, ["code"]) is good

@@ -70,8 +70,8 @@ def test_reads(star):
     assert {row["code"] for row in s.peer_history(star, "bank").collect()} == {"000001", "688001"}
     assert s.latest_quotes(star, ["1", "600519"]).count() == 2
     assert s.quality_issues(star).where("rule_name = 'duplicate_primary_key'").first()["issue_count"] == 0
-    with pytest.raises(ValueError):
-        s.latest_quotes(star, [str(i) for i in range(101)])
+    assert s.latest_quotes(star, [str(i) for i in range(600500, 600620)]).count() == 1
+    assert s.stock_history(star, "600519").count() == 10
     with pytest.raises(ValueError):
         s.stock_history(star, "x' OR 1=1 --")
 
@@ -111,24 +111,24 @@ def test_ic_sends_one_row_per_symbol_over_the_exchange(star):
 
 
 def test_symbol_metrics(spark):
-    rows = [("000001", dt.date(2024, 1, i + 1), c, ret, a) for i, (c, ret, a) in enumerate([(100.0, 0.0, 10.0), (110.0, 0.1, 20.0), (99.0, -0.1, 30.0)])]
-    rows += [("000002", dt.date(2024, 1, i + 1), c, None, 1.0) for i, c in enumerate((100.0, 105.0, 120.0))]
+    rows = [("000001", dt.date(2024, 1, i + 1), c, ret, a) for i, (c, ret, a) in enumerate([(50.0, 0.0, 4.0), (40.0, -0.2, 8.0), (60.0, 0.5, 6.0)])]
+    rows += [("000002", dt.date(2024, 1, i + 1), c, None, 1.0) for i, c in enumerate((10.0, 10.0, 15.0))]
     rows += [("000003", dt.date(2024, 1, 1), 5.0, None, 1.0)]
     panel = spark.createDataFrame(rows, "code string, date date, close double, ret double, amount double")
     one = m.stock_metrics(panel).where("code = '000001'").first()
-    assert one["period_return"] == pytest.approx(-0.01) and one["max_drawdown"] == pytest.approx(-0.10)
-    assert one["average_turnover"] == 20 and one["annualized_volatility"] == pytest.approx(0.1 * math.sqrt(252))
+    assert one["period_return"] == pytest.approx(0.2) and one["max_drawdown"] == pytest.approx(-0.2)
+    assert one["average_turnover"] == 6 and one["annualized_volatility"] == pytest.approx(math.sqrt(0.13 * 252))
     dim = spark.createDataFrame([(c, c, "bank") for c in ("000001", "000002", "000003")], "code string, name string, industry_l1 string")
     peers = {p["code"]: p for p in m.peer_percentiles(panel, dim).collect()}
     assert peers["000002"]["return_percentile"] == 1.0 and "000003" not in peers
 
 
 def test_industry_metrics(spark):
-    rows = [("bank", dt.date(2024, 1, i + 1), 100, 0.01, 0.5, 100.0 if i < 5 else 120.0) for i in range(10)]
+    rows = [("bank", dt.date(2024, 1, i + 1), 64, 0.02, 0.5, 80.0 if i < 5 else 100.0) for i in range(10)]
     df = spark.createDataFrame(rows, "industry_l1 string, date date, stock_count long, average_return double, advancing_ratio double, total_amount double")
     got = m.industry_metrics(df).first()
-    assert got["return_5d"] == pytest.approx(1.01**5 - 1) and got["amount_change_5d"] == pytest.approx(0.2)
-    assert got["stock_count"] == 100
+    assert got["return_5d"] == pytest.approx(1.02**5 - 1) and got["amount_change_5d"] == pytest.approx(0.25)
+    assert got["stock_count"] == 64
     assert m.industry_metrics(df.where("date > '2024-01-01'")).first()["amount_change_5d"] is None
 
 
