@@ -178,11 +178,21 @@ def q_quality_runs(spark, sf):
         SELECT 'ret_5d', count(*) FILTER (ret_5d IS NULL) FROM bars_ready UNION ALL
         SELECT 'ret_10d', count(*) FILTER (ret_10d IS NULL) FROM bars_ready UNION ALL
         SELECT 'reversal_5d', count(*) FILTER (reversal_5d IS NULL) FROM bars_ready UNION ALL
-        SELECT 'label', count(*) FILTER (label IS NULL) FROM bars_ready) AS c""",
+        SELECT 'label', count(*) FILTER (label IS NULL) FROM bars_ready) AS c UNION ALL
+        SELECT 'extreme_return', 'ret', count(*) FILTER (abs(r) > 0.3), 'WARN' FROM (
+            SELECT close / nullif(lag(close) OVER {HIST}, 0) - 1 AS r FROM bars_ready) AS x UNION ALL
+        SELECT 'zero_volume', 'volume', count(*) FILTER (volume = 0), 'WARN' FROM bars_ready UNION ALL
+        SELECT 'negative_volume', 'volume', count(*) FILTER (volume < 0), 'ERROR' FROM bars_ready UNION ALL
+        SELECT 'nonpositive_price', 'ohlc', count(*) FILTER (least(open, high, low, close) <= 0), 'ERROR' FROM bars_ready UNION ALL
+        SELECT 'invalid_ohlc', 'ohlc', count(*) FILTER (high < greatest(open, low, close) OR low > least(open, high, close)), 'ERROR'
+            FROM bars_ready UNION ALL
+        SELECT 'invalid_date', 'date', count(*) FILTER (date IS NULL), 'ERROR' FROM bars_ready UNION ALL
+        SELECT 'invalid_stock_code', 'code', count(*) FILTER (NOT regexp_full_match(code, '[0-9]{{6,}}')), 'ERROR' FROM bars_ready UNION ALL
+        SELECT 'duplicate_primary_key', '', count(*) - count(DISTINCT (code, date)), 'ERROR' FROM bars_ready UNION ALL
+        SELECT 'unexpected_missing', '', count(*) FILTER (open IS NULL OR close IS NULL), 'ERROR' FROM bars_ready""",
 )
 def q_quality_issues(spark, sf):
-    found = s.quality_issues(star(spark, sf))
-    return found.where((F.col("rule_name") == "missing_value") & (F.col("severity") == "INFO"))
+    return s.quality_issues(star(spark, sf))
 
 
 # The list a page would ask for: the first hundred suppliers.

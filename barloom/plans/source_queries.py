@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import LONG_CODE_PATTERN
+from barloom.functions.scalars import LONG_CODE_PATTERN, board_of, market_of
+from barloom.functions.scalars import money_label as money_text
 from barloom.operators import factors as f
 from barloom.operators import quality as q
 from barloom.operators import serving as s
 from barloom.operators import strategy as st
 from barloom.plans.factor_queries import PANEL_SHAPE
-from barloom.functions.scalars import board_of, market_of
-from barloom.functions.scalars import money_label as money_text
 from barloom.plans.oracle import board, rows
 from barloom.plans.panels import long_panel, scored_panel
 from barloom.plans.quality_queries import DIRTY, REPORT_SQL, dirty
@@ -205,9 +204,28 @@ def rebuild_serving(spark, sf):
     return sinks.rebuild_serving(spark, doubled, scratch_path(spark, "serving"), ["volume", "amount"], f.BAR_COLUMNS)
 
 
-@query("content_version", "data_version")
+@query(
+    "content_version",
+    "variant same",
+    "SELECT * FROM (VALUES ('reordered', true), ('one cell changed', false), ('one row fewer', false), ('names swapped', false)) AS v(variant, same)",
+)
 def content_version(spark, sf):
-    return sinks.content_version({"bars": bars_long(spark, sf), "catalog": catalog(spark, sf)})
+    """Whether variants of two tables get the version of the originals: the order of rows doesn't count, content does."""
+    bars, dim = bars_long(spark, sf), catalog(spark, sf)
+    first = dim.agg(F.min("code")).scalar()
+    renamed = F.when(F.col("code") == first, "another name").otherwise(F.col("name"))
+    variants = {
+        "reordered": {"bars": bars.repartition("date"), "catalog": dim.orderBy(F.col("name").desc())},
+        "one cell changed": {"bars": bars, "catalog": dim.withColumn("name", renamed)},
+        "one row fewer": {"bars": bars, "catalog": dim.where(F.col("code") > first)},
+        "names swapped": {"bars": dim, "catalog": bars},
+    }
+    original = sinks.content_version({"bars": bars, "catalog": dim}).scalar()
+    out = None
+    for name, tables in variants.items():
+        one = sinks.content_version(tables).select(F.lit(name).alias("variant"), (F.col("data_version") == original).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(

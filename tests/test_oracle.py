@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(NAMES) - set(contract.oracle_sql()) <= SLOW | {"content_version"}
+    assert set(NAMES) - set(contract.oracle_sql()) <= SLOW
 
 
 def test_entry(spark):
