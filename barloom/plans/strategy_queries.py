@@ -37,7 +37,7 @@ def _fixture(spark, sf, source=short_market):
         .where(F.col("predicted").isNotNull())
         .select("date", "code", "predicted")
     )
-    return market, *st.stage(st.signals(predictions, market, check=False), market, SCENARIOS)
+    return market, *st.stage(st.signals(predictions, market), market, SCENARIOS)
 
 
 def _views(bars: str) -> str:
