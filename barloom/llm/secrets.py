@@ -50,8 +50,11 @@ CLASSES = (
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
     r"(?i:example|sample|dummy|placeholder|changeme|xxxx)",
-    r"^(?:[A-Za-z]+[-_/=+])+[A-Za-z0-9]*$",  # words in a path or name
-    r"^[=_+/-]+|[=_-]{4,}",  # rules and underlines
+    # words in a path or name, letters only, the last one with a short number: name-of-file-v2, report/of/2024
+    r"^(?:[A-Za-z]+[-_/=+])+(?:[A-Z]?[a-z]+)?[0-9]{1,4}$",
+    r"^[=_+/-]+$",  # rules
+    # underlines, if no part between them is long enough for a candidate
+    r"^(?!.*(?:(?![=_-]{4}).){20}).*[=_-]{4}",
 )
 
 

@@ -71,6 +71,16 @@ def test_entropy_finds_random_strings_and_obeys_the_allow_list(spark):
     assert added(spark, lambda d: secrets.scan(d, allowed=()), sample) == [("entropy", sample)]
 
 
+def test_allow_list_lets_no_random_part_go(spark):
+    random = "zQ8f3kLw9TtX0pVr2BnM7cYd5h"
+    for found in (f"ghp_{random}", f"sk_live_{random}", f"sk-{random}", f"npm_{random}", f"hf_{random}", f"auth={random}", f"ab/{random}",
+                  f"/{random}", f"+{random}", f"-{random}", f"={random}", f"{random}======", f"-----{random}-----"):
+        assert added(spark, secrets.scan, f"use {found} here") == [("entropy", found)], found
+    words = "path/of/some/big-document_v2 Quick-wizard-jumps-over-1984 org/apache/Beam-fixtures/chunk12 ====name1====kept2===="
+    assert added(spark, secrets.scan, words) == []
+    assert len(added(spark, lambda d: secrets.scan(d, allowed=()), words)) > 0
+
+
 def test_entropy_by_incremental_counts_equals_the_definition(spark):
     alphabet = secrets.CLASSES[1].alphabet
     texts = ["", "a", "abab", "zQ8f3kLw9TtX0pVr2BnM7cYd" * 3, "a" * 25 + "zQ8f3kLw9TtX0pVr2BnM", "0123456789" * 4]
