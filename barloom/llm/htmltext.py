@@ -3,7 +3,8 @@
 A tree is built from the tags as a browser would, as far as text needs it: end tags that may be left out are implied (a
 paragraph ends at the next block, an item at the next item, a cell at the next cell or row), the head ends at the first
 thing that can't be in it, void elements have no content, stray end tags are passed over. The tree is then rendered:
-elements that are never shown, or are hidden by attribute or inline style, are left out; white space collapses but for
+elements that are never shown, or are hidden by attribute or inline style, are left out; formulas (MathML) and the labels
+of inline diagrams (SVG) are shown, without their annotations and definitions, a label to a line; white space collapses but for
 preformatted text; blocks stand on lines of their own, paragraphs and headings with an empty line around them; list items
 have markers or numbers and are indented by depth; table cells are padded so that columns align.
 
@@ -25,7 +26,15 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Never shown, whatever the style.
-UNSHOWN = frozenset("head title script style template noscript iframe object video audio canvas svg math datalist".split())
+UNSHOWN = frozenset("head title script style template noscript iframe object video audio canvas datalist".split())
+# SVG and MathML are shown but for these; SVG has text in its text elements only.
+UNSHOWN_FOREIGN = frozenset("annotation annotation-xml defs desc metadata title symbol clippath mask pattern marker".split())
+TEXT_IN_FOREIGN = frozenset("text foreignobject math".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())  # what they hold is HTML again
+# Start tags that end SVG and MathML around them, as in the standard.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 IN_HEAD = frozenset("base link meta title style script template noscript".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption".split()
@@ -51,15 +60,19 @@ MAX_SPAN = 1000  # columns or rows that a cell may span, as in the standard
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "foreign", "mute", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]):
+    def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.foreign = tag in ("svg", "math") or (parent is not None and parent.foreign and parent.tag not in INTEGRATION)
+        self.mute = tag == "svg" or (parent is not None and parent.mute and tag not in TEXT_IN_FOREIGN)  # its characters aren't drawn
 
     def shown(self) -> bool:
         a = self.attrs
         if self.tag in UNSHOWN or "hidden" in a or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"):
             return False
+        if self.foreign and (self.tag in UNSHOWN_FOREIGN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+            return False
         return not ("style" in a and INVISIBLE.search(a["style"] or ""))
 
 
@@ -84,7 +97,14 @@ class TreeBuilder(HTMLParser):
             if self.open[i].tag in stop:
                 return
 
+    def _break_out(self) -> None:
+        """Closes the SVG or MathML that the next element can't be in."""
+        while self.open[-1].foreign and self.open[-1].tag not in INTEGRATION:
+            self.count[self.open.pop().tag] -= 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in BREAKOUT:
+            self._break_out()
         if self.count["head"] and tag not in IN_HEAD:
             self._pop_to(frozenset(("head",)), frozenset())
         if tag in ENDS:
@@ -95,14 +115,16 @@ class TreeBuilder(HTMLParser):
             self._pop_to(*ENDS["p"])
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self._pop_to(frozenset((self.open[-1].tag,)), frozenset())
-        node = Node(tag, dict(reversed(attrs)))
+        node = Node(tag, dict(reversed(attrs)), self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
             self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML, but ends an element of SVG or MathML
+        if self.open[-1].foreign and self.open[-1].tag == tag:
+            self.count[self.open.pop().tag] -= 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):  # what follows still belongs to the page
@@ -116,7 +138,8 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.count["head"] and self.open[-1].tag == "head" and data.strip():
             self._pop_to(frozenset(("head",)), frozenset())
-        self.open[-1].children.append(data)
+        if not self.open[-1].mute:
+            self.open[-1].children.append(data)
 
 
 class Box:
@@ -252,7 +275,7 @@ def render(root: Node) -> str:
                 continue
             stack.append((node, False))
             stack += [(c, True) for c in reversed(node.children)]
-        if tag in BLOCKS:
+        if tag in BLOCKS or (tag == "text" and node.foreign):
             nested = tag in LISTS and len(lists) > (0 if enter else 1)
             box.block(tag in SPACED and not nested)
         if tag == "br":

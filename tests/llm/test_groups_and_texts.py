@@ -178,6 +178,23 @@ def test_layout(page, text):
     assert visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.", "Let x=2."),
+        ("<math><semantics><mi>y</mi><annotation>\\y</annotation><annotation-xml><ci>z</ci></annotation-xml></semantics></math>", "y"),
+        ("<svg><text>Sun</text><g><text>Earth <tspan>(old)</tspan></text></g></svg>", "Sun\nEarth (old)"),
+        ("<svg><title>t</title><desc>d</desc><metadata>m</metadata><style>s</style><script>c</script>stray<text>seen</text></svg>", "seen"),
+        ("<svg><defs><text>d</text></defs><defs/><symbol><text>s</text></symbol><text display=none>n</text><text>seen</text></svg>", "seen"),
+        ("<svg><foreignObject><p>inside</p></foreignObject></svg><desc>after</desc>", "inside\n\nafter"),
+        ("<svg><defs><path/><p>next", "next"),
+        ("<svg/>one <svg><path d=''/></svg>two", "one two"),
+    ],
+)
+def test_formulas_and_inline_diagrams(page, text):
+    assert visible_text(page) == text
+
+
 def test_any_markup_is_rendered():
     rng = random.Random(1)
     bits = "<p> </p> <li> <ul> </ul> <table> <tr> <td> </td> </table> <td/colspan=99999999> text &amp &#99999999; <![CDATA[x]]> <![foo <! <!-- --> <?php </ < <a/href=' > <script> </script> <head> </body> </br> <select><option>".split()
