@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.ranks import bucketed_counts
 from barloom.functions.scalars import safe_corr
 from barloom.functions.windows import history
-from barloom.session import materialise
+from barloom.session import materialise, shared_dir
 
 # Candidate features, sentiment features, and sources counted as verified.
 CLASSIC_FEATURES = [
@@ -127,6 +127,12 @@ def f_score_select(train: DataFrame, features: Sequence[str], label: str = "labe
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
+def selected(train: DataFrame, features: Sequence[str], label: str = "label", k: int = 25) -> list[str]:
+    """The names of the k best features, in the order given."""
+    best = {r["feature"] for r in f_score_select(train, features, label, k).select("feature").collect()}
+    return [c for c in features if c in best]
+
+
 def class_weight(train: DataFrame) -> DataFrame:
     """Positives, negatives, and the weight of a positive row."""
     up = F.count_if(F.col("label") > 0)
@@ -167,6 +173,12 @@ def _features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return assembled.drop(*[f"_x_{c}" for c in features])
 
 
+def _checkpoints(spark) -> None:
+    """Boosting adds to its lineage each round; with a folder to write to, MLlib cuts it every ten rounds."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def train_direction(
     train: DataFrame, features: Sequence[str], iterations: int = 200, depth: int = 4, step: float = 0.05, seed: int = 42
 ) -> Model:
@@ -185,6 +197,7 @@ def train_direction(
         featuresCol="features", labelCol="direction", weightCol="weight", maxIter=iterations, maxDepth=depth,
         stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
     )
+    _checkpoints(train.sparkSession)
     return learner.fit(materialise(rows.select("features", "direction", "weight"), "direction"))
 
 
@@ -197,21 +210,23 @@ def predict_direction(model: Model, rows: DataFrame, features: Sequence[str]) ->
 
 
 def train_return(
-    train: DataFrame, features: Sequence[str], iterations: int = 500, depth: int = 5, step: float = 0.015, seed: int = 42
-) -> tuple[Model, Model]:
-    """Boosted regression of the next return and a linear baseline."""
-    rows = materialise(_features(train.where(F.col("label").isNotNull()), features).select("features", "label"), "return")
+    train: DataFrame, features: Sequence[str], iterations: int = 500, depth: int = 5, step: float = 0.015, seed: int = 42, k: int = 25
+) -> tuple[Model, Model, list[str]]:
+    """Boosted regression of the next return and a linear baseline, on the k features of the highest F, and their names."""
+    chosen = selected(train, features, "label", k)
+    rows = materialise(_features(train.where(F.col("label").isNotNull()), chosen).select("features", "label"), "return")
     boosted = GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=step,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
     )
     linear = LinearRegression(featuresCol="features", labelCol="label", maxIter=50)
-    return boosted.fit(rows), linear.fit(rows)
+    _checkpoints(train.sparkSession)
+    return boosted.fit(rows), linear.fit(rows), chosen
 
 
-def predict_return(models: tuple[Model, Model], rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    boosted, linear = models
-    first = boosted.transform(_features(rows, features)).withColumnRenamed("prediction", "predicted")
+def predict_return(models: tuple[Model, Model, list[str]], rows: DataFrame) -> DataFrame:
+    boosted, linear, chosen = models
+    first = boosted.transform(_features(rows, chosen)).withColumnRenamed("prediction", "predicted")
     both = linear.transform(first).withColumnRenamed("prediction", "baseline")
     return both.select("date", "code", "predicted", "baseline", F.col("label").alias("actual"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import functions as F
 
 from barloom.operators import learning as ln
@@ -9,7 +10,7 @@ from barloom.operators.joins import join_sentiment
 from barloom.plans.oracle import HIST
 from barloom.plans.panels import long_panel
 from barloom.plans.registry import query
-from barloom.session import materialise
+from barloom.session import materialise, scratch_path
 
 FEATURES = ["ret_5d", "ma5_ma10_diff", "rsi", "macd", "volatility_20d", "bb_position", "volume_ratio", "amount_ratio"]
 READY = "(SELECT * FROM bars_ready WHERE label IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES) + ") AS ready"
@@ -133,45 +134,54 @@ def sequence_windows(spark, sf):
 
 # ---- training: rows only, MLlib's trees have no SQL counterpart ---------------------------------
 
-ROUNDS = 5
+MODEL_FEATURES = UNVERIFIED  # all inputs of the models
+_fitted: dict[tuple, str] = {}  # where the model of an application and a training table is written
 
 
 def _trained(spark, sf):
-    rows = materialise(frame(spark, sf).select("code", "date", "close", "label", *FEATURES), "frame")
+    """The model of the direction, fitted once for equal training rows and shared by the queries below."""
+    rows = materialise(ln.model_frame(long_panel(spark, sf), MODEL_FEATURES).select("code", "date", "close", "label", *MODEL_FEATURES), "frame")
     splits = ln.time_split_purged(rows)
     train = splits.where(F.col("split") == "train")
-    return ln.train_direction(train, FEATURES, iterations=ROUNDS), splits, rows
+    content = F.xxhash64(*train.columns)
+    version = train.agg(F.count(F.lit(1)), F.bit_xor(content), F.sum(content.cast("decimal(38, 0)"))).first()
+    key = (spark.sparkContext.applicationId, *version)
+    if key not in _fitted:
+        path = scratch_path(spark, "direction-model")
+        ln.train_direction(train, MODEL_FEATURES).write().save(path)
+        _fitted[key] = path
+    return GBTClassificationModel.load(_fitted[key]), splits, rows
 
 
 @query("train_direction", "date code predicted:6 actual:6")
 def train_direction(spark, sf):
     model, splits, _ = _trained(spark, sf)
-    return ln.predict_direction(model, splits.where(F.col("split") == "test"), FEATURES)
+    return ln.predict_direction(model, splits.where(F.col("split") == "test"), MODEL_FEATURES)
 
 
 @query("feature_importance_topk", "feature importance:6")
 def feature_importance_topk(spark, sf):
     model, *_ = _trained(spark, sf)
-    return ln.feature_importance(model, FEATURES, spark, 10)
+    return ln.feature_importance(model, MODEL_FEATURES, spark)
 
 
 @query("score_holdout", "date code close:4 predicted:6 actual:6 implied_close:4")
 def score_holdout(spark, sf):
     # The holdout is the last stretch of all rows; the days purged around the training split belong to it.
     model, _, rows = _trained(spark, sf)
-    return ln.score_holdout(model, rows, FEATURES)
+    return ln.score_holdout(model, rows, MODEL_FEATURES)
 
 
 @query("train_return", "split_id period n mse:6 r2:6 accuracy:6 ic:6 win_rate:6 baseline_mse:6 baseline_r2:6")
 def train_return(spark, sf):
-    panel = ln.rolling_year_splits(materialise(long_panel(spark, sf).select("code", "date", "label", *FEATURES), "panel"))
+    panel = ln.rolling_year_splits(materialise(long_panel(spark, sf).select("code", "date", "label", *MODEL_FEATURES), "panel"))
     # One row per window of years; each window is a training run of its own.
     windows = panel.select("split_id", "period").distinct().orderBy("split_id").collect()
     out = None
     for window in windows:
-        rows = ln.standardise_on_train(panel.where(F.col("split_id") == window["split_id"]), FEATURES)
-        models = ln.train_return(rows.where(F.col("role") == "train"), FEATURES, iterations=2)
-        scored = ln.predict_return(models, rows.where(F.col("role") == "test"), FEATURES)
+        rows = ln.standardise_on_train(panel.where(F.col("split_id") == window["split_id"]), MODEL_FEATURES)
+        models = ln.train_return(rows.where(F.col("role") == "train"), MODEL_FEATURES)
+        scored = ln.predict_return(models, rows.where(F.col("role") == "test"))
         found = ln.eval_regression(scored).select(
             F.lit(window["split_id"]).alias("split_id"), F.lit(window["period"]).alias("period"), "*"
         )
@@ -182,8 +192,8 @@ def train_return(spark, sf):
 @query("training_log", "model record")
 def training_log(spark, sf):
     model, splits, _ = _trained(spark, sf)
-    scored = ln.predict_direction(model, splits.where(F.col("split") == "test"), FEATURES)
-    return ln.training_log(ln.eval_classification(scored), splits, "boosted_trees", FEATURES, {"iterations": ROUNDS, "depth": 4})
+    scored = ln.predict_direction(model, splits.where(F.col("split") == "test"), MODEL_FEATURES)
+    return ln.training_log(ln.eval_classification(scored), splits, "boosted_trees", MODEL_FEATURES, {"iterations": model.getMaxIter(), "depth": model.getMaxDepth()})
 
 
 # ---- evaluation of a fixed score, so that SQL can follow ----------------------------------------

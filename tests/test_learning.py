@@ -103,3 +103,29 @@ def test_direction_model_end_to_end(spark, bars):
     own = ln.score_holdout(model, frame, features, "600519")
     assert {r["code"] for r in own.select("code").distinct().collect()} == {"600519"}
     assert ln.score_holdout(model, frame, features, "999999").select("code").distinct().count() == 2
+
+
+def test_return_model_selects_its_features(spark):
+    rng = random.Random(3)
+    rows = [(dt.date(2024, 1, 1), str(i), y + 0.01 * rng.random(), -y + 0.02 * rng.random(), rng.random(), y) for i in range(60) for y in (rng.random(),)]
+    df = spark.createDataFrame(rows, "date date, code string, b double, a double, noise double, label double")
+    models = ln.train_return(df, ["noise", "b", "a"], iterations=1, k=2)
+    assert models[2] == ["b", "a"] and models[0].numFeatures == 2
+    assert ln.predict_return(models, df).count() == 60
+
+
+def test_registered_training_takes_all_inputs_and_rounds(spark, monkeypatch):
+    """Fits are replaced by short ones that keep what they were asked for."""
+    from barloom.plans import learning_queries as lq
+
+    asked = []
+    direction, regression = ln.train_direction, ln.train_return
+    monkeypatch.setattr(ln, "train_direction", lambda t, f, **kw: (asked.append((len(f), kw)), direction(t, f, iterations=1))[1])
+    monkeypatch.setattr(ln, "train_return", lambda t, f, **kw: (asked.append((len(f), kw)), regression(t, f, iterations=1))[1])
+    monkeypatch.setattr(lq, "_fitted", {}, raising=False)
+    smoke = "/root/testdata/sf0.001"
+    assert lq.feature_importance_topk(spark, smoke).count() == 15
+    lq.training_log(spark, smoke)
+    assert asked == [(21, {})]  # the second query takes the model of the first
+    lq.train_return(spark, smoke)
+    assert len(asked) > 1 and all(x == (21, {}) for x in asked)
