@@ -7,8 +7,8 @@ jointly. A text is cut into equal windows of ``WINDOW`` words and more, which co
 worst window. Training starts with every window under its document's label; then the toxic documents are represented by
 their worst windows only, since their other windows need not be toxic.
 
-It learns from at most ``SAMPLE`` rows of each label, those with the smallest hashes of their ids, and never from rows of
-the held-out fold. The sample is all that goes to the driver. Everything else covers all rows.
+It learns from at most ``SAMPLE`` ids of each label, those with the smallest hashes, and never from rows of the held-out
+fold. Of repeated rows of an id one is learnt from, that with the smallest text. The sample is all that goes to the driver. Everything else covers all rows.
 
 Null and empty texts have no words and get the score of the bias alone. A row with a null id belongs to the fold of an
 empty id. Repeated rows are scored each. Labels that are null, or whose id has no document, are passed over; ids with
@@ -186,7 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rank = F.xxhash64(F.col(id_col).cast("string"))
     chosen = usable.where("y = 1").orderBy(rank, id_col).limit(sample).union(usable.where("y = 0").orderBy(rank, id_col).limit(sample))
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
-    found = rows.select(rank.alias("rank"), "text", "y").orderBy("rank", "text").limit(2 * sample).toArrow()
+    # One row of each id, however often it is repeated; so the bound on the ids is the bound on the rows.
+    single = rows.groupBy(id_col, "y").agg(F.min("text").alias("text"))
+    found = single.select(rank.alias("rank"), "text", "y").orderBy("rank", "text").toArrow()
     return fit(found.column("text").to_pylist(), np.asarray(found.column("y").to_pylist(), np.int64))
 
 

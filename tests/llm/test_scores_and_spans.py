@@ -203,3 +203,13 @@ def test_held_out_rows_never_train(spark):
     one = toxicity.train(frame(spark, [(i, t) for i, t, _ in rows]), labels)
     other = toxicity.train(frame(spark, [(i, t if crc32(str(i).encode()) % 5 else "something else") for i, t, _ in rows]), labels)
     assert np.array_equal(one.weights, other.weights) and one.bias == other.bias
+
+
+def test_repeated_rows_of_one_id_leave_the_others_in_training(spark):
+    rows = list(corpus(60))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    usable = [(i, t) for i, t, _ in rows if crc32(str(i).encode()) % 5]
+    once = toxicity.train(frame(spark, usable), labels, sample=20)
+    for i, t in usable[:3]:
+        again = toxicity.train(frame(spark, usable + [(i, t)] * 100), labels, sample=20)
+        assert np.array_equal(once.weights, again.weights) and once.bias == again.bias
