@@ -11,8 +11,9 @@ large the corpus is. They are numbered (``Pairs``), texts carry these numbers, a
 bounded by them.
 
 Texts are cut before white space that follows other characters, where neither tokenizer's tokens cross: A's pattern starts
-a pre-token at white space, and B has no piece with that character inside (checked when the pieces are read). Pieces of
-text are tokenised and aligned on their own and remembered, at most ``CACHE`` of them a worker, none longer than ``LONG``.
+a pre-token at white space, and B has no piece with that character inside (checked when the pieces are read). Texts are taken
+together up to ``CHUNK`` characters; what they share is tokenised and aligned once, all of it in one row of bytes, so that
+offsets, groups and pairs come from array operations. Memory goes with a chunk, or with one text if that is longer.
 
 A text that is null, empty, or not given back byte by byte by both tokenizers has no tokens. Rows alike in the text are
 measured alike, whatever their ids; null and repeated ids do no harm. An empty table gives no rows. Only the id and the
@@ -22,9 +23,9 @@ text column are read.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import batches_of, named, schema_with
 from barloom.session import materialise
 
-CACHE = 300_000  # pieces of text that a Python worker remembers
-LONG = 64  # characters; longer ones are not remembered
-CHUNK = 500_000  # characters of text that are looked up together
+CHUNK = 4_000_000  # characters of text that are aligned together
+TOGETHER = 64  # parts of text that are tokenised in one call
 FIRST = 0x100  # the first character that byte-level vocabularies put in place of an unprintable byte
 
 
@@ -74,20 +74,57 @@ class Tokenizers:
         self.cut = regex.compile(rf"\s*\S*{behind}").findall
 
     @cached_property
-    def a_sizes(self) -> dict[int, int]:
-        return {i: len(t) for i, t in self.a_bytes.items()}
+    def blobs(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For A and for B: the bytes of all ids in a row, where each id's start, and how many it has (0 if it has none)."""
+        out = []
+        for of in (self.a_bytes, self.b_bytes):
+            rows = [of.get(i, b"") for i in range(max(of) + 1)]
+            sizes = np.array([len(t) for t in rows])
+            out.append((np.frombuffer(b"".join(rows), np.uint8), np.cumsum(sizes) - sizes, sizes))
+        return out
+
+    @property
+    def sizes(self) -> list[np.ndarray]:
+        return [sizes for _, _, sizes in self.blobs]
+
+    def rebuilt(self, side: int, ids: np.ndarray) -> bytes:
+        blob, starts, sizes = self.blobs[side]
+        n = sizes[ids]
+        return blob[np.repeat(starts[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
 
     @cached_property
-    def b_sizes(self) -> dict[int, int]:
-        return {i: len(t) for i, t in self.b_bytes.items()}
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """Each text, as it is, with its ids; without ids where one of the two doesn't give it back."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        for text, a, b in zip(texts, a_ids, self.b.encode(texts, num_threads=1), strict=True):
-            raw = text.encode()
-            same = b"".join([self.a_bytes.get(i, b"") for i in a]) == raw == b"".join([self.b_bytes.get(i, b"") for i in b])
-            yield (text, a, b) if same else (text, [], [])
+    def written(self) -> tuple[np.ndarray, int]:
+        """How tokens are written: A's id i at 2i, or 2i + 1 if its group's part ends there; B's behind a shift."""
+        n_a, n_b = (len(x) for x in self.sizes)
+        rows = [f"{i}{end}" for i in range(n_a) for end in ",|"] + [f"{i}{end}" for i in range(n_b) for end in ",;"]
+        return np.array(rows, dtype=object), 2 * n_a
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """Ids of A and of B for the parts, one after the other, and which parts both give back; the others get no ids."""
+        together: list[list[str]] = [[]]
+        for part in parts:
+            together[-1].append(part)
+            if len(together[-1]) == TOGETHER or part[-1].isspace():  # white space at a text's end would go on into the next part
+                together.append([])
+        together = [g for g in together if g]
+        sides, same = self._encode(["".join(g) for g in together])
+        if all(same):
+            return *map(np.concatenate, sides), [True] * len(parts)
+        # Tokens don't cross parts, so they may be tokenised together; where one isn't given back, each is for itself.
+        alone, found = self._encode([p for g, ok in zip(together, same, strict=True) if not ok for p in g])
+        own, each, given = iter(zip(*alone, found, strict=True)), iter(zip(*sides, same, strict=True)), []
+        kept: list[tuple] = []
+        for group, (a, b, ok) in zip(together, each, strict=True):
+            for x, y, good in [(a, b, True)] if ok else [next(own) for _ in group]:
+                kept += [(x, y)] if good else []
+                given += [good] * (len(group) if ok else 1)
+        nothing = [np.zeros(0, np.int64)]
+        return *(np.concatenate([k[side] for k in kept] or nothing) for side in (0, 1)), given
+
+    def _encode(self, texts: list[str]) -> tuple[tuple[list[np.ndarray], list[np.ndarray]], list[bool]]:
+        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
+        return (a, b), [self.rebuilt(0, x) == t.encode() == self.rebuilt(1, y) for t, x, y in zip(texts, a, b, strict=True)]
 
 
 class Pairs:
@@ -103,8 +140,8 @@ class Pairs:
     def __len__(self) -> int:
         return len(self.codes)
 
-    def numbers(self, a: list[int], b: list[int]) -> np.ndarray:
-        return np.searchsorted(self.codes, np.array(a, np.int64) * self.stride + np.array(b, np.int64))
+    def numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.codes, a * self.stride + b)
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         return self.codes // self.stride, self.codes % self.stride
@@ -117,59 +154,55 @@ def _ids_of(of: dict[int, bytes]) -> dict[bytes, list[int]]:
     return back
 
 
-def groups(a: list[int], b: list[int], a_sizes: dict[int, int], b_sizes: dict[int, int]) -> tuple[str, list[int], list[int]]:
-    """The groups, written as A ids | B ids; and the last A and B ids of each, which are linked."""
-    if len(a) == 1 == len(b):
-        return f"{a[0]}|{b[0]}", a, b
-    a_ends = list(accumulate(map(a_sizes.__getitem__, a)))
-    b_at = {end: j for j, end in enumerate(accumulate(map(b_sizes.__getitem__, b)), 1)}
-    text, a_last, b_last, low, low_b = [], [], [], 0, 0
-    for high, end in enumerate(a_ends, 1):
-        if high_b := b_at.get(end):
-            text.append(f"{','.join(map(str, a[low:high]))}|{','.join(map(str, b[low_b:high_b]))}")
-            a_last.append(a[high - 1])
-            b_last.append(b[high_b - 1])
-            low, low_b = high, high_b
-    return ";".join(text), a_last, b_last
-
-
-class Aligner:
-    """Aligns the texts of one worker, piece by piece."""
-
-    def __init__(self, tokenizers: Tokenizers, pairs: Pairs):
-        self.tokenizers, self.pairs = tokenizers, pairs
-        self.cache: dict[str, tuple[int, int, str | None, list[int]]] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Counts of ids, groups and pair numbers of each piece; groups are None where the text isn't given back."""
-        t, a_all, b_all, made = self.tokenizers, [], [], []
-        for piece, a, b in t.encode(pieces):
-            text, a_last, b_last = groups(a, b, t.a_sizes, t.b_sizes) if a else (None, [], [])
-            made.append((piece, len(a), len(b), text, len(a_last)))
-            a_all += a_last
-            b_all += b_last
-        numbers, at = self.pairs.numbers(a_all, b_all).tolist(), 0
-        for piece, n_a, n_b, text, n in made:
-            self.cache[piece] = (n_a, n_b, text, numbers[at : at + n])
-            at += n
-
-    def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, list[int]]]:
-        """Per text: numbers of A ids, B ids and groups, the digest of the groups, and the numbers of its linked pairs."""
-        cut = [[p for p in self.tokenizers.cut(" " + t) if p] for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        fresh = [p for p in set().union(*cut) if p not in self.cache]
-        self._learn(fresh)
-        for pieces in cut:
-            a, b, written, numbers = zip(*map(self.cache.__getitem__, pieces), strict=True)
-            if None in written:
-                yield 0, 0, 0, "", []
-            else:
-                linked = list(chain.from_iterable(numbers))
-                yield sum(a), sum(b), len(linked), hashlib.sha256(";".join(written).encode()).hexdigest(), linked
-        for p in fresh:
-            if len(p) > LONG:
-                del self.cache[p]
+class Parts:
+    """Distinct parts of text, tokenised and aligned: per part the numbers of ids, its written groups, its linked pairs."""
+
+    def __init__(self, parts: list[str], tokenizers: Tokenizers, pairs: Pairs):
+        a, b, given = tokenizers.encode(parts)
+        self.given = np.array(given, bool)
+        ends_a, ends_b = np.cumsum(tokenizers.sizes[0][a]), np.cumsum(tokenizers.sizes[1][b])
+        part_ends = np.cumsum([len(p.encode()) if ok else 0 for p, ok in zip(parts, given, strict=True)])
+        self.n_a = np.diff(np.searchsorted(ends_a, part_ends, "right"), prepend=0)
+        self.n_b = np.diff(np.searchsorted(ends_b, part_ends, "right"), prepend=0)
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, shared), np.searchsorted(ends_b, shared)
+        self.pairs = pairs.numbers(a[last_a], b[last_b])
+        self.group_ends = np.searchsorted(shared, part_ends, "right")
+        # Tokens group by group, A's before B's, each written with what follows it.
+        texts, shift = tokenizers.written
+        final_a, final_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        final_a[last_a], final_b[last_b] = 1, 1
+        groups = np.concatenate([2 * np.searchsorted(shared, ends_a), 2 * np.searchsorted(shared, ends_b) + 1])
+        tokens = texts[np.concatenate([2 * a + final_a, shift + 2 * b + final_b])[np.argsort(groups, kind="stable")]].tolist()
+        ends = np.cumsum(self.n_a + self.n_b).tolist()
+        self.texts = ["".join(tokens[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def align_chunk(texts: list[str], tokenizers: Tokenizers, pairs: Pairs) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
+    """For texts, none empty: numbers of A ids, B ids and groups; the digests of the groups; and, text by text, the numbers
+    of the linked pairs, how often each is linked, and how many of them a text has."""
+    numbers: dict[str, int] = {}
+    at, sizes = [], []
+    for text in texts:
+        own = [numbers.setdefault(p, len(numbers)) for p in tokenizers.cut(" " + text) if p]
+        at += own
+        sizes.append(len(own))
+    parts = Parts(list(numbers), tokenizers, pairs)
+    at, starts = np.array(at), np.cumsum([0, *sizes[:-1]])
+    whole = np.logical_and.reduceat(parts.given[at], starts)
+    n_groups = np.diff(parts.group_ends, prepend=0)
+    counts = [np.where(whole, np.add.reduceat(n[at], starts), 0) for n in (parts.n_a, parts.n_b, n_groups)]
+    digests, written = [], parts.texts
+    for ok, low, n in zip(whole.tolist(), starts.tolist(), sizes, strict=True):
+        joined = "".join([written[i] for i in at[low : low + n].tolist()])[:-1] if ok else ""
+        digests.append(hashlib.sha256(joined.encode()).hexdigest() if ok else "")
+    # The pairs of each part of each whole text: a range of ``parts.pairs`` each.
+    at, owner = at[np.repeat(whole, sizes)], np.repeat(np.arange(len(texts)), np.where(whole, sizes, 0))
+    n = n_groups[at]
+    linked = parts.pairs[np.repeat(parts.group_ends[at] - np.cumsum(n), n) + np.arange(n.sum())]
+    keys, times = np.unique(np.repeat(owner, n) * max(1, len(pairs)) + linked, return_counts=True)
+    owners, linked = np.divmod(keys, max(1, len(pairs)))
+    return counts, digests, [linked, times, np.bincount(owners, minlength=len(texts))]
 
 
 ALIGNED = "key string, copies bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, pairs array<int>, times array<int>"
@@ -188,20 +221,20 @@ def align_texts(texts: DataFrame, a_json: str, b_model: bytes, pairs: Pairs) ->
     shared = texts.sparkSession.sparkContext.broadcast((a_json, b_model, pairs))  # as large as the vocabularies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(Tokenizers(*shared.value[:2]), shared.value[2])
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        tokenizers, known = Tokenizers(*shared.value[:2]), shared.value[2]
         for b in batches:
-            rows, lists, times = [], [], []
+            counts, digests, found = [np.zeros((3, 0), np.int64)], [], [[np.zeros(0, np.int64)] * 3]
             for group in batches_of((t.as_py() for t in b.column("text")), len, CHUNK):
-                for *counts, linked in aligner.align(group):
-                    rows.append(counts)
-                    own, n = np.unique(np.array(linked, np.int32), return_counts=True)
-                    lists.append(own)
-                    times.append(n)
-            n_a, n_b, n_groups, digests = zip(*rows, strict=True) if rows else ((), (), (), ())
-            offsets = pa.array(np.cumsum([0, *map(len, lists)], dtype=np.int32))
-            packed = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*x, np.zeros(0, np.int32)]).astype(np.int32))) for x in (lists, times)]
-            counts = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("copies"), *counts, pa.array(digests, pa.string()), *packed], [f.split()[0] for f in ALIGNED.split(", ")])
+                n, made, linked = align_chunk(group, tokenizers, known)
+                counts.append(np.stack(n))
+                digests += made
+                found.append(linked)
+            linked, times, sizes = (np.concatenate(x).astype(np.int32) for x in zip(*found, strict=True))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (linked, times)]
+            rows = [pa.array(x) for x in np.concatenate(counts, axis=1)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("copies"), *rows, pa.array(digests, pa.string()), *lists], [f.split()[0] for f in ALIGNED.split(", ")])
 
     return texts.select(F.sha2("text", 256).alias("key"), "copies", "text").mapInArrow(run, ALIGNED)
 

@@ -190,7 +190,7 @@ def test_linkable_pairs_are_those_of_suffixes(ours):
     for i in random.Random(1).sample(range(len(pairs)), 2000):
         x, y = ours.a_bytes[a[i]], ours.b_bytes[b[i]]
         assert x.endswith(y) or y.endswith(x)
-    assert pairs.numbers(a[:50].tolist(), b[:50].tolist()).tolist() == list(range(50))
+    assert pairs.numbers(a[:50], b[:50]).tolist() == list(range(50))
 
 
 def plain_shares(model, words, penalty=languages.PENALTY):
