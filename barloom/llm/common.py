@@ -23,7 +23,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     in both share a key, and their results are alike as well.
     """
     # The id is printed in front of a character that no number holds, so the two parts can't run into each other.
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))))
+    return F.unhex(F.md5(F.concat(F.coalesce(named(id_col).cast("string"), F.lit("null")), F.lit("|"), F.coalesce(named(text_col), F.lit("")))))
 
 
 def let(value: Column, body) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import let, row_key
+from barloom.llm.common import let, named, row_key
 from barloom.session import materialise
 
 WINDOW = 10
@@ -142,11 +142,8 @@ def _positions(docs: DataFrame, widths: list[int], prefixes: DataFrame, size: in
     return docs.select(row_key(id_col, text_col).alias("row"), id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def contamination(
-    docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """Per row of ``docs``: the id, ``n_words``, ``n_hit`` (words inside a window's occurrence), ``items`` (sorted ids, as
-    strings, of items with such windows) and ``contaminated``."""
+def _occurrences(docs: DataFrame, items: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows, the rows of ``docs`` by key, and (``row``, ``a``, ``b``, ``words``): where windows occur in them."""
     made = materialise(windows_of(items, size, item_col, item_text), "windows")
     windows = made.groupBy("words").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
     tokens = windows.select("words", "size", F.posexplode("shingles").alias("offset", "shingle"))
@@ -162,7 +159,15 @@ def contamination(
     local = F.col("p.before") - F.col("offset")
     near = pairs.where((start >= 0) & (start + F.col("size") <= F.col("n_words")) & (local >= 0))
     hits = near.where(F.array_join(F.slice("p.words", local + 1, F.col("size")), " ") == F.col("words")).select("row", start.alias("a"), (start + F.col("size")).alias("b"), "words")
-    hits = materialise(hits.distinct(), "hits")
+    return made, rows, materialise(hits.distinct(), "hits")
+
+
+def contamination(
+    docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """Per row of ``docs``: the id, ``n_words``, ``n_hit`` (words inside a window's occurrence), ``items`` (sorted ids, as
+    strings, of items with such windows) and ``contaminated``."""
+    made, rows, hits = _occurrences(docs, items, size, id_col, text_col, item_col, item_text)
     # Words inside any of a row's intervals: each, in order, adds what lies beyond the furthest end so far.
     covered = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     step = lambda acc, s: F.struct(
@@ -176,8 +181,11 @@ def contamination(
     return marked.select(id_col, "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
-    """The rows of ``docs`` (with unique ids) that hold no window of any item."""
-    id_col = names.get("id_col", "doc_id")
-    hit = contamination(docs, items, **names).where("contaminated").select(F.col(id_col).alias("hit_id")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["hit_id"]), "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item.
+
+    Each row is decided by its own id and text: rows that share an id, or have none, stay or go on their own account.
+    """
+    *_, hits = _occurrences(docs, items, size, id_col, text_col, item_col, item_text)
+    hit = hits.select(F.col("row").alias("hit_row")).distinct()
+    return docs.join(hit, row_key(id_col, text_col) == hit["hit_row"], "left_anti").select([named(c) for c in docs.columns])

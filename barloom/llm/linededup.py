@@ -12,11 +12,13 @@ takes holders away, recounts their keys, and takes keys that fall below two refe
 index after insert and delete decides as if the documents had never come. Decisions ask the filter first: a line it doesn't
 know is held once and stays; the others are looked up in ``counts``.
 
-Hot keys: postings of a shard are dealt over ``salts`` tasks by document, each of which gets a copy of the filter, and the
-tasks stream them: a task holds one filter and one batch. Shards are added so that a filter has about ``PER_SHARD`` keys.
+Hot keys: postings of a shard are dealt by document over as many tasks as ``PER_TASK`` postings each need, ``salts`` at
+least; each gets a copy of the filter and streams its postings, so it holds one filter and one batch. Shards are added so
+that a filter has about ``PER_SHARD`` keys. Decisions on a table's own rows are kept by row (its id and text), so a row is
+given its own keys only, however many rows share its id or have none.
 
 A null or empty text is one empty line. Rows that share an id are one document: a line that repeats within it stays.
-Rows with a null id are one document, which comes last. Repeated rows are each cut alike. An empty table gives an empty
+Rows with a null id are one document, which comes last. Repeated rows are cut alike. An empty table gives an empty
 index and no rows. Only the id and the text column are read.
 """
 
@@ -30,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ASCII_SPACE, NULL_ID
-from barloom.session import scratch_path
+from barloom.llm.common import ASCII_SPACE, NULL_ID, named, row_key, schema_with
+from barloom.session import materialise, scratch_path
 
 MIN_CHARS = 10
 PER_SHARD = 50_000
+PER_TASK = 200_000  # postings
 SLOTS = 4  # of a bucket
 KICKS = 500
 SPACE = ASCII_SPACE.encode()
@@ -126,22 +129,24 @@ class Cuckoo:
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``key``, ``doc``) for each key of each row, once."""
+    """(``key``, ``doc``, ``row``) for each key of each row, once; ``row`` stands for the id and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            keys, at = [], []
+            for i, text in enumerate(b.column("text")):
                 own = {key_of(x) for x in (text.as_py() or b"").split(b"\n")} - {None}
                 keys += own
-                ids += [doc] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc"])
+                at += [i] * len(own)
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("doc").take(taken), b.column("row").take(taken)], ["key", "doc", "row"])
 
-    return _narrow(docs, id_col, text_col).mapInArrow(run, "key binary, doc bigint")
+    return _narrow(docs, id_col, text_col).mapInArrow(run, "key binary, doc bigint, row binary")
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    doc = F.coalesce(named(id_col).cast("long"), F.lit(NULL_ID)).alias("doc")
+    return docs.select(*more, doc, row_key(id_col, text_col).alias("row"), named(text_col).cast("binary").alias("text"))
 
 
 def _shard(shards: int) -> Column:
@@ -220,8 +225,11 @@ class LineIndex:
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """With the lines of ``docs``; documents that are in already gain what lines they lack."""
-        fresh = postings(docs, id_col, text_col)
-        return self._next(self.table("holders").union(fresh).distinct(), _counted)
+        return self.insert_postings(postings(docs, id_col, text_col))
+
+    def insert_postings(self, fresh: DataFrame) -> LineIndex:
+        """As ``insert``, from the (key, doc) of documents."""
+        return self._next(self.table("holders").union(fresh.select("key", "doc")).distinct(), _counted)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Without the documents whose ids are listed; ids that aren't in are passed over."""
@@ -229,13 +237,20 @@ class LineIndex:
         return self._next(self.table("holders").join(gone, "doc", "left_anti").select("key", "doc"), _counted)
 
     def dropped(self, asked: DataFrame | None = None) -> DataFrame:
-        """(``doc``, ``keys``): the keys whose lines a document loses. ``asked``: its (key, doc); all holders by default."""
-        asked = self.table("holders") if asked is None else asked.distinct()
+        """The keys whose lines go, as an array ``keys``: for each ``row`` of the postings ``asked``, or, without them, for
+        each ``doc`` of the index."""
+        by = "doc" if asked is None else "row"
+        asked = (self.table("holders") if asked is None else asked).withColumn("of", F.col(by)).distinct()
         none = F.lit(None)
-        salt = F.pmod(F.xxhash64("doc"), F.lit(self.salts)).cast("int")
-        lines = asked.select(_shard(self.shards).alias("shard"), salt.alias("salt"), F.lit(1).alias("kind"), "key", "doc", none.cast("binary").alias("filter"))
-        copies = self.table("filters").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
-        copies = copies.select("shard", "salt", F.lit(0).alias("kind"), none.cast("binary"), none.cast("bigint"), "filter")
+        # A shard's postings are its keys' references.
+        size = self.table("counts").groupBy(_shard(self.shards).alias("shard")).agg(F.sum("refs").alias("size"))
+        tasks = F.greatest(F.lit(self.salts), F.ceil(F.coalesce("size", F.lit(0)) / PER_TASK)).cast("int")
+        size = size.select("shard", tasks.alias("tasks"))
+        lines = asked.withColumn("shard", _shard(self.shards)).join(size, "shard", "left")
+        salt = F.pmod(F.xxhash64("of", "doc"), F.coalesce("tasks", F.lit(self.salts))).cast("int")
+        lines = lines.select("shard", salt.alias("salt"), F.lit(1).alias("kind"), "key", "doc", "of", none.cast("binary").alias("filter"))
+        copies = self.table("filters").join(size, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(self.salts)) - 1)))
+        copies = copies.select("shard", "salt", F.lit(0).alias("kind"), none.cast("binary"), none.cast("bigint"), none.cast(asked.schema["of"].dataType), "filter")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = Cuckoo.build([])
@@ -249,15 +264,17 @@ class LineIndex:
                         table, part = Cuckoo.of(part.column("filter")[0].as_py()), part.slice(1)
                     if len(part):
                         known = pa.array(table.holds(part.column("key").to_pylist()))
-                        yield pa.RecordBatch.from_arrays([part.column("key").filter(known), part.column("doc").filter(known)], ["key", "doc"])
+                        yield pa.RecordBatch.from_arrays([part.column(c).filter(known) for c in ("key", "doc", "of")], ["key", "doc", "of"])
 
-        maybe = _streamed(lines.union(copies).select("shard", "salt", "kind", "key", "doc", "filter"), run, "key binary, doc bigint", "shard", "salt", "kind")
+        kind = asked.schema["of"].dataType.simpleString()
+        columns = ("shard", "salt", "kind", "key", "doc", "of", "filter")
+        maybe = _streamed(lines.union(copies).select(*columns), run, f"key binary, doc bigint, of {kind}", "shard", "salt", "kind")
         shared = self.table("counts").where("refs > 1")
-        return maybe.join(shared, "key").where("doc > first").groupBy("doc").agg(F.collect_list("key").alias("keys"))
+        return maybe.join(shared, "key").where("doc > first").groupBy(F.col("of").alias(by)).agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
         """Per row: the id, ``n_lines``, ``n_dropped``, ``kept`` (the lines that stay, as bytes) and ``row``, a struct of
-        the id and the columns to carry."""
+        the id and the columns to carry. ``dropped`` holds the keys by ``row`` or by ``doc``."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -275,9 +292,10 @@ class LineIndex:
                     [b.column("row"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.binary())], ["row", "n_lines", "n_dropped", "kept"]
                 )
 
-        row = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, *carry))]).alias("row")
-        rows = _narrow(docs, id_col, text_col, row).join(dropped, "doc", "left").select("row", "text", "keys")
-        cut = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_lines bigint, n_dropped bigint, kept binary")
+        carried = F.struct(*[named(c) for c in dict.fromkeys((id_col, *carry))]).alias("carried")
+        by = "row" if "row" in dropped.columns else "doc"
+        rows = _narrow(docs, id_col, text_col, carried).join(dropped, by, "left").select(F.col("carried").alias("row"), "text", "keys")
+        cut = rows.mapInArrow(run, schema_with(rows, "row", "n_lines bigint, n_dropped bigint, kept binary"))
         return cut.select(F.col("row")[id_col].alias(id_col), "n_lines", "n_dropped", "kept", "row")
 
 
@@ -287,5 +305,6 @@ def _counted(holders: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """A table against itself: an index of its documents decides over their own lines. Result as ``LineIndex.apply``."""
-    index = LineIndex.empty(docs.sparkSession).insert(docs, id_col, text_col)
-    return index.apply(docs, index.dropped(), id_col, text_col, carry)
+    lines = materialise(postings(docs, id_col, text_col), "postings")
+    index = LineIndex.empty(docs.sparkSession).insert_postings(lines)
+    return index.apply(docs, index.dropped(lines), id_col, text_col, carry)

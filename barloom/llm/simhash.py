@@ -26,60 +26,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import named, schema_with
 from barloom.session import materialise
 
-WIDTH = 3  # words in a shingle
+WIDTH = 3  # words in a shingle, unless a caller says otherwise
 SEED = 42
 BITS = 2  # differing bits that still link
 BYTES = 8
 BLOCK = 1 << 16  # shingles whose bits are unpacked at once
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, width: int = WIDTH) -> int:
     """The fingerprint of a text as an unsigned number."""
     from xxhash import xxh64_digest
 
     words = text.lower().split()
     if not words:
         return 0
-    if len(words) < WIDTH:
+    if len(words) < width:
         hashes = [xxh64_digest(b" ".join(words), SEED)]
     else:
         joined = b" ".join(words)
         starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-        hashes = [xxh64_digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[WIDTH:])]  # noqa: B905
+        hashes = [xxh64_digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:])]  # noqa: B905
     raw = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, BYTES)
     ones = sum(np.unpackbits(raw[i : i + BLOCK], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(raw), BLOCK))
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row: the id and ``fp`` (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_py() or b"") for t in b.column(1)]
+            found = [fingerprint(t.as_py() or b"", width) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], [id_col, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("binary").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(named(id_col), named(text_col).cast("binary").alias(text_col)).mapInArrow(run, schema_with(docs, id_col, "fp bigint"))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (``a`` < ``b``) that connect the distinct fingerprints ``fp`` as the relation "at most 2 differing bits" does."""
-    free = list(combinations(range(BYTES), BITS))  # the byte positions that a key leaves out
-    masks = [((1 << 64) - 1) & ~sum(0xFF << (8 * p) for p in pair) for pair in free]
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (``a`` < ``b``) that connect the distinct fingerprints ``fp`` as the relation "at most ``bits`` differing bits"
+    does, with the tally of bytes that the two share and their number of differing bits. ``bits`` is even."""
+    if bits % 2 or not 0 < bits < BYTES:
+        raise ValueError("an even number of bits below 8 is needed")
+    free = list(combinations(range(BYTES), bits))  # the byte positions that a key leaves out
+    masks = [((1 << 64) - 1) & ~sum(0xFF << (8 * p) for p in left) for left in free]
     postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("pair", "rest"))
     lists = postings.groupBy("pair", "rest").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     members = lists.select("pair", F.explode("members").alias("fp"))
-    flips = F.array(*[F.array(F.lit(0), *[F.lit(_signed(1 << (8 * p + bit))) for p in pair for bit in range(8)]) for pair in free])
+    # All ways to flip up to half of the bits within the free bytes.
+    flips = [sorted({sum(1 << x for x in c) for n in range(bits // 2 + 1) for c in combinations([8 * p + i for p in left for i in range(8)], n)}) for left in free]
+    flips = F.array(*[F.array(*[F.lit(_signed(x)) for x in own]) for own in flips])
     values = members.withColumn("flip", F.explode(F.get(flips, F.col("pair")))).select("pair", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     met = values.groupBy("pair", "value").agg(F.sort_array(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
-    return met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, F.size("m") - 1)).alias("b")).distinct()
+    pairs = met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, F.size("m") - 1)).alias("b")).distinct()
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    equal = sum((differ.bitwiseAND(F.lit(_signed(0xFF << (8 * p)))) == 0).cast("int") for p in range(BYTES))
+    tallied = pairs.select("a", "b", equal.alias("tally"), F.bit_count(differ).alias("differing"))
+    return tallied.where((F.col("tally") >= BYTES - bits) & (F.col("differing") <= bits))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -102,18 +111,32 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         current = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rooted(classes: DataFrame, bits: int) -> DataFrame:
+    """``classes`` (one row for each ``fp``) with ``root``, one fingerprint for each component."""
+    found = components(links(classes.select("fp"), bits))
+    return classes.join(found, classes["fp"] == found["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bits: int = BITS) -> DataFrame:
     """Per row: the id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id that links lead to."""
-    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min(id_col).alias("first"))
-    found = components(links(classes.select("fp")))
-    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    rooted = _rooted(rows.groupBy("fp").agg(F.min(named(id_col)).alias("first")), bits)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(of_class, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(of_class, "fp").select(named(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, and those with no id to name one. Ids are taken to be unique."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bits: int = BITS) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest id, rows without an id last; among equal ids the
+    one whose text has the smaller checksum; among rows alike in both any one.
+
+    Rows get a number first and are written with it once, so that whatever ids repeat or lack, one row is meant.
+    """
+    number = max(docs.columns, key=len, default="") + "_row"  # longer than any column's name
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    key = rows.select(named(number).alias("n"), named(id_col).alias("id"), named(text_col).alias("text"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("sum"), "n")
+    found = materialise(fingerprints(key.select(place.alias("place"), "text"), "place", "text", width), "fingerprints")
+    rooted = _rooted(found.groupBy("fp").agg(F.min("place").alias("first")), bits)
+    stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias(number))
+    return rows.join(stays, number, "left_semi").select([named(c) for c in docs.columns])

@@ -145,3 +145,21 @@ def test_shingles_tell_order_and_width():
     assert len({*decontam.shingles_of(h, 1)}) == 2 and len({*decontam.shingles_of(h, 2)}) == 2
     assert not np.intersect1d(decontam.shingles_of(h, 1), decontam.shingles_of(h, 2)).size
     assert decontam.shingles_of(h, 5).size == 0
+
+
+def test_one_id_with_many_rows(spark):
+    """A third of all rows share an id, a third have none: each row is given its own keys only."""
+    rows = [(1, f"{LINE}\nfirst line of all {i}") for i in range(150)]
+    rows += [(i, f"{LINE}\nfirst line of all {i}\nown line number {i}") for i in range(2, 150)]
+    rows += [(None, f"first line of all {i}\n{LINE}\nanother line {i}") for i in range(150)]
+    df = frame(spark, rows)
+    assert got_cut(linededup.dedup_lines(df)) == cut(rows)
+    lines = linededup.postings(df)
+    index = linededup.LineIndex.empty(spark).insert_postings(lines)
+    assert max(len(r["keys"]) for r in index.dropped(lines).collect()) <= 3
+
+
+def test_salts_follow_the_size_of_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PER_TASK", 5)
+    rows = [(i, f"{LINE}\nown line number {i}") for i in range(60)]
+    assert got_cut(linededup.dedup_lines(frame(spark, rows))) == cut(rows)
