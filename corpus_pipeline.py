@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages over the table ``documents``.
 
-Each stage is written and read again before the next, so a lost executor costs a stage's work at most. Rows with nulls in
-any column pass through as the operators' docstrings say; an empty table stays empty.
+Each stage is written and read again before the next, so a lost executor costs a stage's work at most. Every stage decides
+row by row: null and repeated ids, repeated rows and null or empty texts are rows like others, further columns of any name
+pass through (but for the last stage, which returns measures), and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from barloom.session import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; those with a null or empty text are among them. Equal rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that a document with a smaller id holds; ``n_chars`` follows."""
+    """Texts lose the lines that a document with a smaller id holds; ``n_chars`` follows.
+
+    Rows that share an id are one document, and all rows without an id one more, the last: none of these loses a line to
+    another of its own. A null text becomes an empty one.
+    """
     cut = linededup.dedup_lines(docs, carry=tuple(c for c in docs.columns if c not in ("text", "n_chars")))
     text = F.col("kept").cast("string")
     made = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -30,17 +35,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays, one without an id only if none has one;
+    ties are broken by the text's checksum, and of equal rows one stays. All empty texts are one group."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go; each row by its own text."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes."""
+    """Token counts and digests of the ids and of the decoded bytes, for each row; a null text counts as an empty one."""
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
