@@ -3,8 +3,8 @@
 Every window here is partitioned by ``code`` and ordered by ``date``. The panel
 is unique on (code, date), so one partition holds at most one row per calendar
 day: a symbol can be traded heavily, but its history cannot grow with the data.
-Raw inputs are brought to that key by hash aggregation with map-side combine
-first (see ``operators.cleaning.dedup``), never by a window.
+Raw inputs are brought to that key by aggregates with map-side combine first
+(see ``operators.cleaning.dedup``), never by a window.
 """
 
 from __future__ import annotations

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.guards import date_range, require_columns
-from barloom.functions.ranks import average_rank
+from barloom.functions.ranks import GROUP_ROWS, average_rank, group_median, rank_table
 from barloom.functions.scalars import board_of, safe_corr, sentiment_class
 from barloom.functions.windows import lag
+from barloom.session import materialise
 
 # The factors whose daily information coefficient is published.
 IC_FACTORS = [
@@ -19,6 +20,7 @@ IC_FACTORS = [
     "high_low_ratio", "close_open_ratio", "sentiment", "sentiment_ma5", "sentiment_ma10",
 ]
 MIN_PAIRS = 3
+_MEASURED = ("code", "date", "close", "volume", "amount", "ret")
 
 
 def _totals(df: DataFrame) -> dict[str, Column]:
@@ -29,20 +31,26 @@ def _totals(df: DataFrame) -> dict[str, Column]:
         "total_amount": F.coalesce(F.sum("amount"), F.lit(0.0)),
         "average_close": F.avg("close"),
         "average_return": F.avg("ret"),
-        "median_return": F.median("ret"),
         "average_sentiment": F.avg("sentiment") if "sentiment" in df.columns else F.max(F.lit(None).cast("double")),
     }
 
 
+def _with_median(daily: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    medians = group_median(rows, by, "ret", "median_return")
+    return daily.join(medians, by, "left")
+
+
 def market_daily(panel: DataFrame) -> DataFrame:
     """One row per date: breadth, totals, means and the median return."""
+    rows = materialise(panel.select(*_MEASURED, *[c for c in ("sentiment",) if c in panel.columns]), "market")
     moved = F.coalesce("ret", F.lit(0.0))
-    return panel.groupBy("date").agg(
-        *[c.alias(n) for n, c in _totals(panel).items()],
+    daily = rows.groupBy("date").agg(
+        *[c.alias(n) for n, c in _totals(rows).items()],
         F.count_if(moved > 0).alias("advancing_count"),
         F.count_if(moved < 0).alias("declining_count"),
         F.count_if(moved == 0).alias("flat_count"),
     )
+    return _with_median(daily, rows, ["date"])
 
 
 def industry_daily(panel: DataFrame, dim: DataFrame) -> DataFrame:
@@ -51,12 +59,14 @@ def industry_daily(panel: DataFrame, dim: DataFrame) -> DataFrame:
     Symbols the dimension does not know have no industry and drop out, as they
     do in a pandas groupby.
     """
-    work = panel.join(dim.select("code", "industry_l1"), "code")
+    work = panel.join(dim.select("code", "industry_l1"), "code").where(F.col("industry_l1").isNotNull())
+    rows = materialise(work.select("industry_l1", *_MEASURED, *[c for c in ("sentiment",) if c in panel.columns]), "industry")
     advancing = F.count_if(F.coalesce("ret", F.lit(0.0)) > 0)
-    return work.where(F.col("industry_l1").isNotNull()).groupBy("industry_l1", "date").agg(
-        *[c.alias(n) for n, c in _totals(panel).items()],
+    daily = rows.groupBy("industry_l1", "date").agg(
+        *[c.alias(n) for n, c in _totals(rows).items()],
         (advancing / F.greatest(F.count("code"), F.lit(1))).alias("advancing_ratio"),
     )
+    return _with_median(daily, rows, ["industry_l1", "date"])
 
 
 def market_from_industry(industry: DataFrame) -> DataFrame:
@@ -73,34 +83,37 @@ def market_from_industry(industry: DataFrame) -> DataFrame:
     return daily.withColumns({"declining_count": n - F.col("advancing_count"), "flat_count": F.lit(0)})
 
 
-def factor_ic(panel: DataFrame, factors: Sequence[str] = IC_FACTORS) -> DataFrame:
+def factor_ic(panel: DataFrame, factors: Sequence[str] = IC_FACTORS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Daily Spearman correlation of each factor with the next day's return.
 
-    Rows are sent to their date once, still one row per symbol; the long form
-    (factor, value, label) is unfolded after that exchange, and ranks, guards
-    and correlation all run on the same partitioning. A date holds at most one
-    row per six-digit code, which bounds the group.
+    What it needs of the panel is written once and counted. While no date has more than ``group_rows`` symbols, rows are
+    sent to their date, and the long form (factor, value, label) is unfolded after that exchange; ranks, guards and
+    correlation then run on the same partitioning. Beyond that, ranks come from ``rank_table``, by distinct value.
     """
     require_columns(panel, ["code", "date", "label"])
     factors = [f for f in factors if f in panel.columns]
-    by_date = panel.select("date", "label", *factors).repartition("date")
-    pairs = by_date.select(
-        "date",
-        "label",
-        F.explode(
-            F.array(*[F.struct(F.lit(f).alias("factor_name"), F.col(f).cast("double").alias("value")) for f in factors])
-        ).alias("pair"),
-    ).select(
-        "date",
-        "pair.factor_name",
-        "pair.value",
-        "label",
-        (F.col("pair.value").isNotNull() & F.col("label").isNotNull()).alias("complete"),
-    )
-    group = ["date", "factor_name", "complete"]
-    ranked = pairs.withColumn("value_rank", average_rank("value", group)).withColumn(
-        "label_rank", average_rank("label", group)
-    )
+    rows = materialise(panel.select("date", "label", *factors), "ic")
+    most = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= group_rows:
+        pairs = _pairs(rows.repartition("date"), factors)
+        group = ["date", "factor_name", "complete"]
+        ranked = pairs.withColumn("value_rank", average_rank("value", group)).withColumn("label_rank", average_rank("label", group))
+        return _correlated(ranked)
+    pairs = _pairs(rows, factors)
+    whole, ranked = pairs.where("complete"), pairs
+    for c in ("value", "label"):
+        ranks = rank_table(whole, ["date", "factor_name"], c, group_rows=group_rows)
+        ranked = ranked.join(ranks.select("date", "factor_name", c, F.lit(True).alias("complete"), F.col("rank").alias(f"{c}_rank")), ["date", "factor_name", c, "complete"], "left")
+    return _correlated(ranked)
+
+
+def _pairs(rows: DataFrame, factors: Sequence[str]) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(f).alias("factor_name"), F.col(f).cast("double").alias("value")) for f in factors])
+    long = rows.select("date", "label", F.explode(entries).alias("pair")).select("date", "pair.factor_name", "pair.value", "label")
+    return long.withColumn("complete", F.col("value").isNotNull() & F.col("label").isNotNull())
+
+
+def _correlated(ranked: DataFrame) -> DataFrame:
     ok = F.col("complete")
     value_rank, label_rank = F.when(ok, F.col("value_rank")), F.when(ok, F.col("label_rank"))
     daily = ranked.groupBy("date", "factor_name").agg(
@@ -186,14 +199,18 @@ def counts_by(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def sentiment_stats(panel: DataFrame) -> DataFrame:
-    """Mean, deviation, positive share and class per symbol."""
+    """Mean, deviation, positive share and class per symbol.
+
+    The class goes by the mean rounded to nine digits, so a mean of exactly a
+    class's bound does not depend on the order in which it was summed.
+    """
     stats = panel.groupBy("code").agg(
         F.avg("sentiment").alias("average_sentiment"),
         F.stddev_samp("sentiment").alias("sentiment_std"),
         (F.count_if(F.col("sentiment") > 0) / F.count(F.lit(1))).alias("positive_rate"),
         F.count(F.lit(1)).alias("days"),
     )
-    return stats.withColumn("status", sentiment_class("average_sentiment"))
+    return stats.withColumn("status", sentiment_class(F.round("average_sentiment", 9)))
 
 
 def snapshot_breadth(panel: DataFrame, day) -> DataFrame:

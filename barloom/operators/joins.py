@@ -117,7 +117,18 @@ def last_valid_mark(held: DataFrame, market: DataFrame) -> DataFrame:
     )
 
 
-def stale_counts(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("date").agg(
-        F.count(F.lit(1)).alias("held"), F.count_if(F.col("stale")).alias("stale_price_positions")
-    )
+def stale_counts(held: DataFrame, market: DataFrame) -> DataFrame:
+    """Held symbols per market date, and how many of them have no valid open that day.
+
+    A sweep over the calendar: symbols enter on their first date, so a running sum over the days counts them, and the
+    valid opens of a day are counted where they are. No symbol is laid out over its days.
+    """
+    days = calendar(market).select("date")
+    since = held.join(days.withColumnRenamed("date", "since"), "since", "left_semi")
+    entered = since.groupBy(F.col("since").alias("date")).agg(F.count(F.lit(1)).alias("entered"))
+    valid = market.where(F.col("open") > 0).select("code", "date").distinct().join(since.select("code", "since"), "code")
+    quoted = valid.where(F.col("date") >= F.col("since")).groupBy("date").agg(F.count(F.lit(1)).alias("quoted"))
+    daily = days.join(entered, "date", "left").join(quoted, "date", "left")
+    held_by = F.sum(F.coalesce("entered", F.lit(0))).over(Window.orderBy("date"))
+    counts = daily.withColumn("held", held_by).where(F.col("held") > 0)
+    return counts.select("date", "held", (F.col("held") - F.coalesce("quoted", F.lit(0))).alias("stale_price_positions"))

@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import bucketed_counts
+from barloom.functions.ranks import GROUP_ROWS, running_totals
 from barloom.functions.scalars import safe_corr
 from barloom.functions.windows import history
 from barloom.session import materialise, shared_dir
@@ -120,9 +120,9 @@ def f_scores(train: DataFrame, features: Sequence[str], label: str = "label", by
 
 
 def f_score_select(train: DataFrame, features: Sequence[str], label: str = "label", k: int = 25, by: Sequence[str] = ()) -> DataFrame:
-    """The k best features per group; one row per feature is ranked."""
+    """The k best features per group; one row per feature is ranked. Scores equal to six digits go by name."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    order = w.orderBy(F.col("f_score").desc_nulls_last(), "feature")
+    order = w.orderBy(F.round("f_score", 6).desc_nulls_last(), "feature")
     scored = f_scores(train, features, label, by)
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
@@ -242,18 +242,19 @@ def feature_importance(model: Model, features: Sequence[str], spark, k: int = 15
 # ---- evaluation --------------------------------------------------------------------------------
 
 
-def auc(scored: DataFrame, width: float = 1.0 / 4096) -> DataFrame:
+def auc(scored: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Area under the curve from tie-averaged ranks; 0.5 when one class is missing.
 
-    Scores are probabilities. They are combined per distinct score and summed
-    through buckets of scores, so there is no global sort.
+    Rows are combined per distinct score and summed through buckets that the
+    scores themselves give, so there is no global sort.
     """
     marked = scored.select(
         F.col("predicted").alias("score"),
         (F.col("actual") > 0).cast("long").alias("pos"),
         (~(F.col("actual") > 0)).cast("long").alias("neg"),
     )
-    counts = bucketed_counts(marked, "score", ["pos", "neg"], width)
+    distinct = marked.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = running_totals(distinct, [], ["score"], ["pos", "neg"], group_rows)
     total = counts.agg(
         F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0)).alias("won"),
         F.sum("pos").alias("p"),

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.guards import date_range, iso_day
-from barloom.functions.ranks import pct_rank_average
+from barloom.functions.ranks import GROUP_ROWS, with_pct_rank
 from barloom.functions.windows import so_far
+from barloom.session import materialise
 
 ANNUAL = math.sqrt(252)
 RETURN_WINDOWS = (5, 20, 60)
@@ -29,21 +30,18 @@ def stock_metrics(panel: DataFrame) -> DataFrame:
     )
 
 
-def peer_percentiles(panel: DataFrame, dim: DataFrame) -> DataFrame:
-    """Where a symbol stands in its industry on return, stability and drawdown control.
-
-    An industry holds at most one row per code here.
-    """
+def peer_percentiles(panel: DataFrame, dim: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Where a symbol stands in its industry on return, stability and drawdown control."""
     closes = panel.where(F.col("close").isNotNull())
     metrics = stock_metrics(closes).where(F.col("closes") >= 2)
-    peers = metrics.join(dim.select("code", "name", "industry_l1"), "code")
-    return peers.withColumns(
-        {
-            "return_percentile": pct_rank_average("period_return", ["industry_l1"]),
-            "stability_percentile": pct_rank_average("annualized_volatility", ["industry_l1"], descending=True),
-            "drawdown_control_percentile": pct_rank_average("max_drawdown", ["industry_l1"]),
-        }
-    )
+    out = materialise(metrics.join(dim.select("code", "name", "industry_l1"), "code"), "peers")
+    for name, value, descending in (
+        ("return_percentile", "period_return", False),
+        ("stability_percentile", "annualized_volatility", True),
+        ("drawdown_control_percentile", "max_drawdown", False),
+    ):
+        out = with_pct_rank(out, ["industry_l1"], value, name, descending, group_rows)
+    return out
 
 
 def industry_metrics(industry: DataFrame) -> DataFrame:

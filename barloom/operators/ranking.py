@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import guards
-from barloom.functions.ranks import pct_rank_average, pct_rank_first
+from barloom.functions.ranks import GROUP_ROWS, running_totals, with_pct_position, with_pct_rank
 from barloom.functions.scalars import sentiment_class
+from barloom.session import materialise
 
 
 def topn_per_date(predictions: DataFrame, n: int) -> DataFrame:
@@ -21,11 +22,19 @@ def topn_per_date(predictions: DataFrame, n: int) -> DataFrame:
     return predictions.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def rank_by_date(panel: DataFrame, value: str) -> DataFrame:
-    """Percentile ranks inside a date, with average and with first-come ties."""
-    return panel.withColumns(
-        {"pct_average": pct_rank_average(value, ["date"]), "pct_first": pct_rank_first(value, "code", ["date"])}
-    )
+def pct_average_by_date(panel: DataFrame, value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Percentile ranks inside a date, ties sharing theirs."""
+    return with_pct_rank(materialise(panel, "ranked"), ["date"], value, "pct_average", group_rows=group_rows)
+
+
+def pct_first_by_date(panel: DataFrame, value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Percentile ranks inside a date, ties in the order of the code."""
+    return with_pct_position(materialise(panel, "ranked"), ["date"], value, "code", "pct_first", group_rows)
+
+
+def rank_by_date(panel: DataFrame, value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Both percentile ranks inside a date."""
+    return pct_first_by_date(pct_average_by_date(panel, value, group_rows), value, group_rows)
 
 
 def intraday_change() -> Column:
@@ -124,31 +133,31 @@ def stratum_quotas(catalog: DataFrame, size: int) -> DataFrame:
     )
 
 
-def stratified_sample(catalog: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """Exactly ``size`` symbols covering every stratum, drawn by a seeded hash of the code."""
+def stratified_sample(catalog: DataFrame, size: int, seed: int = 42, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Exactly ``size`` symbols covering every stratum, drawn by a seeded hash of the code.
+
+    Strata and codes are not NULL; a code occurs once.
+    """
     names = ["industry_l1", "board"]
     draw = F.md5(F.concat_ws(":", F.col("code"), F.lit(str(seed))))
-    drawn = catalog.withColumn("_turn", F.row_number().over(Window.partitionBy(*names).orderBy(draw, "code")))
-    chosen = drawn.join(stratum_quotas(catalog, size).select(*names, "quota"), names).where(F.col("_turn") <= F.col("quota"))
-    order = Window.orderBy(*names, "code")
-    return chosen.drop("_turn", "quota").withColumn("selection_rank", F.row_number().over(order))
+    numbered = catalog.withColumns({"_draw": draw, "_n": F.lit(1)})
+    drawn = running_totals(numbered, names, ["_draw", "code"], ["_n"], group_rows)
+    chosen = drawn.join(stratum_quotas(catalog, size).select(*names, "quota"), names).where(F.col("below__n") < F.col("quota"))
+    ranked = running_totals(chosen.select(*catalog.columns, "_n"), [], [*names, "code"], ["_n"], group_rows)
+    return ranked.select(*catalog.columns, (F.col("below__n") + 1).alias("selection_rank"))
 
 
-def even_downsample(panel: DataFrame, limit: int) -> DataFrame:
+def even_downsample(panel: DataFrame, limit: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``limit`` rows evenly spaced in (code, date) order, all rows if there are fewer.
 
-    The row number is the number of rows of smaller codes, a running sum over
-    one row per code, plus the position inside the code. No global sort.
+    The row number is the number of rows of smaller codes, a running total
+    over buckets of codes, plus the position inside the code. No global sort.
     """
     if guards.positive_int(limit, "limit") < 2:
         raise ValueError("limit must be at least 2")
-    before = Window.orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
     sizes = panel.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select(
-        "code",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"),
-        F.sum("n").over(Window.partitionBy(F.lit(1))).alias("_total"),
-    )
+    starts = running_totals(sizes, [], ["code"], ["n"], group_rows)
+    starts = starts.select("code", F.col("below_n").alias("_start"), F.col("all_n").alias("_total"))
     position = F.row_number().over(Window.partitionBy("code").orderBy("date")) - 1
     indexed = panel.withColumn("_pos", position).join(starts, "code").withColumn("_i", F.col("_start") + F.col("_pos"))
     step = (F.col("_total") - 1) / F.lit(float(limit - 1))

@@ -135,7 +135,8 @@ def last_valid_mark(spark, sf):
     f"SELECT date, count(*) AS held, count(*) FILTER (stale) AS stale_price_positions FROM ({MARKS_SQL}) AS s GROUP BY date",
 )
 def stale_counts(spark, sf):
-    return j.stale_counts(marks(spark, sf))
+    bars = bars_short(spark, sf)
+    return j.stale_counts(bars.groupBy("code").agg(F.min("date").alias("since")), bars)
 
 
 # ---- aggregates --------------------------------------------------------------------------------
@@ -302,8 +303,8 @@ def board_counts(spark, sf):
     "sentiment_stats",
     "code average_sentiment:6 sentiment_std:6 positive_rate:6 days status",
     "SELECT code, avg(sentiment) AS average_sentiment, stddev_samp(sentiment) AS sentiment_std, "
-    "count(*) FILTER (sentiment > 0) / count(*) AS positive_rate, count(*) AS days, CASE WHEN avg(sentiment) > 0.1 "
-    "THEN 'positive' WHEN avg(sentiment) < -0.1 THEN 'negative' ELSE 'neutral' END AS status FROM sent GROUP BY code",
+    "count(*) FILTER (sentiment > 0) / count(*) AS positive_rate, count(*) AS days, CASE WHEN round(avg(sentiment), 9) > 0.1 "
+    "THEN 'positive' WHEN round(avg(sentiment), 9) < -0.1 THEN 'negative' ELSE 'neutral' END AS status FROM sent GROUP BY code",
 )
 def sentiment_stats(spark, sf):
     return x.sentiment_stats(sentiment(spark, sf))
@@ -412,7 +413,7 @@ AVERAGE_PCT = (
     f"SELECT code, date, {AVERAGE_PCT} AS pct_average FROM (SELECT code, date, ret AS v FROM evbars_base) AS b",
 )
 def rank_pct_average(spark, sf):
-    return r.rank_by_date(bars_short(spark, sf).withColumn("ret", pct_change("close")), "ret")
+    return r.pct_average_by_date(bars_short(spark, sf).withColumn("ret", pct_change("close")), "ret")
 
 
 @query(
@@ -422,7 +423,7 @@ def rank_pct_average(spark, sf):
     "AS pct_first FROM evbars",
 )
 def rank_pct_first(spark, sf):
-    return r.rank_by_date(bars_short(spark, sf), "volume")
+    return r.pct_first_by_date(bars_short(spark, sf), "volume")
 
 
 def _movers_sql(direction: str) -> str:

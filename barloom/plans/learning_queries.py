@@ -12,7 +12,8 @@ from barloom.plans.panels import long_panel
 from barloom.plans.registry import query
 from barloom.session import materialise, scratch_path
 
-FEATURES = ["ret_5d", "ma5_ma10_diff", "rsi", "macd", "volatility_20d", "bb_position", "volume_ratio", "amount_ratio"]
+UNVERIFIED = [c for c in ln.CLASSIC_FEATURES if c not in ln.SENTIMENT_FEATURES]
+FEATURES = UNVERIFIED  # all inputs of the models
 READY = "(SELECT * FROM bars_ready WHERE label IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES) + ") AS ready"
 DAY = "(date - DATE '1970-01-01')"
 
@@ -21,9 +22,6 @@ def frame(spark, sf):
     return ln.model_frame(long_panel(spark, sf), FEATURES)
 
 
-UNVERIFIED = [c for c in ln.CLASSIC_FEATURES if c not in ln.SENTIMENT_FEATURES]
-
-
 @query(
     "verified_features",
     "feature filled",
@@ -99,11 +97,11 @@ F_SQL = " UNION ALL ".join(
     "f_score_select",
     "split_id feature f_score:4 position",
     f"SELECT * FROM (SELECT split_id, feature, r * r / (1 - r * r) * (n - 2) AS f_score, row_number() OVER (PARTITION BY split_id "
-    f"ORDER BY r * r DESC, feature) AS position FROM ({F_SQL}) AS f) AS g WHERE position <= 5",
+    f"ORDER BY round(r * r / (1 - r * r) * (n - 2), 6) DESC, feature) AS position FROM ({F_SQL}) AS f) AS g WHERE position <= 25",
 )
 def f_score_select(spark, sf):
     train = ln.rolling_year_splits(long_panel(spark, sf)).where(F.col("role") == "train")
-    return ln.f_score_select(train, FEATURES, "label", 5, by=["split_id"])
+    return ln.f_score_select(train, FEATURES, by=["split_id"])
 
 
 @query(
@@ -134,13 +132,12 @@ def sequence_windows(spark, sf):
 
 # ---- training: rows only, MLlib's trees have no SQL counterpart ---------------------------------
 
-MODEL_FEATURES = UNVERIFIED  # all inputs of the models
 _fitted: dict[tuple, str] = {}  # where the model of an application and a training table is written
 
 
 def _trained(spark, sf):
     """The model of the direction, fitted once for equal training rows and shared by the queries below."""
-    rows = materialise(ln.model_frame(long_panel(spark, sf), MODEL_FEATURES).select("code", "date", "close", "label", *MODEL_FEATURES), "frame")
+    rows = materialise(ln.model_frame(long_panel(spark, sf), FEATURES).select("code", "date", "close", "label", *FEATURES), "frame")
     splits = ln.time_split_purged(rows)
     train = splits.where(F.col("split") == "train")
     content = F.xxhash64(*train.columns)
@@ -148,7 +145,7 @@ def _trained(spark, sf):
     key = (spark.sparkContext.applicationId, *version)
     if key not in _fitted:
         path = scratch_path(spark, "direction-model")
-        ln.train_direction(train, MODEL_FEATURES).write().save(path)
+        ln.train_direction(train, FEATURES).write().save(path)
         _fitted[key] = path
     return GBTClassificationModel.load(_fitted[key]), splits, rows
 
@@ -156,31 +153,31 @@ def _trained(spark, sf):
 @query("train_direction", "date code predicted:6 actual:6")
 def train_direction(spark, sf):
     model, splits, _ = _trained(spark, sf)
-    return ln.predict_direction(model, splits.where(F.col("split") == "test"), MODEL_FEATURES)
+    return ln.predict_direction(model, splits.where(F.col("split") == "test"), FEATURES)
 
 
 @query("feature_importance_topk", "feature importance:6")
 def feature_importance_topk(spark, sf):
     model, *_ = _trained(spark, sf)
-    return ln.feature_importance(model, MODEL_FEATURES, spark)
+    return ln.feature_importance(model, FEATURES, spark)
 
 
 @query("score_holdout", "date code close:4 predicted:6 actual:6 implied_close:4")
 def score_holdout(spark, sf):
     # The holdout is the last stretch of all rows; the days purged around the training split belong to it.
     model, _, rows = _trained(spark, sf)
-    return ln.score_holdout(model, rows, MODEL_FEATURES)
+    return ln.score_holdout(model, rows, FEATURES)
 
 
 @query("train_return", "split_id period n mse:6 r2:6 accuracy:6 ic:6 win_rate:6 baseline_mse:6 baseline_r2:6")
 def train_return(spark, sf):
-    panel = ln.rolling_year_splits(materialise(long_panel(spark, sf).select("code", "date", "label", *MODEL_FEATURES), "panel"))
+    panel = ln.rolling_year_splits(materialise(long_panel(spark, sf).select("code", "date", "label", *FEATURES), "panel"))
     # One row per window of years; each window is a training run of its own.
     windows = panel.select("split_id", "period").distinct().orderBy("split_id").collect()
     out = None
     for window in windows:
-        rows = ln.standardise_on_train(panel.where(F.col("split_id") == window["split_id"]), MODEL_FEATURES)
-        models = ln.train_return(rows.where(F.col("role") == "train"), MODEL_FEATURES)
+        rows = ln.standardise_on_train(panel.where(F.col("split_id") == window["split_id"]), FEATURES)
+        models = ln.train_return(rows.where(F.col("role") == "train"), FEATURES)
         scored = ln.predict_return(models, rows.where(F.col("role") == "test"))
         found = ln.eval_regression(scored).select(
             F.lit(window["split_id"]).alias("split_id"), F.lit(window["period"]).alias("period"), "*"
@@ -192,8 +189,8 @@ def train_return(spark, sf):
 @query("training_log", "model record")
 def training_log(spark, sf):
     model, splits, _ = _trained(spark, sf)
-    scored = ln.predict_direction(model, splits.where(F.col("split") == "test"), MODEL_FEATURES)
-    return ln.training_log(ln.eval_classification(scored), splits, "boosted_trees", MODEL_FEATURES, {"iterations": model.getMaxIter(), "depth": model.getMaxDepth()})
+    scored = ln.predict_direction(model, splits.where(F.col("split") == "test"), FEATURES)
+    return ln.training_log(ln.eval_classification(scored), splits, "boosted_trees", FEATURES, {"iterations": model.getMaxIter(), "depth": model.getMaxDepth()})
 
 
 # ---- evaluation of a fixed score, so that SQL can follow ----------------------------------------

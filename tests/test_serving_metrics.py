@@ -2,11 +2,16 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
+import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions import ranks
 from barloom.operators import crosssection as x
+from barloom.operators import joins as j
 from barloom.operators import metrics as m
 from barloom.operators import ranking as r
 from barloom.operators import serving as s
@@ -174,3 +179,78 @@ def test_histogram_covers_all_rows(bars):
 def test_heatmap_has_one_column_per_date(star):
     wide = x.industry_heatmap(star["fact_industry_daily"], 3)
     assert len(wide.columns) == 4 and wide.count() == 2
+
+
+# ---- groups of any size -------------------------------------------------------------------------
+
+
+def _by_hand(rows, value):
+    """Average rank, position by code and median per group, from plain lists."""
+    out, groups = {}, {}
+    for g, code, v in rows:
+        groups.setdefault(g, []).append((v, code))
+    for g, own in groups.items():
+        valued = sorted((v, c) for v, c in own if v is not None)
+        values = [v for v, _ in valued]
+        for i, (v, c) in enumerate(valued):
+            first, n = values.index(v), values.count(v)
+            out[g, c] = ((first + (n + 1) / 2) / len(values), (i + 1) / len(values))
+        out[g] = statistics.median(values) if values else None
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [4, 100_000])
+def test_ranks_and_medians_are_the_same_in_buckets(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(ranks, "CUTS", 7)
+    rng = random.Random(3)
+    rows = [(g, f"{i:06d}", rng.choice([None, 0.5, 0.5, rng.random(), -rng.random()])) for g, n in (("a", 300), ("b", 41), ("c", 2), ("d", 1)) for i in range(n)]
+    rows += [("e", f"{i:06d}", None) for i in range(3)]
+    want = _by_hand(rows, "v")
+    df = spark.createDataFrame(rows, "g string, code string, v double").repartition(5)
+    both = ranks.with_pct_position(ranks.with_pct_rank(df, ["g"], "v", "average", group_rows=group_rows), ["g"], "v", "code", "first", group_rows)
+    got = {(q["g"], q["code"]): (q["average"], q["first"]) for q in both.collect()}
+    assert len(got) == len(rows)
+    assert all(got[g, c] == pytest.approx(want[g, c]) if v is not None else got[g, c] == (None, None) for g, c, v in rows)
+    down = {(q["g"], q["code"]): q["d"] for q in ranks.with_pct_rank(df, ["g"], "v", "d", True, group_rows).where("v is not null").collect()}
+    sizes = {g: sum(v is not None for h, _, v in rows if h == g) for g in "abcd"}
+    assert all(d == pytest.approx(1 + 1 / sizes[g] - want[g, c][0]) for (g, c), d in down.items())
+    medians = {q["g"]: q["m"] for q in ranks.group_median(df, ["g"], "v", "m", group_rows).collect()}
+    assert medians == {g: pytest.approx(want[g]) for g in "abcd"}
+    one = ranks.running_totals(df.where("v is not null").withColumn("n", F.lit(1)), [], ["v", "g", "code"], ["n"], group_rows)
+    places = sorted((q["v"], q["g"], q["code"], q["below_n"], q["all_n"]) for q in one.collect())
+    assert [q[3] for q in places] == list(range(len(places))) and {q[4] for q in places} == {len(places)}
+
+
+def test_ic_of_a_date_with_very_many_symbols(spark):
+    """300,000 symbols on one date, half of them tied: no window or exchange by the date alone."""
+    n = 300_000
+    label = (F.xxhash64("id") % 1000003) / 1e6
+    tied = F.when(F.col("id") % 2 == 0, 0.25).otherwise(label + (F.xxhash64(F.col("id") + 1) % 1000003) / 2e6)
+    day = F.when(F.col("id") < n, F.lit("2024-01-02")).otherwise(F.lit("2024-01-03")).cast("date")
+    code = F.format_string("%06d", "id")
+    panel = spark.range(n + 50).select(day.alias("date"), code.alias("code"), label.alias("label"), tied.alias("rsi"), F.when(F.col("id") % 3 > 0, -label).alias("macd"))
+    df = x.factor_ic(panel, ["rsi", "macd"])
+    got = {(q["factor_name"], q["date"].day): q for q in df.collect()}
+    flat = panel.toPandas()
+    for (factor, d), q in got.items():
+        own = flat[[v.day == d for v in flat["date"]]].dropna(subset=[factor, "label"])
+        assert q["sample_count"] == len(own) and q["ic"] == pytest.approx(own[factor].rank().corr(own["label"].rank()))
+    assert len(got) == 4 and got["macd", 2]["ic"] == pytest.approx(-1.0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(date#\d+L?, \d+\)", plan)
+    assert not re.search(r"Window \[[^\n]*\], \[date#\d+\]", plan)
+
+
+def test_stale_counts_equal_the_marks_laid_out(spark):
+    days = [dt.date(2024, 1, i) for i in (1, 2, 3, 4, 5)]
+    opens = [("a", 0, 1.0), ("a", 2, 0.0), ("a", 4, 2.0), ("b", 1, 1.0), ("b", 2, None), ("b", 3, 3.0), ("c", 3, 5.0), ("d", 0, 9.0)]
+    market = spark.createDataFrame([(c, days[i], o) for c, i, o in opens], "code string, date date, open double")
+    held = spark.createDataFrame([("a", days[0]), ("b", days[2]), ("c", days[3]), ("e", days[1])], "code string, since date")
+    marks = j.last_valid_mark(held, market).groupBy("date").agg(F.count("*").alias("held"), F.count_if("stale").alias("stale_price_positions"))
+    assert sorted(map(tuple, j.stale_counts(held, market).collect())) == sorted(map(tuple, marks.collect()))
+
+
+def test_class_of_a_mean_on_the_bound(spark):
+    rows = [("a", v) for v in (-0.3, 0.1, -0.1)] + [("b", v) for v in (-0.1, -0.3, 0.1)] + [("c", -0.2)]
+    got = {r_["code"]: r_["status"] for r_ in x.sentiment_stats(spark.createDataFrame(rows, "code string, sentiment double")).collect()}
+    assert got == {"a": "neutral", "b": "neutral", "c": "negative"}
