@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from barloom.functions.ranks import GROUP_ROWS, running_totals
 from barloom.functions.scalars import safe_corr
 from barloom.functions.windows import history
-from barloom.session import materialise, shared_dir
+from barloom.session import exists, materialise, shared_dir
 
 # Candidate features, sentiment features, and sources counted as verified.
 CLASSIC_FEATURES = [
@@ -179,12 +182,21 @@ def _checkpoints(spark) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+ROWS_PER_TASK = 200_000  # of a training table; a round over a small table costs the scheduling of its tasks
+
+
+def _training_table(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written once, as boosting reads them once per round, and read in as few tasks as their number needs."""
+    table = materialise(rows, name)
+    return table.coalesce(max(1, -(-table.count() // ROWS_PER_TASK)))
+
+
 def train_direction(
     train: DataFrame, features: Sequence[str], iterations: int = 200, depth: int = 4, step: float = 0.05, seed: int = 42
 ) -> Model:
     """Boosted trees for the direction of the next day, positives weighted by class balance.
 
-    Boosting reads its input once per round, so the rows are written out first.
+    Rows are filled, assembled and written before the first round.
     """
     weight = class_weight(train).select("weight").scalar()
     rows = _features(train, features).withColumns(
@@ -198,7 +210,7 @@ def train_direction(
         stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
     )
     _checkpoints(train.sparkSession)
-    return learner.fit(materialise(rows.select("features", "direction", "weight"), "direction"))
+    return learner.fit(_training_table(rows.select("features", "direction", "weight"), "direction"))
 
 
 def predict_direction(model: Model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -214,7 +226,7 @@ def train_return(
 ) -> tuple[Model, Model, list[str]]:
     """Boosted regression of the next return and a linear baseline, on the k features of the highest F, and their names."""
     chosen = selected(train, features, "label", k)
-    rows = materialise(_features(train.where(F.col("label").isNotNull()), chosen).select("features", "label"), "return")
+    rows = _training_table(_features(train.where(F.col("label").isNotNull()), chosen).select("features", "label"), "return")
     boosted = GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=step,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
@@ -231,6 +243,45 @@ def predict_return(models: tuple[Model, Model, list[str]], rows: DataFrame) -> D
     return both.select("date", "code", "predicted", "baseline", F.col("label").alias("actual"))
 
 
+def content_key(rows: DataFrame, *more) -> str:
+    """A name for what a table holds, whatever the order of its rows, together with further values."""
+    content = F.xxhash64(*[F.col(c) for c in sorted(rows.columns)])
+    facts = rows.agg(F.count(F.lit(1)), F.bit_xor(content), F.sum(content.cast("decimal(38, 0)"))).first()
+    return hashlib.sha256(repr((sorted(rows.dtypes), tuple(map(str, facts)), more)).encode()).hexdigest()[:24]
+
+
+def return_by_window(splits: DataFrame, features: Sequence[str], parallel: int = 8, **params) -> DataFrame:
+    """Each window of years trained and tested on its own: one row of metrics per window.
+
+    ``splits`` comes from ``rolling_year_splits``. A boosting round over one window's rows leaves most of a cluster idle, so
+    windows run side by side, each in a scheduler pool of its own. A window's models and metrics are written when it is done,
+    in a folder named by the content of the rows and the parameters: a restart goes on with the windows that are missing.
+    """
+    spark = splits.sparkSession
+    rows = materialise(splits.select("split_id", "period", "role", "code", "date", "label", *features), "windows")
+    root = f"{shared_dir(spark)}/return-{content_key(rows, list(features), sorted(params.items()))}"
+    windows = rows.select("split_id", "period").distinct().orderBy("split_id").collect()  # as many as there are years
+
+    def fit(window) -> str:
+        folder = f"{root}/window-{window['split_id']}"
+        if not exists(spark, f"{folder}/metrics/_SUCCESS"):
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"window-{window['split_id']}")
+            own = standardise_on_train(rows.where(F.col("split_id") == window["split_id"]), features)
+            models = train_return(own.where(F.col("role") == "train"), features, **params)
+            for name, model in zip(("boosted", "linear"), models):
+                model.write().overwrite().save(f"{folder}/{name}")
+            found = eval_regression(predict_return(models, own.where(F.col("role") == "test")))
+            named = found.select(F.lit(window["split_id"]).alias("split_id"), F.lit(window["period"]).alias("period"), "*")
+            named.write.mode("overwrite").parquet(f"{folder}/metrics")
+        return f"{folder}/metrics"
+
+    if not windows:
+        raise ValueError("no window of years to train on")
+    with ThreadPoolExecutor(min(parallel, len(windows))) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(fit), w) for w in windows]
+        return spark.read.parquet(*[j.result() for j in jobs])
+
+
 def feature_importance(model: Model, features: Sequence[str], spark, k: int = 15) -> DataFrame:
     """The k most important features; as many rows as features, no more."""
     pairs = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]

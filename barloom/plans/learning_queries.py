@@ -10,7 +10,7 @@ from barloom.operators.joins import join_sentiment
 from barloom.plans.oracle import HIST
 from barloom.plans.panels import long_panel
 from barloom.plans.registry import query
-from barloom.session import materialise, scratch_path
+from barloom.session import exists, materialise, rename, scratch_path, shared_dir
 
 UNVERIFIED = [c for c in ln.CLASSIC_FEATURES if c not in ln.SENTIMENT_FEATURES]
 FEATURES = UNVERIFIED  # all inputs of the models
@@ -132,22 +132,18 @@ def sequence_windows(spark, sf):
 
 # ---- training: rows only, MLlib's trees have no SQL counterpart ---------------------------------
 
-_fitted: dict[tuple, str] = {}  # where the model of an application and a training table is written
-
-
 def _trained(spark, sf):
-    """The model of the direction, fitted once for equal training rows and shared by the queries below."""
+    """The model of the direction, kept under the content of its training rows and shared by the queries below."""
     rows = materialise(ln.model_frame(long_panel(spark, sf), FEATURES).select("code", "date", "close", "label", *FEATURES), "frame")
     splits = ln.time_split_purged(rows)
     train = splits.where(F.col("split") == "train")
-    content = F.xxhash64(*train.columns)
-    version = train.agg(F.count(F.lit(1)), F.bit_xor(content), F.sum(content.cast("decimal(38, 0)"))).first()
-    key = (spark.sparkContext.applicationId, *version)
-    if key not in _fitted:
-        path = scratch_path(spark, "direction-model")
-        ln.train_direction(train, FEATURES).write().save(path)
-        _fitted[key] = path
-    return GBTClassificationModel.load(_fitted[key]), splits, rows
+    path = f"{shared_dir(spark)}/direction-{ln.content_key(train)}"
+    if not exists(spark, f"{path}/metadata/_SUCCESS"):
+        # Written under a name of its own and then renamed in one step: a model is there whole or not at all.
+        made = scratch_path(spark, "direction-model")
+        ln.train_direction(train, FEATURES).write().save(made)
+        rename(spark, made, path)
+    return GBTClassificationModel.load(path), splits, rows
 
 
 @query("train_direction", "date code predicted:6 actual:6")
@@ -171,19 +167,8 @@ def score_holdout(spark, sf):
 
 @query("train_return", "split_id period n mse:6 r2:6 accuracy:6 ic:6 win_rate:6 baseline_mse:6 baseline_r2:6")
 def train_return(spark, sf):
-    panel = ln.rolling_year_splits(materialise(long_panel(spark, sf).select("code", "date", "label", *FEATURES), "panel"))
-    # One row per window of years; each window is a training run of its own.
-    windows = panel.select("split_id", "period").distinct().orderBy("split_id").collect()
-    out = None
-    for window in windows:
-        rows = ln.standardise_on_train(panel.where(F.col("split_id") == window["split_id"]), FEATURES)
-        models = ln.train_return(rows.where(F.col("role") == "train"), FEATURES)
-        scored = ln.predict_return(models, rows.where(F.col("role") == "test"))
-        found = ln.eval_regression(scored).select(
-            F.lit(window["split_id"]).alias("split_id"), F.lit(window["period"]).alias("period"), "*"
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+    panel = materialise(long_panel(spark, sf).select("code", "date", "label", *FEATURES), "panel")
+    return ln.return_by_window(ln.rolling_year_splits(panel), FEATURES)
 
 
 @query("training_log", "model record")
@@ -193,6 +178,64 @@ def training_log(spark, sf):
     return ln.training_log(ln.eval_classification(scored), splits, "boosted_trees", FEATURES, {"iterations": model.getMaxIter(), "depth": model.getMaxDepth()})
 
 
+# What of the training SQL can follow: which rows are scored, ranges, totals, dates.
+
+
+@query(
+    "train_direction_rows",
+    "date code actual:6 probable",
+    f"SELECT date, code, label AS actual, true AS probable FROM ({SPLIT_SQL}) AS s WHERE split = 'test'",
+)
+def train_direction_rows(spark, sf):
+    return train_direction(spark, sf).select("date", "code", "actual", F.col("predicted").between(0, 1).alias("probable"))
+
+
+@query("feature_importance_total", "features total:6 smallest_ok", f"SELECT {len(FEATURES)} AS features, 1.0 AS total, true AS smallest_ok")
+def feature_importance_total(spark, sf):
+    model, *_ = _trained(spark, sf)
+    whole = ln.feature_importance(model, FEATURES, spark, len(FEATURES))
+    return whole.agg(F.count("feature").alias("features"), F.sum("importance").alias("total"), (F.min("importance") >= 0).alias("smallest_ok"))
+
+
+@query(
+    "score_holdout_rows",
+    "date code close:4 actual:6 probable implied",
+    f"""SELECT date, code, close, label AS actual, true AS probable, true AS implied FROM {READY}
+        WHERE {DAY} > (SELECT quantile_cont(CAST({DAY} AS DOUBLE), 0.80) FROM {READY})""",
+)
+def score_holdout_rows(spark, sf):
+    implied = F.abs(F.col("implied_close") - F.col("close") * (0.99 + F.col("predicted") / 50)) < 1e-6
+    return score_holdout(spark, sf).select(
+        "date", "code", "close", "actual", F.col("predicted").between(0, 1).alias("probable"), implied.alias("implied")
+    )
+
+
+@query(
+    "training_log_dates",
+    "model feature_count iterations train_end validation_start validation_end test_start test_end",
+    "SELECT 'boosted_trees' AS model, " + f"{len(FEATURES)} AS feature_count, 200 AS iterations, "
+    + ", ".join(
+        f"CAST({f}(date) FILTER (split = '{s}') AS VARCHAR) AS {s}_{n}"
+        for s, f, n in (("train", "max", "end"), ("validation", "min", "start"), ("validation", "max", "end"), ("test", "min", "start"), ("test", "max", "end"))
+    )
+    + f" FROM ({SPLIT_SQL}) AS s",
+)
+def training_log_dates(spark, sf):
+    dates = "train_end string, validation_start string, validation_end string, test_start string, test_end string"
+    kind = f"feature_count int, params struct<iterations: int>, split_info struct<{dates.replace(' string', ': string')}>"
+    record = F.from_json("record", kind)
+    return training_log(spark, sf).withColumn("r", record).select("model", "r.feature_count", "r.params.iterations", "r.split_info.*")
+
+
+@query(
+    "train_return_windows",
+    "split_id period n",
+    f"SELECT split_id, period, count(*) AS n FROM ({ROLLING_SQL}) AS r WHERE role = 'test' AND label IS NOT NULL GROUP BY split_id, period",
+)
+def train_return_windows(spark, sf):
+    return train_return(spark, sf).select("split_id", "period", "n")
+
+
 # ---- evaluation of a fixed score, so that SQL can follow ----------------------------------------
 
 # Score in [0, 1] with ties: today's volume ratio to three digits, against tomorrow's return.

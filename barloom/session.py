@@ -58,3 +58,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one at the path; false if there is. Of several writers one gets true."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    try:
+        out = files.create(place, False)
+    except Exception as error:
+        if files.exists(place):
+            return False
+        raise error
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a written folder to its final name; false if that name is taken."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if exists(spark, target):
+        return False
+    return path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target))

@@ -114,7 +114,34 @@ def test_return_model_selects_its_features(spark):
     assert ln.predict_return(models, df).count() == 60
 
 
-def test_registered_training_takes_all_inputs_and_rounds(spark, monkeypatch):
+@pytest.fixture
+def own_folder(monkeypatch, tmp_path):
+    """A folder for one test: models kept under their content are not those of other tests."""
+    from barloom.plans import learning_queries as lq
+
+    for module in (ln, lq):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: str(tmp_path))
+    return tmp_path
+
+
+def test_windows_that_are_done_are_not_fitted_again(spark, own_folder, monkeypatch):
+    rng = random.Random(8)
+    days = [dt.date(y, 1 + m, 3) for y in range(2018, 2023) for m in range(12)]
+    rows = [(f"{i:06d}", d, x, rng.random(), 2 * x + 0.1 * rng.random()) for i in range(4) for d in days for x in (rng.random(),)]
+    splits = ln.rolling_year_splits(spark.createDataFrame(rows, "code string, date date, a double, b double, label double"))
+    first = sorted(map(tuple, ln.return_by_window(splits, ["a", "b"], iterations=2).collect()))
+    assert [(r[0], r[1], r[2]) for r in first] == [(0, "2018-2020 -> 2021-2021", 48), (1, "2019-2021 -> 2022-2022", 48)]
+    fitted, train = [], ln.train_return
+    monkeypatch.setattr(ln, "train_return", lambda *a, **kw: (fitted.append(1), train(*a, **kw))[1])
+    assert sorted(map(tuple, ln.return_by_window(splits, ["a", "b"], iterations=2).collect())) == first and not fitted
+    # A window without its mark of success is done anew, the other is kept.
+    next(own_folder.glob("return-*/window-1/metrics/_SUCCESS")).unlink()
+    assert sorted(map(tuple, ln.return_by_window(splits, ["a", "b"], iterations=2).collect())) == first and fitted == [1]
+    ln.return_by_window(splits, ["a", "b"], iterations=1)
+    assert len(fitted) == 3  # other parameters, other models
+
+
+def test_registered_training_takes_all_inputs_and_rounds(spark, own_folder, monkeypatch):
     """Fits are replaced by short ones that keep what they were asked for."""
     from barloom.plans import learning_queries as lq
 
@@ -122,7 +149,6 @@ def test_registered_training_takes_all_inputs_and_rounds(spark, monkeypatch):
     direction, regression = ln.train_direction, ln.train_return
     monkeypatch.setattr(ln, "train_direction", lambda t, f, **kw: (asked.append((len(f), kw)), direction(t, f, iterations=1))[1])
     monkeypatch.setattr(ln, "train_return", lambda t, f, **kw: (asked.append((len(f), kw)), regression(t, f, iterations=1))[1])
-    monkeypatch.setattr(lq, "_fitted", {}, raising=False)
     smoke = "/root/testdata/sf0.001"
     assert lq.feature_importance_topk(spark, smoke).count() == 15
     lq.training_log(spark, smoke)
