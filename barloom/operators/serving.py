@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import guards
@@ -17,10 +17,12 @@ from barloom.operators import crosssection, quality
 from barloom.operators.factors import drop_warmup, factor_panel, prev_close_change
 from barloom.operators.joins import detail_coverage, join_peers, join_sentiment, join_snapshot_dim
 from barloom.operators.ranking import snapshot_page
-from barloom.sources.sinks import run_record
+from barloom.session import materialise
+from barloom.sources.sinks import Publication, by_key, open_published, run_record
 
 Star = Mapping[str, DataFrame]
 
+# Columns of the published tables and of the reads over them.
 CATALOG = ["code", "name", "market", "board", "industry_l1", "list_date", "is_demo", "has_detail", "source"]
 MARKET = [
     "date", "stock_count", "advancing_count", "declining_count", "flat_count", "total_volume", "total_amount",
@@ -50,6 +52,16 @@ def fact_panel(bars: DataFrame, sentiment: DataFrame | None, data_version: str)
     return join_sentiment(panel, sentiment).withColumn("data_version", F.lit(data_version))
 
 
+def publish_star(spark: SparkSession, root: str, version: str, bars: DataFrame, catalog: DataFrame, data_version: str, source_label: str) -> dict[str, DataFrame]:
+    """Publish the star of some bars: facts are written once, in place, and everything else is derived from them."""
+    build = Publication(spark, root, version)
+    facts = build.write("fact_stock_daily_demo", by_key(fact_panel(bars, None, data_version)))
+    for name, table in aggregates(facts, catalog, data_version, source_label, stage=materialise).items():
+        build.write(name, table)
+    build.commit()
+    return open_published(spark, root)
+
+
 def aggregates(
     facts: DataFrame,
     catalog: DataFrame,

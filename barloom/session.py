@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
@@ -88,3 +89,26 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
     if exists(spark, target):
         return False
     return path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target))
+
+
+def files_key(spark: SparkSession, *paths: str) -> str:
+    """A name for the files under some paths as they are: their places, sizes and times, from a listing alone."""
+    seen = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while found.hasNext():
+            one = found.next()
+            seen.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """What lies directly under a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [str(x.getPath()) for x in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)] if exists(spark, path) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.guards import require_columns
 from barloom.operators.quality import keep_last
+from barloom.session import create_once, delete, exists, folders
 
 STAR_TABLES = [
     "dim_stock",
@@ -143,49 +146,125 @@ def run_record(panel: DataFrame, market: DataFrame, catalog: DataFrame, data_ver
     )
 
 
-def publish(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, version: str, expected: Mapping[str, int]) -> str:
-    """Write all tables under a version, check row counts, then name the version as published.
+LOG = "number int, version string, replaces int, folder string, tables array<struct<table_name: string, row_count: bigint, digest: string>>"
+
+
+class Publication:
+    """One build of a star: a fresh folder under the version's name, a manifest, and a commit that names what it replaces.
 
-    Readers follow the publication log, whose row is the last thing written: a
-    build that fails half way changes nothing for them.
+    Nothing that readers may have open is overwritten. The commit is one file that is created or is there already, under the
+    number that follows the one seen when the build began, so of two builds on the same base the second is refused.
     """
+
+    def __init__(self, spark: SparkSession, root: str, version: str):
+        self.spark, self.root, self.version = spark, root, version
+        newest = latest(spark, root)
+        self.base = newest["number"] if newest else 0
+        self.folder = f"{root}/data/{version}-{os.urandom(6).hex()}"
+        self.given: dict[str, int] = {}
+
+    def write(self, name: str, table: DataFrame) -> DataFrame:
+        """Write a table of the star and read it back; its rows are counted on the way."""
+        if name not in STAR_TABLES:
+            raise ValueError(f"{name} is no table of the star")
+        seen = Observation()
+        table.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.folder}/{name}")
+        self.given[name] = seen.get["rows"]
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def commit(self, expected: Mapping[str, int] | None = None) -> str:
+        """Check all tables as they are stored, then name them as published."""
+        missing = set(STAR_TABLES) - set(self.given)
+        if missing:
+            raise ValueError(f"missing tables: {sorted(missing)}")
+        tables = []
+        for name in STAR_TABLES:
+            found = table_fingerprint(self.spark.read.parquet(f"{self.folder}/{name}")).first()
+            for rows in {self.given[name], (expected or {}).get(name, self.given[name])}:
+                if found["row_count"] != rows:
+                    raise RuntimeError(f"{name}: expected {rows} rows, stored {found['row_count']}")
+            tables.append({"table_name": name, "row_count": found["row_count"], "digest": str(found["hash_sum"])})
+        number = self.base + 1
+        entry = {"number": number, "version": self.version, "replaces": self.base or None, "folder": self.folder, "tables": tables}
+        if not create_once(self.spark, f"{self.root}/log/{number:010d}.json", json.dumps(entry)):
+            raise RuntimeError(f"another version was published first; this one was built on number {self.base}")
+        return self.folder
+
+
+def publish(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, version: str, expected: Mapping[str, int]) -> str:
+    """Write all tables under a version, check them, then name the version as published."""
     missing = set(STAR_TABLES) - set(tables)
     if missing:
         raise ValueError(f"missing tables: {sorted(missing)}")
-    target = f"{root}/versions/{version}"
+    build = Publication(spark, root, version)
     for name in STAR_TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{target}/{name}")
-    for name, rows in expected.items():
-        stored = spark.read.parquet(f"{target}/{name}").count()
-        if stored != rows:
-            raise RuntimeError(f"{name}: expected {rows} rows, stored {stored}")
-    log_row = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
-    log_row.coalesce(1).write.mode("append").parquet(f"{root}/published")
-    return target
+        build.write(name, tables[name])
+    return build.commit(expected)
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The log: one row for each published version, with the manifest of its tables."""
+    return spark.read.schema(LOG).json(f"{root}/log").where(F.col("number").isNotNull())
+
+
+def latest(spark: SparkSession, root: str):
+    """The newest row of the log, or nothing."""
+    return published(spark, root).orderBy(F.col("number").desc()).first() if exists(spark, f"{root}/log") else None
 
 
 def open_published(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Tables of the newest published version."""
-    newest = spark.read.parquet(f"{root}/published").orderBy(F.col("published_at").desc(), "version").first()
+    newest = latest(spark, root)
     if newest is None:
         raise FileNotFoundError(f"nothing published under {root}")
-    return {name: spark.read.parquet(f"{root}/versions/{newest['version']}/{name}") for name in STAR_TABLES}
+    return {name: spark.read.parquet(f"{newest['folder']}/{name}") for name in STAR_TABLES}
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(``table_name``, ``row_count``, ``digest``) of the newest version."""
+    newest = published(spark, root).orderBy(F.col("number").desc()).limit(1)
+    return newest.select(F.explode("tables").alias("t")).select("t.*")
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete folders that the last ``keep`` versions don't name. Not for use while a build is under way."""
+    named = {r["folder"].rpartition("/")[2] for r in published(spark, root).orderBy(F.col("number").desc()).limit(keep).collect()}
+    gone = [f for f in folders(spark, f"{root}/data") if f.rpartition("/")[2] not in named]
+    for folder in gone:
+        delete(spark, folder)
+    return gone
+
+
+def open_serving(spark: SparkSession, path: str) -> DataFrame:
+    """The serving panel in use."""
+    newest = max(folders(spark, f"{path}/current"), default=None)
+    if newest is None:
+        raise FileNotFoundError(f"no serving panel under {path}")
+    return spark.read.parquet(spark.read.text(newest).first()[0])
 
 
 def rebuild_serving(spark: SparkSession, panel: DataFrame, path: str, order: Sequence[str], required: Sequence[str]) -> DataFrame:
-    """Write the serving panel anew, check it, and return its metadata as key and value."""
+    """Write the serving panel anew beside the one in use, check it, switch, and return its metadata as key and value.
+
+    Readers take the folder that the last file under ``current`` names (``open_serving``); a build that fails its check
+    leaves them where they were.
+    """
     require_columns(panel, required)
     frame = panel if "sentiment_source" in panel.columns else panel.withColumn("sentiment_source", F.lit("legacy_unknown"))
     served = keep_last(frame, order)
     expected = panel.dropna(subset=["code", "date", "close"]).select("code", "date").distinct().count()
-    by_key(served).write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
+    fresh = f"{path}/build-{os.urandom(6).hex()}"
+    by_key(served).write.parquet(fresh)
+    stored = spark.read.parquet(fresh)
     require_columns(stored, required)
     facts = stored.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("c"), F.min("date").alias("a"), F.max("date").alias("b")
     )
     if facts.first()["n"] != expected:
         raise RuntimeError(f"serving rows do not match: expected {expected}")
+    number = len(folders(spark, f"{path}/current")) + 1
+    if not create_once(spark, f"{path}/current/{number:010d}", fresh):
+        raise RuntimeError("another build of the serving panel came first")
     entries = {
         "source": F.lit("processed_parquet"),
         "row_count": F.col("n").cast("string"),

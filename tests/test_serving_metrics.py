@@ -62,7 +62,55 @@ def test_failed_publication_changes_nothing(spark, star_root):
     with pytest.raises(RuntimeError):
         sinks.publish(spark, tables, root, "v2", {"fact_stock_daily_demo": 1})
     assert sinks.open_published(spark, root)["pipeline_run"].first()["data_version"] == "v1"
-    assert spark.read.parquet(f"{root}/published").count() == 1
+    assert sinks.published(spark, root).count() == 1
+
+
+def test_second_of_two_builds_on_one_base_is_refused(spark, star_root, tmp_path):
+    tables, root = star_root[1], str(tmp_path)
+    one, two = (sinks.Publication(spark, root, v) for v in ("a", "b"))
+    for build in (one, two):
+        for name in sinks.STAR_TABLES:
+            build.write(name, tables[name])
+    one.commit()
+    with pytest.raises(RuntimeError, match="first"):
+        two.commit()
+    assert [(r_["number"], r_["version"], r_["replaces"]) for r_ in sinks.published(spark, root).collect()] == [(1, "a", None)]
+    opened = sinks.open_published(spark, root)
+    sinks.publish(spark, tables, root, "c", {})
+    assert opened["dim_stock"].count() == 4  # a reader of the version before goes on
+    assert {r_["table_name"]: r_["row_count"] for r_ in sinks.manifest(spark, root).collect()} == {n: t.count() for n, t in tables.items()}
+    log = {r_["version"]: r_ for r_ in sinks.published(spark, root).collect()}
+    assert log["c"]["replaces"] == 1 and all(x["digest"] for x in log["c"]["tables"])
+    gone = sinks.vacuum(spark, root, keep=1)
+    assert len(gone) == 2 and not any(log["c"]["folder"].endswith(g.rpartition("/")[2]) for g in gone)
+    assert sinks.open_published(spark, root)["dim_stock"].count() == 4
+    missing = sinks.Publication(spark, root, "d")
+    missing.write("dim_stock", tables["dim_stock"])
+    with pytest.raises(ValueError, match="missing"):
+        missing.commit()
+
+
+def test_serving_panel_is_switched_after_its_check(spark, tmp_path):
+    rows = [("000001", dt.date(2024, 1, i + 1), 1.0 * i + 1, 2.0) for i in range(4)]
+    panel = spark.createDataFrame(rows, "code string, date date, close double, volume double")
+    need = ["code", "date", "close"]
+    sinks.rebuild_serving(spark, panel, str(tmp_path), ["volume"], need)
+    before = sinks.open_serving(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        sinks.rebuild_serving(spark, panel, str(tmp_path), ["volume"], ["open"])
+    assert sinks.open_serving(spark, str(tmp_path)).count() == 4
+    sinks.rebuild_serving(spark, panel.limit(2), str(tmp_path), ["volume"], need)
+    assert sinks.open_serving(spark, str(tmp_path)).count() == 2 and before.count() == 4
+
+
+def test_reads_scan_published_tables_only(spark):
+    from barloom.plans import serving_queries as sq
+
+    smoke = "/root/testdata/sf0.001"
+    sq.star(spark, smoke)
+    for build in (sq.q_manifest, sq.q_market_summary, sq.q_industry_trend, sq.q_quality_issues, sq.q_factor_catalog):
+        plan = build(spark, smoke)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and "Window" not in plan and "/star-" in plan
 
 
 def test_reads(star):
