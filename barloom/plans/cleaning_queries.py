@@ -8,7 +8,9 @@ from barloom.functions.scalars import LONG_CODE_PATTERN, normalise_code
 from barloom.operators import cleaning as c
 from barloom.plans.oracle import HIST
 from barloom.plans.registry import query
+from barloom.session import scratch_path
 from barloom.sources.adapter import bars_long, bars_short, raw_bars, table
+from barloom.sources.sinks import write_partitioned
 from barloom.streaming import incremental as inc
 
 RAW_SHAPE = "code date open:4 high:4 low:4 close:4 volume amount:4"
@@ -300,4 +302,6 @@ def upsert_panel(spark, sf):
     batch = batch.where(F.col("date") >= F.lit("2024-01-11").cast("date")).select(
         "code", "date", F.when(F.col("volume") > 1, F.col("volume")).alias("volume"), "ret"
     )
-    return inc.upsert(stored, inc.prepare_batch(batch, ["volume", "ret"]))
+    path = scratch_path(spark, "upsert")
+    write_partitioned(stored.withColumn("year", F.year("date")), path)
+    return inc.upsert_by_year(spark, path, inc.prepare_batch(batch, ["volume", "ret"]))

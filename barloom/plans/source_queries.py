@@ -27,20 +27,20 @@ BARS_SHAPE = "code date open:4 high:4 low:4 close:4 volume amount:3"
 
 @query("scan_bars_csv", BARS_SHAPE, "SELECT * FROM bars")
 def scan_bars_csv(spark, sf):
-    path = sinks.write_per_symbol_csv(bars_long(spark, sf), scratch_path(spark, "bars"))
-    return readers.scan_bars(spark, path)
+    columns = ["code", *(c.split()[0] for c in readers.CLEAN_FIELDS.split(", "))]
+    path = sinks.write_packed_csv(bars_long(spark, sf).select(*columns), scratch_path(spark, "bars"))
+    return readers.scan_bars(spark, path, packed=True)
 
 
 @query("scan_raw_rowcount", "code row_count", "SELECT code, count(*) AS row_count FROM bars GROUP BY code")
 def scan_raw_rowcount(spark, sf):
     raw = f.prev_close_change(bars_long(spark, sf)).select(
-        "code", "date",
-        F.col("code").alias("ts_code"), F.date_format("date", "yyyyMMdd").alias("trade_date"), "open", "high", "low", "close",
+        "code", F.col("code").alias("ts_code"), F.date_format("date", "yyyyMMdd").alias("trade_date"), "open", "high", "low", "close",
         "pre_close", "change", "pct_chg", F.col("volume").alias("vol"), "amount",
     )
     path = scratch_path(spark, "raw")
-    raw.drop("date").repartition("code").write.partitionBy("code").option("header", True).csv(path)
-    return readers.count_raw(spark, path)
+    raw.hint("rebalance", "code").write.option("header", True).csv(path)
+    return readers.count_raw(spark, path, packed=True)
 
 
 def _snapshot(spark, sf, fmt):

@@ -66,6 +66,14 @@ def write_per_symbol_csv(bars: DataFrame, path: str) -> str:
     return path
 
 
+def write_packed_csv(bars: DataFrame, path: str) -> str:
+    """Bars as CSV with the symbol as a column. Symbols are packed into files of about the advisory partition size, and a
+    large symbol is split, so the number of files follows the bytes."""
+    packed = bars.hint("rebalance", "code").sortWithinPartitions("code", "date")
+    packed.write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
 def write_report(report: DataFrame, path: str) -> str:
     """A one-row report as one JSON file."""
     report.coalesce(1).write.mode("overwrite").json(path)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.guards import require_columns, safe_columns
 from barloom.functions.scalars import as_number, exchange_suffix, iso_date, normalise_code
 from barloom.operators.cleaning import dedup
 from barloom.operators.factors import prev_close_change
+from barloom.session import materialise
+from barloom.sources.sinks import write_partitioned
 
 OVERLAP_DAYS = 10
 TOLERANCE = 1e-6
@@ -112,3 +114,21 @@ def upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:
         out.append((F.when(arrived, F.col(f"n.{name}")).otherwise(value) if name in batch.columns else value).alias(name))
     out += [F.col(f"n.{name}") for name in batch.columns if name not in stored.columns]
     return joined.select(*out)
+
+
+def upsert_by_year(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    """Merge a batch from ``prepare_batch`` into a table partitioned by year, and return the table.
+
+    Only the years that the batch holds are read, merged and replaced; the files of the others stay as they are. The merged
+    years are written aside first, so an update that is broken off is repeated without harm: it merges the same rows again.
+    New columns of the batch are NULL in years that it does not touch.
+    """
+    dated = batch.withColumn("year", F.year("date"))
+    years = [r[0] for r in dated.select("year").distinct().collect()]
+    stored = spark.read.option("mergeSchema", True).parquet(path)
+    if years:
+        # Keys have their year with them, so partitions prune and rows can't change theirs.
+        touched = stored.where(F.col("year").isin(years)).drop("year")
+        merged = upsert(touched, batch).withColumn("year", F.year("date"))
+        write_partitioned(materialise(merged, "upsert"), path)
+    return spark.read.option("mergeSchema", True).parquet(path)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,30 @@ def test_one_symbol_holds_most_rows(spark):
     assert hot["seq"] == max(i for i in range(n) if i % 3 == 0 or i % 500 == 7)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan and "Window" not in plan
+
+
+def test_upsert_leaves_the_files_of_other_years(spark, tmp_path):
+    rows = [("000001", dt.date(y, 1, 1 + i), float(i)) for y in (2022, 2023, 2024) for i in range(5)]
+    stored = spark.createDataFrame(rows, "code string, date date, close double")
+    path = f"{tmp_path}/panel"
+    sinks.write_partitioned(stored.withColumn("year", F.year("date")), path)
+    files = lambda: {p.relative_to(path) for p in Path(path).rglob("*.parquet")}
+    before = files()
+    batch = spark.createDataFrame([("000001", "2023-01-02", 9.0, 0.5), ("000002", "2023-06-01", None, 0.25)], "code string, date string, close double, ret double")
+    prepared = inc.prepare_batch(batch, ["ret"])
+    got = {(r["code"], r["date"]): (r["close"], r["ret"]) for r in inc.upsert_by_year(spark, path, prepared).collect()}
+    kept = {f for f in before if "year=2023" not in str(f)}
+    assert kept and kept < files() and not (before - kept) & files()
+    want = {(c, d): (v, None) for c, d, v in rows} | {("000001", dt.date(2023, 1, 2)): (9.0, 0.5), ("000002", dt.date(2023, 6, 1)): (None, 0.25)}
+    assert got == want
+    again = inc.upsert_by_year(spark, path, prepared)
+    assert {(r["code"], r["date"]): (r["close"], r["ret"]) for r in again.collect()} == want
+    assert inc.upsert_by_year(spark, path, prepared.limit(0)).count() == len(want)
+
+
+def test_packed_bars_follow_bytes_not_symbols(spark, tmp_path):
+    rows = [(f"{i:06d}", dt.date(2024, 1, 1 + d), 1.0, 2.0, 0.5, 1.5, 10.0, 15.0) for i in range(400) for d in range(3)]
+    bars = spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, volume double, amount double")
+    path = sinks.write_packed_csv(bars, f"{tmp_path}/bars")
+    assert len(list(Path(path).rglob("*.csv"))) <= 8
+    assert sorted(map(tuple, readers.scan_bars(spark, path, packed=True).collect())) == sorted(rows)
