@@ -3,10 +3,14 @@
 A tree is built from the tags as a browser would, as far as text needs it: end tags that may be left out are implied (a
 paragraph ends at the next block, an item at the next item, a cell at the next cell or row), the head ends at the first
 thing that can't be in it, void elements have no content, stray end tags are passed over. The tree is then rendered:
-elements that are never shown, or are hidden by attribute or inline style, are left out; formulas (MathML) and the labels
-of inline diagrams (SVG) are shown, without their annotations and definitions, a label to a line; white space collapses but for
-preformatted text; blocks stand on lines of their own, paragraphs and headings with an empty line around them; list items
-have markers or numbers and are indented by depth; table cells are padded so that columns align.
+elements that are never shown or not displayed are left out with all inside them, closed dialogs and details among them;
+invisible ones leave nothing, not even a line's end, but for visible ones inside; formulas (MathML) and the labels of inline diagrams (SVG) are shown,
+without their annotations and definitions, a label to a line; white space collapses but for preformatted text; blocks stand on
+lines of their own, paragraphs and headings with an empty line around them; list items have markers or numbers and are
+indented by depth; table cells are padded so that columns align, wide characters counting as two.
+
+Of style sheets in the page, rules are read whose selectors consist of a tag, classes and an id of one element, at the top or
+in a medium that is all or the screen; importance, specificity and order decide as in the standard. Others are passed over.
 
 A null page has a null text, an empty page an empty one. Repeated rows are rendered each. Markup of any kind is rendered
 somehow, never refused. Time and memory are in proportion to a page; nesting of any depth is walked without recursion.
@@ -19,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Never shown, whatever the style.
-UNSHOWN = frozenset("head title script style template noscript iframe object video audio canvas datalist".split())
+UNSHOWN = frozenset("head title script style template noscript noframes noembed iframe object video audio canvas datalist rp".split())
 # SVG and MathML are shown but for these; SVG has text in its text elements only.
 UNSHOWN_FOREIGN = frozenset("annotation annotation-xml defs desc metadata title symbol clippath mask pattern marker".split())
 TEXT_IN_FOREIGN = frozenset("text foreignobject math".split())
@@ -54,7 +59,10 @@ ENDS = {
     "p": (frozenset(("p",)), frozenset("td th table caption button".split())),
 }
 ENDS |= {"dd": ENDS["dt"], "th": ENDS["td"], "thead": ENDS["tbody"], "tfoot": ENDS["tbody"]}
-INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+SELECTOR = re.compile(r"(?P<tag>[a-z][\w-]*|\*)?(?P<rest>(?:[.#][\w-]+)*)", re.I)
+ON_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)?", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 MAX_SPAN = 1000  # columns or rows that a cell may span, as in the standard
 
@@ -67,13 +75,76 @@ class Node:
         self.foreign = tag in ("svg", "math") or (parent is not None and parent.foreign and parent.tag not in INTEGRATION)
         self.mute = tag == "svg" or (parent is not None and parent.mute and tag not in TEXT_IN_FOREIGN)  # its characters aren't drawn
 
-    def shown(self) -> bool:
+    def style(self, sheet: Sheet) -> tuple[str, str | None]:
+        """What it is displayed as ("none" or else), and its own visibility, if it states one."""
         a = self.attrs
-        if self.tag in UNSHOWN or "hidden" in a or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"):
-            return False
-        if self.foreign and (self.tag in UNSHOWN_FOREIGN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
-            return False
-        return not ("style" in a and INVISIBLE.search(a["style"] or ""))
+        if self.tag in UNSHOWN or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"):
+            return "none", None
+        if self.foreign and (self.tag in UNSHOWN_FOREIGN or a.get("display") == "none"):
+            return "none", None
+        closed = "hidden" in a or (self.tag == "dialog" and "open" not in a)
+        found = {"display": ((False, -1, 0), "none" if closed else ""), "visibility": ((False, -1, 0), a.get("visibility") if self.foreign else None)}
+        own = declared(a["style"] or "") if "style" in a else ()
+        for name, value, weight in (*sheet.of(self), *((n, v, (i, 1 << 30, k)) for k, (n, v, i) in enumerate(own))):
+            found[name] = max(found[name], (weight, value), key=lambda x: x[0])
+        return found["display"][1], found["visibility"][1]
+
+    def displayed(self) -> list[Node | str]:
+        """Its children, but for those of closed details that aren't their summary."""
+        if self.tag != "details" or "open" in self.attrs:
+            return self.children
+        return [c for c in self.children if isinstance(c, Node) and c.tag == "summary"][:1]
+
+
+def declared(text: str) -> list[tuple[str, str, bool]]:
+    """The declarations that matter here, and whether each is important."""
+    return [(m[1].lower(), m[2].lower(), bool(m[3])) for m in DECLARED.finditer(COMMENT.sub("", text))]
+
+
+class Sheet:
+    """Rules of a page's style sheets, found by an id, a class or a tag of their selector."""
+
+    def __init__(self, texts: list[str]):
+        self.rules: dict[str, list] = {}
+        for order, (selectors, body) in enumerate(r for text in texts for r in self._blocks(COMMENT.sub("", text))):
+            for one in selectors.split(","):
+                m = SELECTOR.fullmatch(one.strip())
+                if m and one.strip() and (made := declared(body)):
+                    names = re.findall(r"[.#][\w-]+", m["rest"])
+                    tag = (m["tag"] or "*").lower()
+                    weight = sum(10_000 if n[0] == "#" else 100 for n in names) + (tag != "*")
+                    self.rules.setdefault(names[0] if names else tag, []).append((tag, frozenset(names), weight, order, made))
+
+    @staticmethod
+    def _blocks(text: str) -> Iterator[tuple[str, str]]:
+        """(selectors, declarations) of the rules that hold on a screen; what is left open ends with the text."""
+        open_, at = [], 0
+        for m in re.finditer(r"[{}]", text + "}"):
+            chunk, at = text[at : m.start()], m.end()
+            if m[0] == "{":
+                open_.append(chunk.rpartition(";")[2].strip())
+            elif open_:
+                head = open_.pop()
+                media = [h[6:].split(",") for h in open_ if h[:6].lower() == "@media"]
+                if not head.startswith("@") and len(media) == len(open_) and all(any(ON_SCREEN.fullmatch(x.strip()) for x in m) for m in media):
+                    yield head, chunk
+
+    def of(self, node: Node) -> Iterator[tuple[str, str, tuple[bool, int, int]]]:
+        if not self.rules:
+            return
+        names = {f".{c}" for c in (node.attrs.get("class") or "").split()} | {f"#{i}" for i in (node.attrs.get("id") or "").split()[:1]}
+        for key in (*names, node.tag, "*"):
+            for tag, needed, weight, order, made in self.rules.get(key, ()):
+                if tag in ("*", node.tag) and needed <= names:
+                    for name, value, important in made:
+                        yield name, value, (important, weight, order)
+
+
+def columns(text: str) -> int:
+    """How wide a text is: wide characters take two columns, those that combine with others none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class TreeBuilder(HTMLParser):
@@ -84,6 +155,7 @@ class TreeBuilder(HTMLParser):
         self.root = Node("#root", {})
         self.open = [self.root]
         self.count: Counter[str] = Counter()
+        self.sheets: list[str] = []
 
     def _pop_to(self, tags: frozenset[str], stop: frozenset[str]) -> None:
         """Closes the innermost open element of these tags with all inside it, unless one of ``stop`` comes first."""
@@ -138,6 +210,8 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.count["head"] and self.open[-1].tag == "head" and data.strip():
             self._pop_to(frozenset(("head",)), frozenset())
+        if self.open[-1].tag == "style" and any(ON_SCREEN.fullmatch(m.strip()) for m in (self.open[-1].attrs.get("media") or "").split(",")):
+            self.sheets.append(data)
         if not self.open[-1].mute:
             self.open[-1].children.append(data)
 
@@ -241,7 +315,7 @@ class Table:
         for row in self.grid:
             for c, (lines, wide) in row.items():
                 if wide == 1:
-                    width[c] = max([width[c], *map(len, lines)])
+                    width[c] = max([width[c], *map(columns, lines)])
         used = sorted({c for row in self.grid for c in row})
         start, x = {}, 0
         for c in used:
@@ -254,28 +328,32 @@ class Table:
                 for c, (lines, _) in sorted(row.items()):
                     if k < len(lines) and lines[k]:
                         # A cell that spans columns may push what follows to the right.
-                        line = line.ljust(start[c]) if len(line) <= start[c] else line + "  "
+                        line += " " * (start[c] - columns(line)) if columns(line) <= start[c] else "  "
                         line += lines[k]
                 out.append(line)
         return out
 
 
-def render(root: Node) -> str:
+def render(root: Node, sheet: Sheet) -> str:
     boxes, tables, lists, pre = [Box()], [], [], 0
-    stack: list[tuple[Node | str, bool]] = [(root, True)]
+    stack: list[tuple[Node | str, bool, bool]] = [(root, True, True)]
     while stack:
-        node, enter = stack.pop()
+        node, enter, visible = stack.pop()
         box = boxes[-1]
         if isinstance(node, str):
-            (box.verbatim if pre else box.add)(node)
+            if visible:
+                (box.verbatim if pre else box.add)(node)
             continue
         tag, step = node.tag, 1 if enter else -1
         if enter:
-            if not node.shown():
+            display, visibility = node.style(sheet)
+            if display == "none":
                 continue
-            stack.append((node, False))
-            stack += [(c, True) for c in reversed(node.children)]
-        if tag in BLOCKS or (tag == "text" and node.foreign):
+            # Visibility is inherited unless an element states its own.
+            visible = visibility == "visible" if visibility in ("visible", "hidden", "collapse") else visible
+            stack.append((node, False, visible))
+            stack += [(c, True, visible) for c in reversed(node.displayed())]
+        if visible and (tag in BLOCKS or (tag == "text" and node.foreign)):
             nested = tag in LISTS and len(lists) > (0 if enter else 1)
             box.block(tag in SPACED and not nested)
         if tag == "br":
@@ -319,7 +397,7 @@ def visible_text(page: str) -> str:
         builder.close()
     except AssertionError:  # the parser's answer to some malformed declarations: what it hasn't read is taken as text
         builder.handle_data(builder.rawdata)
-    return render(builder.root)
+    return render(builder.root, Sheet(builder.sheets))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -195,6 +195,55 @@ def test_formulas_and_inline_diagrams(page, text):
     assert visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div style='visibility:hidden'>a<p>b<p style='visibility:visible'>c<i>d</i></p>e</div>f", "cd\n\nf"),
+        ("<dialog>a</dialog><dialog open>b</dialog>", "b"),
+        ("<details><summary>s</summary>body<p>more</details><details open><summary>t</summary>shown</details>", "s\nt\nshown"),
+        ("<noframes>a</noframes><noembed>b</noembed><ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢kan"),
+        ("<style>.h{display:none} #i, p.k { visibility : hidden }</style><b class='x h'>a</b><b id=i>b</b><b class=k>c</b><p class=k>d</p>", "c"),
+        ("<style>.h{display:none}.h.s{display:inline}</style><b class=h>a</b><b class='h s'>b</b><b class=h style='display:block'>c</b>", "bc"),
+        ("<style>b{display:none!important}</style><b style='display:inline'>a</b><i hidden style='display:inline'>b</i>", "b"),
+        ("<style>@media print{.p{display:none}}@media screen{.q{display:none}} .r{display:none</style><b class=p>a</b><b class=q>b</b><b class=r>c</b>", "a"),
+        ("<style media=print>b{display:none}</style><style>/* b{display:none} */ div b{display:none}</style><b>a</b>", "a"),
+        ("<style>b{display:none}</style><b style='color:red'>a</b><style>b{display:inline}</style>", "a"),
+        ("<table><tr><td>漢字<td>a<tr><td>abc<td>b</table>", "漢字  a\nabc   b"),
+    ],
+)
+def test_visibility(page, text):
+    assert visible_text(page) == text
+
+
+def test_words_of_generated_trees():
+    """A plain walk knows which words of a random tree are seen; the renderer shows these, in order."""
+    rng, n = random.Random(12), 0
+    sheet = "<style>.gone{display:none}.dim{visibility:hidden}.lit{visibility:visible}</style>"
+    forms = [("", None, None), ("class=gone", "none", None), ("class=dim", None, False), ("class=lit", None, True), ("style='display:none'", "none", None)]
+    forms += [("style='visibility:collapse'", None, False), ("class=dim style='visibility:visible'", None, True), ("hidden", "none", None)]
+
+    def tree(depth, shown, visible):
+        nonlocal n
+        out, words = [], []
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.6:
+                form, display, own = rng.choice(forms)
+                tag = rng.choice(["div", "span", "b", "section", "dialog", "details"])
+                seen = visible if own is None else own
+                inner, found = tree(depth - 1, shown and display != "none" and tag not in ("dialog", "details"), seen)
+                out.append(f"<{tag} {form}>{inner}</{tag}>")
+                words += found
+            else:
+                n += 1
+                out.append(f" w{n} ")
+                words += [f"w{n}"] if shown and visible else []
+        return "".join(out), words
+
+    for _ in range(400):
+        page, words = tree(4, True, True)
+        assert visible_text(sheet + page).split() == words, page
+
+
 def test_any_markup_is_rendered():
     rng = random.Random(1)
     bits = "<p> </p> <li> <ul> </ul> <table> <tr> <td> </td> </table> <td/colspan=99999999> text &amp &#99999999; <![CDATA[x]]> <![foo <! <!-- --> <?php </ < <a/href=' > <script> </script> <head> </body> </br> <select><option>".split()
