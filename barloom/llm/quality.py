@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import let
+from barloom.llm.common import let, named
 from barloom.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -197,11 +197,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns. The counts are taken twice, for the fit and for
-    the verdicts: cheaper than moving the texts to meet their verdicts."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Rows are written once with their votes, so the
+    counts are taken once for the fit and for the verdicts."""
     votes = [r.vote().alias(f"vote_{r.name}") for r in rules]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(text_col).alias("text"))
     names = [f"vote_{r.name}" for r in rules]
-    model = fit(materialise(signals(rows, "row").select(*votes).groupBy(*names).count().coalesce(1), "votes"), rules)
-    judged = signals(rows, "row").select("row", "base_failed", *votes)
-    return judged.where(~F.col("base_failed") & (model.posterior(rules) >= threshold)).select("row.*")
+    seen = materialise(signals(rows, "row").select("row", "base_failed", *votes), "judged")
+    model = fit(materialise(seen.groupBy(*names).count().coalesce(1), "votes"), rules)
+    return seen.where(~F.col("base_failed") & (model.posterior(rules) >= threshold)).select("row.*")
