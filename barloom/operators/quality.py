@@ -26,6 +26,7 @@ REASONS = {
     "structural_label": "no next trading day",
     "unexpected": "not a declared structural gap",
 }
+# Counts that make a report fail, and those that make it warn.
 FAIL_COUNTS = [
     "duplicate_key_count", "invalid_date_count", "invalid_ohlc_count", "unexpected_missing_cell_count",
     "nonpositive_price_count", "negative_volume_count", "invalid_code_count",

@@ -14,6 +14,7 @@ from barloom.functions.guards import require_columns
 from barloom.operators.quality import keep_last
 from barloom.session import create_once, delete, exists, folders
 
+# The tables of the published star.
 STAR_TABLES = [
     "dim_stock",
     "fact_stock_daily_demo",
