@@ -264,6 +264,13 @@ def heatmap_cells(industry: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
+def quoted_on_all_days(market: DataFrame) -> DataFrame:
+    """Bars of the symbols that have a positive open on every date of the market: a universe ``equal_weight_curve`` takes."""
+    days = market.select("date").distinct().agg(F.count(F.lit(1))).scalar()
+    opens = market.groupBy("code").agg(F.count_distinct(F.when(F.col("open") > 0, F.col("date"))).alias("n"))
+    return market.join(opens.where(F.col("n") == days).select("code"), "code", "left_semi")
+
+
 def equal_weight_curve(market: DataFrame, check: bool = True) -> DataFrame:
     """Mean open-to-open change of the universe per date, compounded.
 

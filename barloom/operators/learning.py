@@ -66,14 +66,19 @@ def date_quantiles(frame: DataFrame, levels: Sequence[float]) -> DataFrame:
 
 def time_split_purged(frame: DataFrame, train: float = 0.70, validation: float = 0.85) -> DataFrame:
     """Train, validation and test by date; the two boundary days belong to none and drop out."""
-    cutoffs = date_quantiles(frame, [train, validation]).scalar()
+    return _split(frame, frame, train, validation)
+
+
+def _split(rows: DataFrame, dated: DataFrame, train: float, validation: float) -> DataFrame:
+    """``rows`` with their split by the quantiles of the dates of ``dated``."""
+    cutoffs = date_quantiles(dated, [train, validation]).scalar()
     day, first, second = day_number(), cutoffs[0], cutoffs[1]
     split = (
         F.when(day < first, "train")
         .when((day > first) & (day < second), "validation")
         .when(day > second, "test")
     )
-    return frame.withColumn("split", split).where(F.col("split").isNotNull())
+    return rows.withColumn("split", split).where(F.col("split").isNotNull())
 
 
 def year_windows(frame: DataFrame, train_years: int = 3, test_years: int = 1) -> DataFrame:
@@ -161,10 +166,12 @@ def sequence_windows(frame: DataFrame, features: Sequence[str], steps: int = STE
 
 
 def split_sequences(frame: DataFrame, features: Sequence[str], steps: int = STEPS) -> DataFrame:
-    """Sequences with the split of their target day; boundary days are history only."""
-    return time_split_purged(frame, 0.70, 0.85).select("code", "date", "split").join(
-        sequence_windows(frame, features, steps), ["code", "date"]
-    )
+    """Sequences with the split of their target day; boundary days are history only.
+
+    The bounds are two numbers from the dates of the whole frame; the sequences carry their own rows on, so the frame is
+    laid out once.
+    """
+    return _split(sequence_windows(frame, features, steps), frame, 0.70, 0.85).select("code", "date", "split", "sequence", "target")
 
 
 # ---- training ----------------------------------------------------------------------------------
@@ -293,19 +300,25 @@ def feature_importance(model: Model, features: Sequence[str], spark, k: int = 15
 # ---- evaluation --------------------------------------------------------------------------------
 
 
+def score_counts(scored: DataFrame) -> DataFrame:
+    """Rows, positives and others per distinct score: all that the measures of a classification need."""
+    up = F.col("actual") > 0
+    return scored.groupBy(F.col("predicted").alias("score")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(up).alias("pos"), F.count_if(~up).alias("neg")
+    )
+
+
 def auc(scored: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Area under the curve from tie-averaged ranks; 0.5 when one class is missing.
 
     Rows are combined per distinct score and summed through buckets that the
     scores themselves give, so there is no global sort.
     """
-    marked = scored.select(
-        F.col("predicted").alias("score"),
-        (F.col("actual") > 0).cast("long").alias("pos"),
-        (~(F.col("actual") > 0)).cast("long").alias("neg"),
-    )
-    distinct = marked.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = running_totals(distinct, [], ["score"], ["pos", "neg"], group_rows)
+    return _auc(score_counts(scored), group_rows)
+
+
+def _auc(counts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    counts = running_totals(counts.select("score", "pos", "neg"), [], ["score"], ["pos", "neg"], group_rows)
     total = counts.agg(
         F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0)).alias("won"),
         F.sum("pos").alias("p"),
@@ -315,16 +328,23 @@ def auc(scored: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def eval_classification(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Accuracy, AUC, squared error of the probability, precision, recall and F1."""
-    up, called = F.col("actual") > 0, F.col("predicted") > threshold
-    error = F.col("predicted") - up.cast("double")
-    matrix = scored.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(up & called).alias("tp"),
-        F.count_if(~up & called).alias("fp"),
-        F.count_if(up & ~called).alias("fn"),
-        F.count_if(up == called).alias("hits"),
-        F.avg(error * error).alias("mse"),
+    """Accuracy, AUC, squared error of the probability, precision, recall and F1.
+
+    The scores are worked out once: their counts per distinct value are written, and both the matrix and the AUC come
+    from those.
+    """
+    counts = materialise(score_counts(scored), "scores")
+    called = F.col("score") > threshold
+    total = lambda c, where=None: F.coalesce(F.sum(c if where is None else F.when(where, c)), F.lit(0))
+    valued = F.when(F.col("score").isNotNull(), F.col("pos") + F.col("neg"))
+    squares = F.col("pos") * (F.col("score") - 1) ** 2 + F.col("neg") * F.col("score") ** 2
+    matrix = counts.agg(
+        total(F.col("rows")).alias("n"),
+        total(F.col("pos"), called).alias("tp"),
+        total(F.col("neg"), called).alias("fp"),
+        total(F.col("pos"), ~called).alias("fn"),
+        (total(F.col("pos"), called) + total(F.col("neg"), ~called)).alias("hits"),
+        F.try_divide(F.sum(squares), F.sum(valued)).alias("mse"),
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp = F.col("tp")
@@ -335,7 +355,7 @@ def eval_classification(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
         ratio(tp, tp + F.col("fp")).alias("precision"),
         ratio(tp, tp + F.col("fn")).alias("recall"),
         ratio(2 * tp, 2 * tp + F.col("fp") + F.col("fn")).alias("f1"),
-    ).withColumn("auc", auc(scored).scalar())
+    ).withColumn("auc", _auc(counts).scalar())
 
 
 def eval_regression(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

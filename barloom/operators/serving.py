@@ -18,7 +18,7 @@ from barloom.operators.factors import drop_warmup, factor_panel, prev_close_chan
 from barloom.operators.joins import detail_coverage, join_peers, join_sentiment, join_snapshot_dim
 from barloom.operators.ranking import snapshot_page
 from barloom.session import materialise
-from barloom.sources.sinks import Publication, by_key, open_published, run_record
+from barloom.sources.sinks import Publication, by_date_and_code, open_published, run_record
 
 Star = Mapping[str, DataFrame]
 
@@ -53,9 +53,10 @@ def fact_panel(bars: DataFrame, sentiment: DataFrame | None, data_version: str)
 
 
 def publish_star(spark: SparkSession, root: str, version: str, bars: DataFrame, catalog: DataFrame, data_version: str, source_label: str) -> dict[str, DataFrame]:
-    """Publish the star of some bars: facts are written once, in place, and everything else is derived from them."""
+    """Publish the star of some bars: facts are written once, clustered by date and code,
+    and everything else is derived from them."""
     build = Publication(spark, root, version)
-    facts = build.write("fact_stock_daily_demo", by_key(fact_panel(bars, None, data_version)))
+    facts = build.write("fact_stock_daily_demo", by_date_and_code(fact_panel(bars, None, data_version), bars))
     for name, table in aggregates(facts, catalog, data_version, source_label, stage=materialise).items():
         build.write(name, table)
     build.commit()

@@ -12,6 +12,7 @@ from barloom.operators.factors import prev_close_change, sentiment_ma
 from barloom.plans.oracle import HIST, board, rows
 from barloom.plans.panels import long_panel, scored_panel
 from barloom.plans.registry import query
+from barloom.session import materialise
 from barloom.sources.adapter import bars_long, bars_short, catalog, sentiment, table
 from barloom.sources.readers import union_universe
 
@@ -360,6 +361,39 @@ def wide_open_matrix(spark, sf):
     return curve.withColumn("log_curve", F.log("curve"))
 
 
+ALL_DAYS = "SELECT code FROM {0} GROUP BY code HAVING count(DISTINCT date) FILTER (open > 0) = (SELECT count(DISTINCT date) FROM {0})"
+
+
+@query(
+    "wide_open_matrix_complete",
+    "date mean_change:5 log_curve:6",
+    f"""SELECT date, mean_change, ln(product(1 + mean_change) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        AS log_curve FROM (SELECT date, coalesce(avg(c), 0) AS mean_change FROM (SELECT date, open / lag(open) OVER {HIST} - 1 AS c
+        FROM evbars WHERE code IN ({ALL_DAYS.format('evbars')})) AS a GROUP BY date) AS b""",
+)
+def wide_open_matrix_complete(spark, sf):
+    """The curve of the symbols quoted on all days, which has to pass the check of completeness."""
+    curve = x.equal_weight_curve(x.quoted_on_all_days(bars_short(spark, sf)))
+    return curve.withColumn("log_curve", F.log("curve"))
+
+
+@query(
+    "industry_heatmap_wide",
+    "industry_l1 dates smallest:3 largest:3",
+    f"""SELECT industry_l1, count(*) AS dates, min(average_return) * 100 AS smallest, max(average_return) * 100 AS largest
+        FROM ({INDUSTRY_SQL}) AS i WHERE date IN (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 20) AND average_return IS NOT NULL
+        GROUP BY industry_l1""",
+)
+def industry_heatmap_wide(spark, sf):
+    """The form with one column per date, as a page shows it, read back by its columns."""
+    wide = x.industry_heatmap(materialise(industry_rows(spark, sf), "industries"))
+    cells = F.array(*[F.col(c) for c in wide.columns if c != "industry_l1"])
+    known = wide.select("industry_l1", F.filter(cells, lambda c: c.isNotNull()).alias("c"))
+    return known.where(F.size("c") > 0).select(
+        "industry_l1", F.size("c").cast("long").alias("dates"), F.array_min("c").alias("smallest"), F.array_max("c").alias("largest")
+    )
+
+
 @query(
     "panel_counts",
     "row_count stock_count",

@@ -238,8 +238,8 @@ def train_return_windows(spark, sf):
 
 # ---- evaluation of a fixed score, so that SQL can follow ----------------------------------------
 
-# Score in [0, 1] with ties: today's volume ratio to three digits, against tomorrow's return.
-SCORE_SQL = "(SELECT code, date, year(date) AS y, round(least(volume_ratio, 1.0) + 1e-9, 3) AS predicted, label AS actual, " \
+# Score in [0, 1] with ties at 1: today's volume ratio, against tomorrow's return. Nine digits, so that both engines tie alike.
+SCORE_SQL = "(SELECT code, date, year(date) AS y, round(least(volume_ratio, 1.0), 9) AS predicted, label AS actual, " \
     "amount_ratio / 10 AS baseline FROM bars_ready WHERE label IS NOT NULL) AS scored"
 
 
@@ -247,7 +247,7 @@ def scored(spark, sf):
     panel = long_panel(spark, sf).where(F.col("label").isNotNull())
     return panel.select(
         "code", "date", F.year("date").alias("y"),
-        F.round(F.least("volume_ratio", F.lit(1.0)) + 1e-9, 3).alias("predicted"),
+        F.round(F.least("volume_ratio", F.lit(1.0)), 9).alias("predicted"),
         F.col("label").alias("actual"), (F.col("amount_ratio") / 10).alias("baseline"),
     )
 

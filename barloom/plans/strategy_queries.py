@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.windows import pct_change
 from barloom.operators import metrics as m
 from barloom.operators import strategy as st
+from barloom.operators.crosssection import quoted_on_all_days
 from barloom.plans.registry import query
 from barloom.session import materialise
 from barloom.sources.adapter import bars_long, bars_short
@@ -215,6 +216,25 @@ def bt_benchmark_universe(spark, sf):
     return curve.withColumn("log_benchmark", F.log("benchmark_cumulative"))
 
 
+@query(
+    "bt_benchmark_complete",
+    "date log_benchmark:5 benchmark_name",
+    f"""WITH {_views('evmkt')}, uni AS (SELECT b.code, b.date, b.open FROM evmkt AS b JOIN days AS d USING (date) WHERE b.code IN (SELECT
+            code FROM sig)),
+        whole AS (SELECT code FROM uni GROUP BY code HAVING count(DISTINCT date) FILTER (open > 0) = (SELECT count(DISTINCT date) FROM uni))
+        SELECT date, ln(product(1 + c) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS log_benchmark,
+            'equal weight' AS benchmark_name FROM (SELECT date, coalesce(avg(c), 0) AS c FROM (SELECT code, date,
+            open / lag(open) OVER (PARTITION BY code ORDER BY date) - 1 AS c FROM uni WHERE code IN (SELECT code FROM whole)) AS a
+            GROUP BY date) AS z""",
+)
+def bt_benchmark_complete(spark, sf):
+    """The equal-weight curve of the signalled symbols that are quoted on all valuation days, with its check."""
+    market, usable, _, days = _fixture(spark, sf)
+    valued = market.join(days.select("date"), "date", "left_semi").join(usable.select("code").distinct(), "code", "left_semi")
+    curve = st.benchmark_curve(None, usable, days, quoted_on_all_days(valued))
+    return curve.withColumn("log_benchmark", F.log("benchmark_cumulative"))
+
+
 NAV_CTE = f"""{RETURNS_CTE}, {BENCHMARK_CTE},
     nav AS (SELECT *, product(1 + portfolio_return) OVER (PARTITION BY scenario ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND
         CURRENT ROW) AS cumulative_return FROM net JOIN bm USING (date)),

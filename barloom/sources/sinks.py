@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,46 @@ def by_key(panel: DataFrame) -> DataFrame:
     return panel.repartitionByRange("code", "date").sortWithinPartitions("code", "date")
 
 
+ROWS_PER_FILE = 500_000
+PARTS = 1024  # a column of the grid layout is cut into that many parts at most
+
+
+def _part(value: Column, cuts: Sequence[int]) -> Column:
+    """How many of the sorted cut points a value reaches, by halving; missing values come first."""
+    if not cuts:
+        return F.lit(0)
+    points = F.array(*[F.lit(c).cast("long") for c in cuts])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) <= value, at + step).otherwise(at))
+    return F.coalesce(found, F.lit(0))
+
+
+def _code_number(code: Column) -> Column:
+    """The first six bytes of a code as a number in the codes' order."""
+    return F.conv(F.rpad(F.substring(F.hex(code), 1, 12), 12, "0"), 16, 10).cast("long")
+
+
+def by_date_and_code(panel: DataFrame, keys: DataFrame | None = None, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Files on a grid of dates and codes, so that statistics prune reads of one date and reads of one symbol alike.
+
+    Both columns are cut into as many parts of about equal rows, and a file holds one cell of the grid, sorted by code and
+    date. Of n files a read of one date or of one symbol concerns about the root of n. The number of rows and the cut points
+    (two lists of ``PARTS`` numbers at most) come from ``keys``, any frame with the same dates and codes, such as the bars
+    that a panel derives from; without it, from the panel. As the cells are known before the exchange, the panel is worked
+    out once; an exchange by range would work it out twice, first for its sample.
+    """
+    day, code = F.unix_date("date").cast("long"), _code_number(F.col("code"))
+    quantiles = [i / PARTS for i in range(1, PARTS)]
+    source = panel if keys is None else keys
+    seen = source.agg(
+        F.count(F.lit(1)).alias("rows"), F.percentile_approx(day, quantiles).alias("day"), F.percentile_approx(code, quantiles).alias("code")
+    ).first()
+    side = min(PARTS, math.isqrt(max(0, -(-seen["rows"] // rows_per_file) - 1)) + 1)
+    cuts = {n: [seen[n][PARTS * i // side - 1] for i in range(1, side)] if seen[n] else [] for n in ("day", "code")}
+    cell = _part(day, cuts["day"]) * side + _part(code, cuts["code"])
+    return panel.repartitionById(side * side, cell).sortWithinPartitions("code", "date")
+
+
 def write_panel(panel: DataFrame, path: str, formats: Sequence[str] = ("parquet", "csv")) -> list[str]:
     """The factor snapshot, once per format."""
     written = []

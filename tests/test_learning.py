@@ -58,6 +58,28 @@ def test_classification_on_empty_denominators(spark):
     assert (r["accuracy"], r["precision"], r["recall"], r["f1"], r["auc"]) == (1.0, 0.0, 0.0, 0.0, 0.5)
 
 
+def test_measures_of_many_scores_equal_plain_ones(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(draw.choice([None, round(draw.random(), 2), draw.random()]), draw.choice([None, -0.1, 0.0, 0.2, 0.3])) for _ in range(2000)]
+    got = ln.eval_classification(spark.createDataFrame(rows, "predicted double, actual double")).first()
+    known = [(p, a > 0) for p, a in rows if p is not None and a is not None]
+    tp, fp, fn = (sum(1 for p, u in known if (u, p > 0.5) == x) for x in ((True, True), (False, True), (True, False)))
+    assert got["n"] == 2000 and got["accuracy"] == pytest.approx(sum(u == (p > 0.5) for p, u in known) / 2000)
+    assert got["mse"] == pytest.approx(sum((p - u) ** 2 for p, u in known) / len(known))
+    assert (got["precision"], got["recall"], got["f1"]) == pytest.approx((tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)))
+
+
+def test_sequences_take_their_split_from_one_layout(spark):
+    rows = [("000001", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i), (-1.0) ** i) for i in range(60)]
+    df = spark.createDataFrame(rows, "code string, date date, x double, label double")
+    got = ln.split_sequences(df, ["x"], 20)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    split = {r_["date"]: r_["split"] for r_ in ln.time_split_purged(df, 0.70, 0.85).collect()}
+    assert {r_["date"]: r_["split"] for r_ in got.collect()} == {d: k for d, k in split.items() if d >= rows[20][1]}
+
+
 def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 1.0), (-1.0, -2.0), (2.0, 3.0), (0.5, -1.0)], "predicted double, actual double")
     r = ln.eval_regression(df).first()

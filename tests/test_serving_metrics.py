@@ -129,6 +129,73 @@ def test_reads(star):
         s.stock_history(star, "x' OR 1=1 --")
 
 
+def scanned(df):
+    """Rows that the scan of the facts hands on: row groups and pages whose statistics rule them out are not in."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan
+    seen, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        for i in range(node.children().size()):
+            todo.append(node.children().apply(i))
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if node.nodeName().startswith("Scan parquet"):
+            seen += node.metrics().get("numOutputRows").get().value()
+    return seen
+
+
+def test_one_date_and_one_symbol_are_small_parts_of_the_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    days, codes = 256, 400
+    panel = spark.range(days * codes).select(
+        F.lpad(((F.col("id") % codes) * 37 % 1000).cast("string"), 6, "0").alias("code"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / codes).cast("int")).alias("date"),
+        *[F.rand(i).alias(c) for i, c in enumerate(("close", "pct_chg", "change"))],
+    )
+    path = str(tmp_path / "facts-by-both")
+    sinks.by_date_and_code(panel, panel.select("code", "date"), 2000).write.parquet(path)
+    facts = spark.read.parquet(path)
+    assert facts.count() == panel.count() and facts.columns == panel.columns
+    run = spark.createDataFrame([("SUCCESS", 1, dt.date(2024, 1, 1) + dt.timedelta(days=days - 1))], "status string, finished_at int, data_end_date date")
+    both = {"fact_stock_daily_demo": facts, "pipeline_run": run}
+    last, one = s.latest_quotes(both, ["37"]), s.stock_history(both, "37")
+    assert (last.count(), one.count()) == (1, days)
+    everything = days * codes
+    for read, passes in ((last, 2), (one, 2), (j.join_latest(facts), 1)):  # sorted reads scan twice: range bounds, then rows
+        assert 0 < scanned(read) <= passes * everything // 7
+    # Files whose statistics take in the date or the code.
+    spans = []
+    for file in sorted((tmp_path / "facts-by-both").glob("*.parquet")):
+        groups = pq.ParquetFile(file).metadata
+        at = {groups.schema.column(i).name: i for i in range(len(groups.schema))}
+        stats = [[groups.row_group(g).column(at[c]).statistics for g in range(groups.num_row_groups)] for c in ("code", "date")]
+        spans.append([(min(x_.min for x_ in each), max(x_.max for x_ in each)) for each in stats])
+    assert len(spans) == 64
+    assert sum(a <= "000037" <= b for (a, b), _ in spans) == 8
+    assert sum(a <= dt.date(2024, 6, 1) <= b for _, (a, b) in spans) == 8
+
+
+def test_clustered_files_take_rows_as_they_come(spark, tmp_path):
+    rows = [(None, None), ("000001", None), (None, dt.date(2024, 1, 1)), ("x" * 40, dt.date(2024, 1, 1)), ("000001", dt.date(1969, 1, 1))] * 3
+    panel = spark.createDataFrame(rows, "code string, date date")
+    sinks.by_date_and_code(panel).write.parquet(f"{tmp_path}/odd")
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/odd").collect())) == sorted(map(str, panel.collect()))
+    assert sinks.by_date_and_code(panel.limit(0)).count() == 0
+
+
+def test_complete_universe_passes_its_check(spark):
+    rows = [(c, dt.date(2024, 1, d), float(d)) for c in ("a", "b") for d in (1, 2, 3) if (c, d) != ("b", 2)] + [("c", dt.date(2024, 1, d), d - 2.0) for d in (1, 2, 3)]
+    market = spark.createDataFrame(rows, "code string, date date, open double")
+    with pytest.raises(ValueError, match="complete"):
+        x.equal_weight_curve(market)
+    whole = x.quoted_on_all_days(market)
+    assert {r_["code"] for r_ in whole.collect()} == {"a"}
+    assert [r_["curve"] for r_ in x.equal_weight_curve(whole).orderBy("date").collect()] == pytest.approx([1.0, 2.0, 3.0])
+
+
 def test_filters_reach_the_scan(star):
     plan = s.stock_history(star, "600519", "2026-01-08")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(code,600519)" in plan and "GreaterThanOrEqual(date,2026-01-08)" in plan
