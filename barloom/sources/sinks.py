@@ -36,7 +36,7 @@ def by_key(panel: DataFrame) -> DataFrame:
     return panel.repartitionByRange("code", "date").sortWithinPartitions("code", "date")
 
 
-ROWS_PER_FILE = 500_000
+ROWS_PER_FILE = 100_000
 PARTS = 1024  # a column of the grid layout is cut into that many parts at most
 
 
