@@ -81,15 +81,14 @@ def mod97(account: Column) -> Column:
 
 
 def _scored(found: Column, text: Column, kind: Kind, rank: int) -> Column:
-    def one(h: Column) -> Column:
-        before = F.substring(text, F.greatest(h["start"] - NEAR, F.lit(0)) + 1, F.least(h["start"], F.lit(NEAR)))
-        after = F.substring(text, h["end"] + 1, F.lit(NEAR))
-        around = F.concat(before, F.lit(" "), after)
-        word = r"(?i)(?<![a-z])(?:{})(?![a-z])"
-        score = F.lit(kind.score) + F.when(around.rlike(word.format(kind.supports)), 0.2).otherwise(0.0) - F.when(around.rlike(word.format(kind.speaks_against)), 0.2).otherwise(0.0)
+    word = r"(?i)(?<![a-z])(?:{})(?![a-z])"
+
+    def one(h: Column, context: Column) -> Column:
+        more = F.when(context.rlike(word.format(kind.supports)), 0.2).otherwise(0.0)
+        score = F.lit(kind.score) + more - F.when(context.rlike(word.format(kind.speaks_against)), 0.2).otherwise(0.0)
         return F.struct(h["start"].alias("start"), F.lit(rank).alias("rank"), h["end"].alias("end"), F.lit(kind.name).alias("kind"), h["hit"].alias("hit"), score.alias("score"))
 
-    return F.transform(found, one)
+    return let(found, lambda spans: S.around(text, spans, NEAR, one))
 
 
 def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -103,6 +103,40 @@ def test_account_numbers_and_context(spark):
     assert score("call +49 30 1234567") > score("see +49 30 1234567") > score("test +49 30 1234567")
 
 
+def test_matches_across_blocks_and_contexts_across_chunks(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab \U0001f600é"), n)) for n in (0, 1, 255, 1024, 5000, 9000)]
+    frame_ = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    text = F.col("text")
+    found = frame_.select("text", S.hits(text, "a+b?").alias("h"))
+    rows = found.select("text", "h", S.around(text, F.col("h"), 40, lambda s, c: c).alias("c")).collect()
+    for r in rows:
+        want = list(re.finditer("a+b?", r["text"]))
+        assert [(h["start"], h["end"], h["hit"]) for h in r["h"]] == [(m.start(), m.end(), m[0]) for m in want]
+        assert r["c"] == [f"{r['text'][max(0, m.start() - 40) : m.start()]} {r['text'][m.end() : m.end() + 40]}" for m in want]
+
+
+def test_spans_inside_others_go(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (0, 1, 40, 700):
+        spans = lambda size: sorted((int(a), int(a) + int(w)) for a, w in zip(rng.integers(0, 3 * n + 1, size), rng.integers(1, 9, size), strict=True))
+        rows += [(spans(n), spans(m)) for m in (0, n, n // 5)]
+    kind = "array<struct<start:int,end:int>>"
+    for r in spark.createDataFrame(rows, f"a {kind}, b {kind}").select("a", "b", S.outside(F.col("a"), F.col("b")).alias("o")).collect():
+        assert r["o"] == [x for x in r["a"] if not any(y["start"] <= x["start"] and x["end"] <= y["end"] for y in r["b"])]
+
+
+def test_a_text_with_a_hundred_thousand_matches(spark):
+    one = "a@b.cd 10.0.0.1 token=abcdefghij01 deadbeefdeadbeef "
+    n = 100_000
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(one), n).alias("text"))
+    found = secrets.digest(secrets.scan(docs), secrets.KINDS[:3]).select("n_assign", "n_hex")
+    assert tuple(found.first()) == (n, n)
+    found = secrets.digest(pii.scan(docs), pii.BASE).select("n_email", "n_ip")
+    assert tuple(found.first()) == (n, n)
+
+
 def test_spans_print_by_start_then_kind(spark):
     df = secrets.digest(secrets.scan(spark.createDataFrame([(1, "token=AKIA1234567890ABCD")], "doc_id bigint, text string")), secrets.KINDS[:3])
     assert df.first()["spans"] == "assign:0:24,access:6:24"
