@@ -7,13 +7,15 @@ right) with left below a and right below b, where a and b are about the root of
 half to the other, modulo its bound. a times b exceeds n by less than a, and a place beyond n-1 is walked on along its
 cycle until it falls inside.
 
-Row numbers don't need one sorted sequence: rows are dealt to ``BUCKETS`` by a hash of id and text, numbered within their
-bucket by (id, digest of the text), and the buckets' sizes, summed up in order, are added (a window over at most
-``BUCKETS`` rows). The numbers, and so the shuffle, depend on the rows alone, not on files or partitions.
+Row numbers don't need one sorted sequence: rows that agree in all columns are counted first, and what is distinct is dealt
+to ``BUCKETS`` by a hash of id and text. Within a bucket counts are summed up by (id, digest of the text), and the buckets'
+sizes, summed up in order, are added (a window over at most ``BUCKETS`` rows). The copies then take the numbers of their
+stretch, ``STRETCH`` at a time over all tasks, so no task holds the copies of one document, however many there are. The
+numbers, and so the shuffle, depend on the rows alone, not on files or partitions.
 
 A null text has no bytes. Rows with a null id are numbered by their text. Rows alike in id and text are interchangeable:
-they fill their places in any order, with the same result. An empty table gives no rows. Other columns are passed on by
-``assign`` untouched.
+they fill their places in any order, with the same result. An empty table gives no rows. ``assign`` passes other columns on
+untouched; their types must be ones that can be grouped by (no maps).
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import let
+from barloom.llm.common import let, named
 from barloom.session import materialise
 
 BUCKETS = 16384
+STRETCH = 100_000
 ROUNDS = 6
 WALK = 40
 
@@ -85,16 +88,33 @@ def number_at(place: Column, n: int, seed: int = 0) -> Column:
     return _walk(place.cast("long"), n, seed, True)
 
 
+def alike(rows: DataFrame) -> DataFrame:
+    """Rows that agree in all columns as one, with their number ``_copies``; combined before they are exchanged."""
+    return rows.groupBy(*[named(c) for c in rows.columns]).agg(F.count("*").alias("_copies"))
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", digest_col: str = "digest", out: str = "number") -> tuple[DataFrame, int]:
-    """``docs`` with a global row number, and the number of rows."""
-    bucket = F.pmod(F.xxhash64(id_col, digest_col), F.lit(BUCKETS)).cast("int")
-    sizes = docs.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    """``docs`` with a global row number, and the number of rows. ``docs`` may come as rows of ``alike``."""
+    rows = docs if "_copies" in docs.columns else alike(docs)
+    columns = [c for c in rows.columns if c != "_copies"]
+    bucket = F.pmod(F.xxhash64(named(id_col), named(digest_col)), F.lit(BUCKETS)).cast("int")
+    sizes = rows.groupBy(bucket.alias("_bucket")).agg(F.sum("_copies").alias("_rows"), F.max("_copies").alias("_most"))
+    whole = sizes.agg(F.sum("_rows").alias("rows"), F.max("_most").alias("most")).first()
     before = F.sum("_rows").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_bucket", F.coalesce(before, F.lit(0).cast("long")).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(id_col), F.col(digest_col))) - 1
-    rows = docs.withColumn("_bucket", bucket).withColumn("_own", own.cast("long")).join(starts, "_bucket")
-    return rows.withColumn(out, F.col("_start") + F.col("_own")).drop("_bucket", "_own", "_start"), total
+    order = Window.partitionBy("_bucket").orderBy(named(id_col), named(digest_col), F.xxhash64(*[named(c) for c in columns]))
+    own = F.coalesce(F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_bucket", bucket).withColumn("_own", own).join(starts, "_bucket")
+    placed = placed.select(*[named(c) for c in columns], (F.col("_start") + F.col("_own")).alias("_first"), "_copies")
+    # Copies are laid out by stretches, those of large groups over all tasks.
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(STRETCH).cast("long"))).alias("_from")
+    parts = placed.select("*", stretch)
+    if (whole["most"] or 0) > STRETCH:
+        # As many tasks as the rows to come need: a stretch itself is a few bytes, too little for Spark to go by.
+        parts = parts.repartition(-(-whole["rows"] // (10 * STRETCH)), "_first", "_from")
+    last = F.least(F.col("_from") + STRETCH, F.col("_copies")) - 1
+    each = F.explode(F.sequence(F.col("_first") + F.col("_from"), F.col("_first") + last)).alias(out)
+    return parts.select(*[named(c) for c in columns], each), whole["rows"] or 0
 
 
 def assign(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", digest_col: str = "digest") -> DataFrame:
@@ -107,12 +127,12 @@ def assign(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id",
 
 def shuffled(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``facts`` with ``shard`` and ``slot``. Texts are read once: what is numbered is a written table of the facts."""
-    return assign(materialise(facts(docs, id_col, text_col), "facts"), shards, seed, id_col)
+    return assign(materialise(alike(facts(docs, id_col, text_col)), "facts"), shards, seed, id_col)
 
 
 def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row, without its text: the id, ``size`` (bytes of the text and 16), ``text_crc32`` and a 128-bit ``digest``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     return docs.select(
-        F.col(id_col), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("digest")
+        named(id_col), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("digest")
     )

@@ -122,6 +122,24 @@ def test_shards_are_even_gapless_and_reproducible(spark, docs, nothing):
     assert sharding.shuffled(nothing, 4).count() == 0
 
 
+def test_copies_of_one_document_take_their_places_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STRETCH", 100)
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("text"))
+    out = sharding.shuffled(hot, 7)
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(i if i % 3 else None for i in range(3000))
+    places = sorted(r["slot"] * 7 + r["shard"] for r in rows)
+    assert places == list(range(3000))
+    assert len({r["task"] for r in rows if r["doc_id"] is None}) > 1
+
+
+def test_other_columns_are_passed_on_when_rows_are_placed(spark, docs):
+    facts = sharding.facts(docs).withColumn("my col", F.lit("a b")).withColumn("id", F.col("size") % 3)
+    out = sharding.assign(facts, 4).collect()
+    assert Counter((r["doc_id"], r["size"], r["my col"], r["id"]) for r in out) == Counter((i, len((t or "").encode()) + 16, "a b", (len((t or "").encode()) + 16) % 3) for i, t in ROWS)
+    assert sorted(r["slot"] * 4 + r["shard"] for r in out) == list(range(len(ROWS)))
+
+
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
