@@ -6,6 +6,7 @@ import json
 import math
 import os
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -227,13 +228,16 @@ class Publication:
         missing = set(STAR_TABLES) - set(self.given)
         if missing:
             raise ValueError(f"missing tables: {sorted(missing)}")
+        stored = {name: self.spark.read.parquet(f"{self.folder}/{name}") for name in STAR_TABLES}
+        digests = [table_fingerprint(df).select(F.lit(name).alias("name"), "row_count", "hash_sum") for name, df in stored.items()]
+        found = {r["name"]: r for r in reduce(DataFrame.unionByName, digests).collect()}  # one job, a row for each table
         tables = []
         for name in STAR_TABLES:
-            found = table_fingerprint(self.spark.read.parquet(f"{self.folder}/{name}")).first()
+            count = found[name]["row_count"]
             for rows in {self.given[name], (expected or {}).get(name, self.given[name])}:
-                if found["row_count"] != rows:
-                    raise RuntimeError(f"{name}: expected {rows} rows, stored {found['row_count']}")
-            tables.append({"table_name": name, "row_count": found["row_count"], "digest": str(found["hash_sum"])})
+                if count != rows:
+                    raise RuntimeError(f"{name}: expected {rows} rows, stored {count}")
+            tables.append({"table_name": name, "row_count": count, "digest": str(found[name]["hash_sum"])})
         number = self.base + 1
         entry = {"number": number, "version": self.version, "replaces": self.base or None, "folder": self.folder, "tables": tables}
         if not create_once(self.spark, f"{self.root}/log/{number:010d}.json", json.dumps(entry)):
