@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.guards import date_range, require_columns
-from barloom.functions.ranks import GROUP_ROWS, average_rank, group_median, rank_table
+from barloom.functions.ranks import GROUP_ROWS, group_median, rank_table
 from barloom.functions.scalars import board_of, safe_corr, sentiment_class
 from barloom.functions.windows import lag
 from barloom.session import materialise
@@ -20,6 +20,7 @@ IC_FACTORS = [
     "high_low_ratio", "close_open_ratio", "sentiment", "sentiment_ma5", "sentiment_ma10",
 ]
 MIN_PAIRS = 3
+Stage = Callable[[DataFrame, str], DataFrame]  # what is done with rows that are read several times
 _MEASURED = ("code", "date", "close", "volume", "amount", "ret")
 
 
@@ -40,9 +41,14 @@ def _with_median(daily: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
     return daily.join(medians, by, "left")
 
 
-def market_daily(panel: DataFrame) -> DataFrame:
+def as_stored(rows: DataFrame, name: str) -> DataFrame:
+    """In place of ``materialise`` where the panel is a written table: its columns are read again instead of copied."""
+    return rows
+
+
+def market_daily(panel: DataFrame, stage: Stage = materialise) -> DataFrame:
     """One row per date: breadth, totals, means and the median return."""
-    rows = materialise(panel.select(*_MEASURED, *[c for c in ("sentiment",) if c in panel.columns]), "market")
+    rows = stage(panel.select(*_MEASURED, *[c for c in ("sentiment",) if c in panel.columns]), "market")
     moved = F.coalesce("ret", F.lit(0.0))
     daily = rows.groupBy("date").agg(
         *[c.alias(n) for n, c in _totals(rows).items()],
@@ -53,14 +59,14 @@ def market_daily(panel: DataFrame) -> DataFrame:
     return _with_median(daily, rows, ["date"])
 
 
-def industry_daily(panel: DataFrame, dim: DataFrame) -> DataFrame:
+def industry_daily(panel: DataFrame, dim: DataFrame, stage: Stage = materialise) -> DataFrame:
     """One row per industry and date, with the share of advancing symbols.
 
     Symbols the dimension does not know have no industry and drop out, as they
     do in a pandas groupby.
     """
     work = panel.join(dim.select("code", "industry_l1"), "code").where(F.col("industry_l1").isNotNull())
-    rows = materialise(work.select("industry_l1", *_MEASURED, *[c for c in ("sentiment",) if c in panel.columns]), "industry")
+    rows = stage(work.select("industry_l1", *_MEASURED, *[c for c in ("sentiment",) if c in panel.columns]), "industry")
     advancing = F.count_if(F.coalesce("ret", F.lit(0.0)) > 0)
     daily = rows.groupBy("industry_l1", "date").agg(
         *[c.alias(n) for n, c in _totals(rows).items()],
@@ -83,22 +89,23 @@ def market_from_industry(industry: DataFrame) -> DataFrame:
     return daily.withColumns({"declining_count": n - F.col("advancing_count"), "flat_count": F.lit(0)})
 
 
-def factor_ic(panel: DataFrame, factors: Sequence[str] = IC_FACTORS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def factor_ic(
+    panel: DataFrame, factors: Sequence[str] = IC_FACTORS, group_rows: int = GROUP_ROWS, stage: Stage = materialise
+) -> DataFrame:
     """Daily Spearman correlation of each factor with the next day's return.
 
     What it needs of the panel is written once and counted. While no date has more than ``group_rows`` symbols, rows are
-    sent to their date, and the long form (factor, value, label) is unfolded after that exchange; ranks, guards and
-    correlation then run on the same partitioning. Beyond that, ranks come from ``rank_table``, by distinct value.
+    sent to their date as they are, and a date's columns are ranked there one by one. Beyond that, rows are unfolded to
+    (factor, value, label) and ranks come from ``rank_table``, by distinct value.
     """
     require_columns(panel, ["code", "date", "label"])
     factors = [f for f in factors if f in panel.columns]
-    rows = materialise(panel.select("date", "label", *factors), "ic")
+    rows = stage(panel.select("date", "label", *factors), "ic")
     most = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if most <= group_rows:
-        pairs = _pairs(rows.repartition("date"), factors)
-        group = ["date", "factor_name", "complete"]
-        ranked = pairs.withColumn("value_rank", average_rank("value", group)).withColumn("label_rank", average_rank("label", group))
-        return _correlated(ranked)
+        numbers = rows.select("date", *[F.col(c).cast("double").alias(c) for c in ("label", *factors)])
+        kind = f"factor_name string, date {dict(rows.dtypes)['date']}, ic double, sample_count bigint"
+        return numbers.groupBy("date").applyInArrow(_ic_of_a_date(factors), kind)
     pairs = _pairs(rows, factors)
     whole, ranked = pairs.where("complete"), pairs
     for c in ("value", "label"):
@@ -107,6 +114,47 @@ def factor_ic(panel: DataFrame, factors: Sequence[str] = IC_FACTORS, group_rows:
     return _correlated(ranked)
 
 
+def _ic_of_a_date(factors: Sequence[str]) -> Callable:
+    """From the rows of one date, as an Arrow table, to a row for each factor."""
+    least = MIN_PAIRS
+
+    def measure(rows):  # has its imports and helpers inside, so that tasks need nothing of this package
+        import numpy as np
+        import pyarrow as pa
+
+        def ranks(values):
+            distinct, place, ties = np.unique(values, return_inverse=True, return_counts=True)
+            return (np.cumsum(ties) - (ties - 1) / 2.0)[place], len(distinct) > 1
+
+        def numbers(name):
+            column = rows.column(name)
+            return column.fill_null(0.0).to_numpy(), column.is_valid().to_numpy()
+
+        label, labelled = numbers("label")
+        counts, found = [], []
+        for factor in factors:
+            value, valued = numbers(factor)
+            complete = labelled & valued
+            counts.append(int(complete.sum()))
+            found.append(None)
+            if counts[-1] >= least:
+                (x, x_varies), (y, y_varies) = ranks(value[complete]), ranks(label[complete])
+                if x_varies and y_varies:
+                    x, y = x - x.mean(), y - y.mean()
+                    found[-1] = float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y)))
+        day = rows.column("date")
+        return pa.table(
+            {
+                "factor_name": pa.array(factors, pa.string()),
+                "date": pa.array([day[0].as_py()] * len(factors), day.type),
+                "ic": pa.array(found, pa.float64()),
+                "sample_count": pa.array(counts, pa.int64()),
+            }
+        )
+
+    return measure
+
+
 def _pairs(rows: DataFrame, factors: Sequence[str]) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(f).alias("factor_name"), F.col(f).cast("double").alias("value")) for f in factors])
     long = rows.select("date", "label", F.explode(entries).alias("pair")).select("date", "pair.factor_name", "pair.value", "label")
