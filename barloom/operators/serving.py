@@ -6,7 +6,7 @@ are passed as literals, never pasted into SQL text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +57,7 @@ def publish_star(spark: SparkSession, root: str, version: str, bars: DataFrame,
     and everything else is derived from them."""
     build = Publication(spark, root, version)
     facts = build.write("fact_stock_daily_demo", by_date_and_code(fact_panel(bars, None, data_version), bars))
-    for name, table in aggregates(facts, catalog, data_version, source_label, stage=materialise).items():
+    for name, table in aggregates(facts, catalog, data_version, source_label, stage=materialise, rows=crosssection.as_stored).items():
         build.write(name, table)
     build.commit()
     return open_published(spark, root)
@@ -68,24 +68,26 @@ def aggregates(
     catalog: DataFrame,
     data_version: str,
     source_label: str,
-    stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    stage: crosssection.Stage = lambda df, name: df,
+    rows: crosssection.Stage = materialise,
 ) -> dict[str, DataFrame]:
     """Everything derived from the fact table. Give it the written table, so factors are not computed again.
 
     The market table and the quality report feed several tables. A build that
     writes them all passes ``session.materialise`` as ``stage``, so each is
-    computed once; a reader of a single table leaves the plans lazy.
+    computed once; a reader of a single table leaves the plans lazy. Where ``facts`` is a written table, ``rows`` is
+    ``crosssection.as_stored``: its columns are read from there and not copied first.
     """
     version = F.lit(data_version).alias("data_version")
     dim = detail_coverage(facts, catalog)
-    market = stage(crosssection.market_daily(facts).select("*", F.lit(source_label).alias("source"), version), "market")
+    market = stage(crosssection.market_daily(facts, rows).select("*", F.lit(source_label).alias("source"), version), "market")
     report = stage(quality.quality_report(facts, LONG_CODE_PATTERN), "report")
     run = f"quality-{data_version[:16]}"
     return {
         "dim_stock": dim,
         "fact_market_daily": market,
-        "fact_industry_daily": crosssection.industry_daily(facts, catalog).select("*", version),
-        "fact_factor_ic_daily": crosssection.factor_ic(facts).select("*", version),
+        "fact_industry_daily": crosssection.industry_daily(facts, catalog, rows).select("*", version),
+        "fact_factor_ic_daily": crosssection.factor_ic(facts, stage=rows).select("*", version),
         "fact_data_quality_run": quality.quality_run(report, run, data_version),
         "fact_data_quality_issue": quality.quality_issues(report, quality.missing_profile(facts), run),
         "pipeline_run": run_record(facts, market, catalog, data_version, source_label),

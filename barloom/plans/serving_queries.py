@@ -13,7 +13,7 @@ from barloom.operators import text as t
 from barloom.plans.crosssection_queries import IC_SQL, INDUSTRY_SHAPE, INDUSTRY_SQL, MARKET_SHAPE, _ic_sql, industry_rows
 from barloom.plans.oracle import HIST, code_of
 from barloom.plans.registry import query
-from barloom.session import files_key, shared_dir
+from barloom.session import files_key, materialise, shared_dir, shuffles_released
 from barloom.sources import sinks
 from barloom.sources.adapter import EVENT_WEIGHTS, bars_long, catalog, table
 
@@ -27,9 +27,10 @@ def star_root(spark, sf):
     """Where the star of these tables is published, by the files that they consist of; it is published if it is not there."""
     root = f"{shared_dir(spark)}/star-{files_key(spark, *[f'{sf}/{t}.parquet' for t in SOURCES])}"
     if sinks.latest(spark, root) is None:
-        bars, dim = bars_long(spark, sf), catalog(spark, sf)
-        version = sinks.content_version({"bars": bars, "catalog": dim}).first()["data_version"]
-        s.publish_star(spark, root, version[:16], bars, dim, VERSION, "line items")
+        with shuffles_released(spark):
+            bars, dim = materialise(bars_long(spark, sf), "bars"), catalog(spark, sf)  # for the version, the layout and the facts
+            version = sinks.content_version({"bars": bars, "catalog": dim}).first()["data_version"]
+            s.publish_star(spark, root, version[:16], bars, dim, VERSION, "line items")
     return root
 
 

@@ -369,3 +369,69 @@ def test_class_of_a_mean_on_the_bound(spark):
     rows = [("a", v) for v in (-0.3, 0.1, -0.1)] + [("b", v) for v in (-0.1, -0.3, 0.1)] + [("c", -0.2)]
     got = {r_["code"]: r_["status"] for r_ in x.sentiment_stats(spark.createDataFrame(rows, "code string, sentiment double")).collect()}
     assert got == {"a": "neutral", "b": "neutral", "c": "negative"}
+
+
+def test_ic_of_a_date_equals_the_one_by_distinct_value(spark):
+    """Ties, missing values, constant and infinite ones, a missing date: rows ranked at their date, not unfolded."""
+    rng = random.Random(11)
+    some = [None, 0.0, -0.0, 0.5, 0.5, float("inf"), float("nan")]
+    days = [None, *(dt.date(2024, 1, d) for d in range(1, 9))]
+    rows = [(d, f"{i:06d}", rng.choice([None, rng.random(), 0.25]), rng.choice(some), rng.random(), 1.0) for d in days for i in range(rng.choice([2, 30]))]
+    panel = spark.createDataFrame(rows, "date date, code string, label double, rsi double, macd double, ret_5d double").repartition(4)
+    near, far = (x.factor_ic(panel, ["rsi", "macd", "ret_5d"], n) for n in (100_000, 1))
+    assert "Generate" not in near._jdf.queryExecution().executedPlan().toString()
+    got, want = ({(r_["factor_name"], r_["date"]): r_ for r_ in df.collect()} for df in (near, far))
+    assert len(got) == 27 and set(got) >= {k for k in want if k[1] is not None}
+    for key, row in got.items():
+        if key[1] is not None:
+            assert row["sample_count"] == want[key]["sample_count"]
+            assert row["ic"] == (want[key]["ic"] if want[key]["ic"] is None else pytest.approx(want[key]["ic"], abs=1e-12))
+
+
+def test_a_star_stores_its_bars_once_and_copies_no_stored_facts(spark, monkeypatch, tmp_path):
+    from barloom import session
+    from barloom.operators import crosssection, serving
+    from barloom.plans import serving_queries as sq
+
+    made = []
+    note = lambda df, name: (made.append(name), session.materialise(df, name))[1]
+    for module in (crosssection, serving, sq):
+        monkeypatch.setattr(module, "materialise", note)
+    monkeypatch.setattr(sq, "shared_dir", lambda spark: str(tmp_path))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    root = sq.star_root(spark, "/root/testdata/sf0.001")
+    assert made == ["bars", "market", "report"]  # the market and the report feed several tables
+    assert spark.conf.get(key) == before and sinks.manifest(spark, root).count() == 8
+
+
+def test_panel_in_ranges_of_codes_is_written_where_it_lies(spark, tmp_path):
+    import gzip
+
+    from barloom.plans.panels import long_panel, ranged_panel
+
+    smoke = "/root/testdata/sf0.001"
+    panel = ranged_panel(spark, smoke)
+    plan = panel.sortWithinPartitions("code", "date")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(code") == 1 and plan.count("Exchange ") == 2  # the other makes the bars
+    path = str(tmp_path / "panel")
+    sinks.write_panel(panel, path, ["csv"], laid_out=True)
+    spans = []
+    for file in (tmp_path / "panel.csv").glob("*.csv.gz"):
+        codes = [line.split(",")[0] for line in gzip.open(file, "rt").read().splitlines()[1:]]
+        assert codes == sorted(codes)
+        spans.append((codes[0], codes[-1])) if codes else None
+    spans.sort()
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    from barloom.sources import readers
+
+    assert readers.scan_panel(spark, path).count() == long_panel(spark, smoke).count()
+
+
+def test_larger_inputs_get_more_tasks(spark, monkeypatch):
+    from barloom.plans import panels
+
+    monkeypatch.setattr(panels, "BYTES_PER_TASK", 1000)
+    plan = panels.long_panel(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    n = panels.panel_tasks(spark, "/root/testdata/sf0.001")
+    assert n > 8 and re.search(rf"hashpartitioning\(code#\d+, {n}\), REPARTITION_BY_NUM", plan)
