@@ -177,3 +177,31 @@ def test_registered_training_takes_all_inputs_and_rounds(spark, own_folder, monk
     assert asked == [(21, {})]  # the second query takes the model of the first
     lq.train_return(spark, smoke)
     assert len(asked) > 1 and all(x == (21, {}) for x in asked)
+
+
+def _lineitem_files(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("l_suppkey#")
+
+
+def test_split_reads_its_rows_once(spark):
+    """Rows and bounds come from one written frame: the panel was worked out for each of them."""
+    from barloom.plans import learning_queries as lq
+
+    smoke = "/root/testdata/sf0.001"
+    for build in (lq.time_split_purged, lq.class_weight, lq.sequence_windows, lq.model_comparison, lq.model_overview, lq.standardise_on_train):
+        assert _lineitem_files(build(spark, smoke)) == 0, build.__name__
+
+
+def test_windows_of_years_are_broadcast(spark):
+    """No exchange by year or by window: there are few of either, so it left few tasks with all rows."""
+    rows = [(f"{i:06d}", dt.date(2018 + i % 5, 1, 1), float(i), 0.1 * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "code string, date date, x double, label double").repartition(3)
+    splits = ln.rolling_year_splits(df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scaled = ln.standardise_on_train(splits, ["x"])
+        plan = scaled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and scaled.count() == 80
