@@ -196,11 +196,11 @@ def test_windows_of_years_are_broadcast(spark):
     """No exchange by year or by window: there are few of either, so it left few tasks with all rows."""
     rows = [(f"{i:06d}", dt.date(2018 + i % 5, 1, 1), float(i), 0.1 * i) for i in range(50)]
     df = spark.createDataFrame(rows, "code string, date date, x double, label double").repartition(3)
-    splits = ln.rolling_year_splits(df)
+    splits = ln.rolling_year_splits(df, broadcast=True)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        scaled = ln.standardise_on_train(splits, ["x"])
+        scaled = ln.standardise_on_train(splits, ["x"], broadcast=True)
         plan = scaled._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
