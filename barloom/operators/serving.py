@@ -17,8 +17,8 @@ from barloom.operators import crosssection, quality
 from barloom.operators.factors import drop_warmup, factor_panel, prev_close_change
 from barloom.operators.joins import detail_coverage, join_peers, join_sentiment, join_snapshot_dim
 from barloom.operators.ranking import snapshot_page
-from barloom.session import materialise
-from barloom.sources.sinks import Publication, by_date_and_code, open_published, run_record
+from barloom.session import discard, materialise
+from barloom.sources.sinks import STRETCH_PAGES, Publication, code_ranges, in_stretches, open_published, run_record
 
 Star = Mapping[str, DataFrame]
 
@@ -40,6 +40,7 @@ BENCH = [
     "code", "date", "open", "high", "low", "close", "volume", "amount", "ret", "ma5", "ma20", "rsi", "macd",
     "volatility_20d", "sentiment",
 ]
+IC_AT_ONCE = 6  # factors that a publication sends to their dates at a time
 SCOPE = "description string, asset_catalog_stock_count bigint, aggregate_market_stock_count bigint, " \
     "aggregate_trading_day_count bigint, aggregate_start_date string, aggregate_end_date string, " \
     "public_detail_stock_count bigint, public_detail_record_count bigint, public_detail_start_date string, " \
@@ -52,12 +53,18 @@ def fact_panel(bars: DataFrame, sentiment: DataFrame | None, data_version: str)
     return join_sentiment(panel, sentiment).withColumn("data_version", F.lit(data_version))
 
 
-def publish_star(spark: SparkSession, root: str, version: str, bars: DataFrame, catalog: DataFrame, data_version: str, source_label: str) -> dict[str, DataFrame]:
-    """Publish the star of some bars: facts are written once, clustered by date and code,
-    and everything else is derived from them."""
+def publish_star(
+    spark: SparkSession, root: str, version: str, bars: DataFrame, catalog: DataFrame, data_version: str, source_label: str, spent: bool = False
+) -> dict[str, DataFrame]:
+    """Publish the star of some bars: bars are cut by range of codes, facts are written once where they are worked out, and
+    everything else is derived from them. ``spent`` bars were materialised for this build: they go when the facts are there."""
     build = Publication(spark, root, version)
-    facts = build.write("fact_stock_daily_demo", by_date_and_code(fact_panel(bars, None, data_version), bars))
-    for name, table in aggregates(facts, catalog, data_version, source_label, stage=materialise, rows=crosssection.as_stored).items():
+    ranges, days = code_ranges(bars)
+    facts = build.write("fact_stock_daily_demo", in_stretches(fact_panel(ranges, None, data_version), days), STRETCH_PAGES)
+    if spent:
+        discard(bars)
+    derived = aggregates(facts, catalog, data_version, source_label, stage=materialise, rows=crosssection.as_stored, ic_at_once=IC_AT_ONCE)
+    for name, table in derived.items():
         build.write(name, table)
     build.commit()
     return open_published(spark, root)
@@ -70,15 +77,19 @@ def aggregates(
     source_label: str,
     stage: crosssection.Stage = lambda df, name: df,
     rows: crosssection.Stage = materialise,
-) -> dict[str, DataFrame]:
+    ic_at_once: int | None = None,
+) -> dict[str, DataFrame | list[DataFrame]]:
     """Everything derived from the fact table. Give it the written table, so factors are not computed again.
 
     The market table and the quality report feed several tables. A build that
     writes them all passes ``session.materialise`` as ``stage``, so each is
     computed once; a reader of a single table leaves the plans lazy. Where ``facts`` is a written table, ``rows`` is
     ``crosssection.as_stored``: its columns are read from there and not copied first.
+    With ``ic_at_once`` the IC table is a list of parts of so many factors, to be written in turn: each sends only its columns.
     """
     version = F.lit(data_version).alias("data_version")
+    ic = lambda *some: crosssection.factor_ic(facts, *some, stage=rows).select("*", version)
+    factors = crosssection.IC_FACTORS
     dim = detail_coverage(facts, catalog)
     market = stage(crosssection.market_daily(facts, rows).select("*", F.lit(source_label).alias("source"), version), "market")
     report = stage(quality.quality_report(facts, LONG_CODE_PATTERN), "report")
@@ -87,7 +98,7 @@ def aggregates(
         "dim_stock": dim,
         "fact_market_daily": market,
         "fact_industry_daily": crosssection.industry_daily(facts, catalog, rows).select("*", version),
-        "fact_factor_ic_daily": crosssection.factor_ic(facts, stage=rows).select("*", version),
+        "fact_factor_ic_daily": [ic(factors[i : i + ic_at_once]) for i in range(0, len(factors), ic_at_once)] if ic_at_once else ic(),
         "fact_data_quality_run": quality.quality_run(report, run, data_version),
         "fact_data_quality_issue": quality.quality_issues(report, quality.missing_profile(facts), run),
         "pipeline_run": run_record(facts, market, catalog, data_version, source_label),

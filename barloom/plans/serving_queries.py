@@ -30,7 +30,7 @@ def star_root(spark, sf):
         with shuffles_released(spark):
             bars, dim = materialise(bars_long(spark, sf), "bars"), catalog(spark, sf)  # for the version, the layout and the facts
             version = sinks.content_version({"bars": bars, "catalog": dim}).first()["data_version"]
-            s.publish_star(spark, root, version[:16], bars, dim, VERSION, "line items")
+            s.publish_star(spark, root, version[:16], bars, dim, VERSION, "line items", spent=True)
     return root
 
 

@@ -77,6 +77,29 @@ def by_date_and_code(panel: DataFrame, keys: DataFrame | None = None, rows_per_f
     return panel.repartitionById(side * side, cell).sortWithinPartitions("code", "date")
 
 
+DATE_PARTS = 32  # the rows of a range of codes are stored in that many stretches of dates
+# Pages of about one stretch, so that a read of a date leaves the others out; a stretch is sorted by code.
+STRETCH_PAGES = {"compression": "zstd", "parquet.page.row.count.limit": str(ROWS_PER_FILE // DATE_PARTS)}
+
+
+def code_ranges(bars: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> tuple[DataFrame, list[int]]:
+    """Bars cut by range of codes, a file's rows in each, and the cut points of their dates.
+
+    Windows by code keep these partitions, so that a wide panel is stored where it is worked out (``in_stretches``) and only
+    the narrow bars are sent.
+    """
+    day = F.unix_date("date").cast("long")
+    points = F.percentile_approx(day, [i / DATE_PARTS for i in range(1, DATE_PARTS)])
+    seen = bars.agg(F.count(F.lit(1)).alias("rows"), points.alias("day")).first()
+    return bars.repartitionByRange(max(1, -(-seen["rows"] // rows_per_file)), "code"), sorted(set(seen["day"] or []))
+
+
+def in_stretches(panel: DataFrame, days: Sequence[int]) -> DataFrame:
+    """Each partition sorted by stretch of dates, code and date, for files with ``STRETCH_PAGES``."""
+    stretch = panel.withColumn("_stretch", _part(F.unix_date("date").cast("long"), days))
+    return stretch.sortWithinPartitions("_stretch", "code", "date").drop("_stretch")
+
+
 def write_panel(panel: DataFrame, path: str, formats: Sequence[str] = ("parquet", "csv"), laid_out: bool = False) -> list[str]:
     """The factor snapshot, once per format. CSV is compressed, in files of ``ROWS_PER_FILE`` rows, as a task reads a file.
 
@@ -221,13 +244,18 @@ class Publication:
         self.folder = f"{root}/data/{version}-{os.urandom(6).hex()}"
         self.given: dict[str, int] = {}
 
-    def write(self, name: str, table: DataFrame) -> DataFrame:
-        """Write a table of the star and read it back; its rows are counted on the way."""
+    def write(self, name: str, table: DataFrame | Sequence[DataFrame], options: Mapping[str, str] | None = None) -> DataFrame:
+        """Write a table of the star and read it back; its rows are counted on the way. Parts of a table are written in turn,
+        so that the shuffle files of one are there at a time (``session.shuffles_released``)."""
         if name not in STAR_TABLES:
             raise ValueError(f"{name} is no table of the star")
-        seen = Observation()
-        table.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.folder}/{name}")
-        self.given[name] = seen.get["rows"]
+        rows = 0
+        for i, part in enumerate([table] if isinstance(table, DataFrame) else table):
+            seen = Observation()
+            writer = part.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**(options or {}))
+            writer.mode("append" if i else "errorifexists").parquet(f"{self.folder}/{name}")
+            rows += seen.get["rows"]
+        self.given[name] = rows
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def commit(self, expected: Mapping[str, int] | None = None) -> str:

@@ -435,3 +435,47 @@ def test_larger_inputs_get_more_tasks(spark, monkeypatch):
     plan = panels.long_panel(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     n = panels.panel_tasks(spark, "/root/testdata/sf0.001")
     assert n > 8 and re.search(rf"hashpartitioning\(code#\d+, {n}\), REPARTITION_BY_NUM", plan)
+
+
+def test_a_star_sends_its_bars_and_no_panel(spark, tmp_path):
+    """Facts lie in ranges of codes where they are worked out; the bars that were stored for them go."""
+    import pyarrow.parquet as pq
+
+    from barloom.session import discard, materialise
+
+    days, codes = 256, 100
+    price = F.lit(50.0) + F.rand(1)
+    bars = spark.range(days * codes).select(
+        F.lpad((F.col("id") % codes * 37 % 1000).cast("string"), 6, "0").alias("code"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / codes).cast("int")).alias("date"),
+        *[price.alias(c) for c in ("open", "high", "low", "close", "volume", "amount")],
+    )
+    bars = materialise(bars, "own-bars")
+    ranges, cuts = sinks.code_ranges(bars, 3200)
+    facts = sinks.in_stretches(s.fact_panel(ranges, None, "v1"), cuts)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning(code" in plan
+    path = str(tmp_path / "facts")
+    facts.write.options(**{**sinks.STRETCH_PAGES, "parquet.page.row.count.limit": 100}).parquet(path)
+    stored = spark.read.parquet(path)
+    assert sorted(map(tuple, stored.select("code", "date", "rsi").collect())) == sorted(map(tuple, s.fact_panel(bars, None, "v1").select("code", "date", "rsi").collect()))
+    spans = []
+    for file in (tmp_path / "facts").glob("*.parquet"):
+        own = pq.read_table(file, columns=["code"])["code"].to_pylist()
+        spans.append((min(own), max(own)))
+    assert len(spans) >= 6 and all(a[1] < b[0] for a, b in zip(sorted(spans), sorted(spans)[1:]))
+    everything = stored.count()
+    assert 0 < scanned(j.join_latest(stored)) < everything + everything // 4  # all dates for the last one, then its pages
+    assert 0 < scanned(stored.where("code = '000037'")) <= everything // 6
+    discard(bars)
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        bars.collect()
+
+
+def test_a_published_ic_comes_in_parts(star, star_root, spark, tmp_path):
+    facts, catalog = star["fact_stock_daily_demo"], star["dim_stock"].drop("has_detail")
+    whole, parts = (s.aggregates(facts, catalog, "v1", "demo", ic_at_once=n)["fact_factor_ic_daily"] for n in (None, s.IC_AT_ONCE))
+    build = sinks.Publication(spark, str(tmp_path), "v1")
+    stored = build.write("fact_factor_ic_daily", parts)
+    assert len(parts) == 3 and build.given["fact_factor_ic_daily"] == stored.count() == whole.count()
+    assert sorted(map(str, stored.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
