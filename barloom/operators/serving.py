@@ -6,7 +6,7 @@ are passed as literals, never pasted into SQL text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barloom.functions import guards
 from barloom.functions.scalars import LONG_CODE_PATTERN
 from barloom.operators import crosssection, quality
-from barloom.operators.factors import drop_warmup, factor_panel, prev_close_change
+from barloom.operators.factors import INNER, drop_warmup, factor_panel, prev_close_change
 from barloom.operators.joins import detail_coverage, join_peers, join_sentiment, join_snapshot_dim
 from barloom.operators.ranking import snapshot_page
 from barloom.session import discard, materialise
@@ -47,9 +47,9 @@ SCOPE = "description string, asset_catalog_stock_count bigint, aggregate_market_
     "public_detail_end_date string"
 
 
-def fact_panel(bars: DataFrame, sentiment: DataFrame | None, data_version: str) -> DataFrame:
-    """The wide fact table: bars, previous close, all factors, sentiment."""
-    panel = drop_warmup(factor_panel(prev_close_change(bars)))
+def fact_panel(bars: DataFrame, sentiment: DataFrame | None, data_version: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The wide fact table: bars, previous close, all factors, sentiment. ``keep`` names inner columns that stay."""
+    panel = drop_warmup(factor_panel(prev_close_change(bars), keep=keep))
     return join_sentiment(panel, sentiment).withColumn("data_version", F.lit(data_version))
 
 
@@ -60,7 +60,8 @@ def publish_star(
     everything else is derived from them. ``spent`` bars were materialised for this build: they go when the facts are there."""
     build = Publication(spark, root, version)
     ranges, days = code_ranges(bars)
-    facts = build.write("fact_stock_daily_demo", in_stretches(fact_panel(ranges, None, data_version), days), STRETCH_PAGES)
+    panel = in_stretches(fact_panel(ranges, None, data_version, INNER), days)
+    facts = build.write("fact_stock_daily_demo", panel, STRETCH_PAGES, narrowed=True)
     if spent:
         discard(bars)
     derived = aggregates(facts, catalog, data_version, source_label, stage=materialise, rows=crosssection.as_stored, ic_at_once=IC_AT_ONCE)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.guards import require_columns
+from barloom.operators.factors import narrow, widen
 from barloom.operators.quality import keep_last
 from barloom.session import create_once, delete, exists, folders
 
@@ -227,7 +228,14 @@ def run_record(panel: DataFrame, market: DataFrame, catalog: DataFrame, data_ver
     )
 
 
-LOG = "number int, version string, replaces int, folder string, tables array<struct<table_name: string, row_count: bigint, digest: string>>"
+LOG = "number int, version string, replaces int, folder string, " \
+    "tables array<struct<table_name: string, row_count: bigint, digest: string, columns: array<string>>>"
+
+
+def _stored(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None) -> DataFrame:
+    """A table of the star as it is read; ``columns`` are those of a narrowed one."""
+    table = spark.read.parquet(f"{folder}/{name}")
+    return widen(table, columns) if columns else table
 
 
 class Publication:
@@ -243,27 +251,34 @@ class Publication:
         self.base = newest["number"] if newest else 0
         self.folder = f"{root}/data/{version}-{os.urandom(6).hex()}"
         self.given: dict[str, int] = {}
+        self.narrowed: dict[str, list[str]] = {}
 
-    def write(self, name: str, table: DataFrame | Sequence[DataFrame], options: Mapping[str, str] | None = None) -> DataFrame:
+    def write(
+        self, name: str, table: DataFrame | Sequence[DataFrame], options: Mapping[str, str] | None = None, narrowed: bool = False
+    ) -> DataFrame:
         """Write a table of the star and read it back; its rows are counted on the way. Parts of a table are written in turn,
-        so that the shuffle files of one are there at a time (``session.shuffles_released``)."""
+        so that the shuffle files of one are there at a time (``session.shuffles_released``). Of a ``narrowed`` panel only the
+        columns are stored that don't follow from others of the row; readers get all of them (``factors.widen``)."""
         if name not in STAR_TABLES:
             raise ValueError(f"{name} is no table of the star")
         rows = 0
         for i, part in enumerate([table] if isinstance(table, DataFrame) else table):
+            if narrowed:
+                self.narrowed[name] = [c for c in part.columns if not c.startswith("_")]
+                part = narrow(part)
             seen = Observation()
             writer = part.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**(options or {}))
             writer.mode("append" if i else "errorifexists").parquet(f"{self.folder}/{name}")
             rows += seen.get["rows"]
         self.given[name] = rows
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return _stored(self.spark, self.folder, name, self.narrowed.get(name))
 
     def commit(self, expected: Mapping[str, int] | None = None) -> str:
         """Check all tables as they are stored, then name them as published."""
         missing = set(STAR_TABLES) - set(self.given)
         if missing:
             raise ValueError(f"missing tables: {sorted(missing)}")
-        stored = {name: self.spark.read.parquet(f"{self.folder}/{name}") for name in STAR_TABLES}
+        stored = {name: _stored(self.spark, self.folder, name, self.narrowed.get(name)) for name in STAR_TABLES}
         digests = [table_fingerprint(df).select(F.lit(name).alias("name"), "row_count", "hash_sum") for name, df in stored.items()]
         found = {r["name"]: r for r in reduce(DataFrame.unionByName, digests).collect()}  # one job, a row for each table
         tables = []
@@ -272,7 +287,8 @@ class Publication:
             for rows in {self.given[name], (expected or {}).get(name, self.given[name])}:
                 if count != rows:
                     raise RuntimeError(f"{name}: expected {rows} rows, stored {count}")
-            tables.append({"table_name": name, "row_count": count, "digest": str(found[name]["hash_sum"])})
+            digest = str(found[name]["hash_sum"])
+            tables.append({"table_name": name, "row_count": count, "digest": digest, "columns": self.narrowed.get(name)})
         number = self.base + 1
         entry = {"number": number, "version": self.version, "replaces": self.base or None, "folder": self.folder, "tables": tables}
         if not create_once(self.spark, f"{self.root}/log/{number:010d}.json", json.dumps(entry)):
@@ -306,13 +322,14 @@ def open_published(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     newest = latest(spark, root)
     if newest is None:
         raise FileNotFoundError(f"nothing published under {root}")
-    return {name: spark.read.parquet(f"{newest['folder']}/{name}") for name in STAR_TABLES}
+    columns = {t["table_name"]: t["columns"] for t in newest["tables"]}
+    return {name: _stored(spark, newest["folder"], name, columns[name]) for name in STAR_TABLES}
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """(``table_name``, ``row_count``, ``digest``) of the newest version."""
     newest = published(spark, root).orderBy(F.col("number").desc()).limit(1)
-    return newest.select(F.explode("tables").alias("t")).select("t.*")
+    return newest.select(F.explode("tables").alias("t")).select("t.table_name", "t.row_count", "t.digest")
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> list[str]:

@@ -479,3 +479,21 @@ def test_a_published_ic_comes_in_parts(star, star_root, spark, tmp_path):
     stored = build.write("fact_factor_ic_daily", parts)
     assert len(parts) == 3 and build.given["fact_factor_ic_daily"] == stored.count() == whole.count()
     assert sorted(map(str, stored.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_star_stores_no_column_that_follows_from_its_row(spark, bars, tmp_path):
+    """Bands, differences and ratios of stored columns are worked out on reading; they took a third of the facts' disk."""
+    catalog = spark.createDataFrame(
+        [(c, "n" + c, "SSE", "main", "bank", None, 0, "test") for c in ("000001", "600519")],
+        "code string, name string, market string, board string, industry_l1 string, list_date date, is_demo int, source string",
+    )
+    gaps = bars.withColumns({"close": F.when(F.dayofmonth("date") != 9, F.col("close")), "open": F.when(F.dayofmonth("date") != 17, F.col("open"))})
+    opened = s.publish_star(spark, str(tmp_path), "v", gaps, catalog, "v1", "demo")["fact_stock_daily_demo"]
+    whole = s.fact_panel(gaps, None, "v1")
+    assert opened.columns == whole.columns and sorted(map(str, opened.collect())) == sorted(map(str, whole.collect()))
+    stored = spark.read.parquet(*{f.rpartition("/")[0] for f in opened.inputFiles()}).columns
+    assert len(stored) == len(whole.columns) - 15 and not {"ret", "bb_upper", "bb_mid", "pct_chg", "macd_hist"} & set(stored)
+    log = {r_["table_name"]: r_ for r_ in sinks.manifest(spark, str(tmp_path)).collect()}["fact_stock_daily_demo"]
+    assert log["digest"] == str(sinks.table_fingerprint(whole).first()["hash_sum"])
+    scan = opened.select("code", "ret")._jdf.queryExecution().executedPlan().toString()
+    assert "pre_close" in scan and "ma20" not in scan
