@@ -6,6 +6,7 @@ are passed as literals, never pasted into SQL text.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,9 @@ from barloom.operators.factors import INNER, drop_warmup, factor_panel, prev_clo
 from barloom.operators.joins import detail_coverage, join_peers, join_sentiment, join_snapshot_dim
 from barloom.operators.ranking import snapshot_page
 from barloom.session import discard, materialise
-from barloom.sources.sinks import STRETCH_PAGES, Publication, code_ranges, in_stretches, open_published, run_record
+from barloom.sources.sinks import (
+    ROWS_PER_PART, STRETCH_PAGES, Publication, code_parts, code_ranges, in_stretches, open_published, run_record, spans
+)
 
 Star = Mapping[str, DataFrame]
 
@@ -54,17 +57,25 @@ def fact_panel(bars: DataFrame, sentiment: DataFrame | None, data_version: str,
 
 
 def publish_star(
-    spark: SparkSession, root: str, version: str, bars: DataFrame, catalog: DataFrame, data_version: str, source_label: str, spent: bool = False
+    spark: SparkSession, root: str, version: str, bars: DataFrame, catalog: DataFrame, data_version: str, source_label: str,
+    spent: bool = False, rows_per_part: int = ROWS_PER_PART,
 ) -> dict[str, DataFrame]:
     """Publish the star of some bars: bars are cut by range of codes, facts are written once where they are worked out, and
-    everything else is derived from them. ``spent`` bars were materialised for this build: they go when the facts are there."""
+    everything else is derived from them. ``spent`` bars were materialised for this build: they go when the facts are there.
+    Many of them are sent in turn by parts of the codes, and the facts to their IC by parts of the dates, as what is sent
+    lies on disk beside the facts."""
     build = Publication(spark, root, version)
-    ranges, days = code_ranges(bars)
-    panel = in_stretches(fact_panel(ranges, None, data_version, INNER), days)
-    facts = build.write("fact_stock_daily_demo", panel, STRETCH_PAGES, narrowed=True)
+    laid = [code_ranges(part) for part in (code_parts(bars, rows_per_part) if spent else [bars])]
+    panels = [in_stretches(fact_panel(ranges, None, data_version, INNER), days) for ranges, days in laid]
+    facts = build.write("fact_stock_daily_demo", panels, STRETCH_PAGES, narrowed=True)
     if spent:
         discard(bars)
-    derived = aggregates(facts, catalog, data_version, source_label, stage=materialise, rows=crosssection.as_stored, ic_at_once=IC_AT_ONCE)
+    days = laid[0][1]
+    cuts = sorted({days[len(days) * i // len(laid)] for i in range(1, len(laid))}) if days else []
+    derived = aggregates(
+        facts, catalog, data_version, source_label, stage=materialise, rows=crosssection.as_stored, ic_at_once=IC_AT_ONCE,
+        ic_cuts=[dt.date(1970, 1, 1) + dt.timedelta(days=d) for d in cuts],
+    )
     for name, table in derived.items():
         build.write(name, table)
     build.commit()
@@ -79,6 +90,7 @@ def aggregates(
     stage: crosssection.Stage = lambda df, name: df,
     rows: crosssection.Stage = materialise,
     ic_at_once: int | None = None,
+    ic_cuts: Sequence[dt.date] = (),
 ) -> dict[str, DataFrame | list[DataFrame]]:
     """Everything derived from the fact table. Give it the written table, so factors are not computed again.
 
@@ -87,10 +99,15 @@ def aggregates(
     computed once; a reader of a single table leaves the plans lazy. Where ``facts`` is a written table, ``rows`` is
     ``crosssection.as_stored``: its columns are read from there and not copied first.
     With ``ic_at_once`` the IC table is a list of parts of so many factors, to be written in turn: each sends only its columns.
+    With ``ic_cuts`` the parts are dates between these, each with all factors.
     """
     version = F.lit(data_version).alias("data_version")
-    ic = lambda *some: crosssection.factor_ic(facts, *some, stage=rows).select("*", version)
+    ic = lambda *some, of=facts: crosssection.factor_ic(of, *some, stage=rows).select("*", version)
     factors = crosssection.IC_FACTORS
+    if ic_cuts:
+        by_part = [ic(of=facts.where(one)) for one in spans("date", ic_cuts)]
+    else:
+        by_part = [ic(factors[i : i + ic_at_once]) for i in range(0, len(factors), ic_at_once)] if ic_at_once else ic()
     dim = detail_coverage(facts, catalog)
     market = stage(crosssection.market_daily(facts, rows).select("*", F.lit(source_label).alias("source"), version), "market")
     report = stage(quality.quality_report(facts, LONG_CODE_PATTERN), "report")
@@ -99,7 +116,7 @@ def aggregates(
         "dim_stock": dim,
         "fact_market_daily": market,
         "fact_industry_daily": crosssection.industry_daily(facts, catalog, rows).select("*", version),
-        "fact_factor_ic_daily": [ic(factors[i : i + ic_at_once]) for i in range(0, len(factors), ic_at_once)] if ic_at_once else ic(),
+        "fact_factor_ic_daily": by_part,
         "fact_data_quality_run": quality.quality_run(report, run, data_version),
         "fact_data_quality_issue": quality.quality_issues(report, quality.missing_profile(facts), run),
         "pipeline_run": run_record(facts, market, catalog, data_version, source_label),

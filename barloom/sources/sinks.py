@@ -95,6 +95,36 @@ def code_ranges(bars: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> tuple[Da
     return bars.repartitionByRange(max(1, -(-seen["rows"] // rows_per_file)), "code"), sorted(set(seen["day"] or []))
 
 
+PARTS_IN_TURN, ROWS_PER_PART = 8, 800_000  # a large star is built in up to that many parts of so many rows or more
+
+
+def code_parts(bars: DataFrame, rows_per_part: int = ROWS_PER_PART) -> list[DataFrame]:
+    """Stored bars in parts by code, so that the shuffle files of one part are there at a time; small tables are one part.
+
+    Cut points are codes of the bars themselves, at quantiles of their first bytes. A code lies in one part, missing ones in
+    the first.
+    """
+    number = _code_number(F.col("code"))
+    seen = bars.agg(
+        F.count(F.lit(1)).alias("rows"), F.percentile_approx(number, [i / PARTS for i in range(1, PARTS)]).alias("code")
+    ).first()
+    parts = min(PARTS_IN_TURN, seen["rows"] // rows_per_part)
+    if parts < 2 or not seen["code"]:
+        return [bars]
+    points = sorted({seen["code"][PARTS * i // parts - 1] for i in range(1, parts)})
+    cuts = sorted(set(bars.agg(*[F.min(F.when(number >= p, F.col("code"))) for p in points]).first()))
+    return [bars.where(one) for one in spans("code", cuts)]
+
+
+def spans(column: str, cuts: Sequence) -> list[Column]:
+    """Predicates that cut the rows at some values of a column, each row in one; missing values come first."""
+    value = F.col(column)
+    if not cuts:
+        return [F.lit(True)]
+    inner = [(value >= low) & (value < high) for low, high in zip(cuts, cuts[1:])]
+    return [value.isNull() | (value < cuts[0]), *inner, value >= cuts[-1]]
+
+
 def in_stretches(panel: DataFrame, days: Sequence[int]) -> DataFrame:
     """Each partition sorted by stretch of dates, code and date, for files with ``STRETCH_PAGES``."""
     stretch = panel.withColumn("_stretch", _part(F.unix_date("date").cast("long"), days))

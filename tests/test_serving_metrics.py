@@ -497,3 +497,34 @@ def test_a_star_stores_no_column_that_follows_from_its_row(spark, bars, tmp_path
     assert log["digest"] == str(sinks.table_fingerprint(whole).first()["hash_sum"])
     scan = opened.select("code", "ret")._jdf.queryExecution().executedPlan().toString()
     assert "pre_close" in scan and "ma20" not in scan
+
+
+def test_a_large_star_is_sent_in_parts(spark, tmp_path):
+    """Parts of the codes for the facts, of the dates for the IC, with missing codes; tables are those of one part."""
+    from barloom.session import materialise
+
+    days, codes = 64, 100
+    code = F.lpad((F.col("id") % codes * 37 % 1000).cast("string"), 6, "0")
+    raw = spark.range(days * codes).select(
+        F.when(F.col("id") % codes != 5, code).alias("code"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / codes).cast("int")).alias("date"),
+        *[(F.lit(50.0) + F.rand(i)).alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume", "amount"))],
+    )
+    stored = materialise(raw, "large-bars")
+    parts = sinks.code_parts(stored, days * codes // 4)
+    sizes = [p.count() for p in parts]
+    assert len(parts) == 4 and sum(sizes) == days * codes and max(sizes) < days * codes // 3
+    assert not set.intersection(*[{r_["code"] for r_ in p.select("code").distinct().collect()} for p in parts])
+    catalog = stored.select("code").distinct().where("code IS NOT NULL").select(
+        "code", F.lit("n").alias("name"), F.lit("SSE").alias("market"), F.lit("main").alias("board"), F.lit("bank").alias("industry_l1"),
+        F.lit(None).cast("date").alias("list_date"), F.lit(0).alias("is_demo"), F.lit("test").alias("source"),
+    )
+    found = []
+    for n in (days * codes // 4, days * codes):
+        own = materialise(stored, "large-own")
+        root = str(tmp_path / f"star-{n}")
+        opened = s.publish_star(spark, root, "v", own, catalog, "v1", "demo", spent=True, rows_per_part=n)
+        digests = {r_["table_name"]: (r_["row_count"], r_["digest"]) for r_ in sinks.manifest(spark, root).collect()}
+        ic = opened["fact_factor_ic_daily"].select("factor_name", F.col("date").cast("string"), "sample_count", F.round("ic", 9)).collect()
+        found.append((digests["fact_stock_daily_demo"], digests["fact_factor_ic_daily"][0], sorted(map(str, ic))))
+    assert found[0] == found[1] and found[0][1] > 0
