@@ -205,3 +205,74 @@ def test_windows_of_years_are_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and scaled.count() == 80
+
+
+def _noisy(spark, n, parts):
+    from pyspark.sql import functions as F
+
+    inputs = [f"x{i}" for i in range(6)]
+    df = spark.range(n, numPartitions=parts).select(*[F.randn(i).alias(c) for i, c in enumerate(inputs)])
+    # A mirrored input ties with its original, a rounded one has few cut points, a constant one has none.
+    df = df.withColumns({"x3": -F.col("x2"), "x4": F.round("x4"), "x5": F.lit(0.0)})
+    label = F.col("x0") * F.col("x1") + F.col("x2") + F.randn(9)
+    return df.withColumn("label", label), inputs
+
+
+def _body(model):
+    return [t.toDebugString.partition("\n")[2] for t in model.trees]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_boosting_gives_the_trees_of_mllib(spark, monkeypatch, parts):
+    """Trees, weights and importances are those of MLlib's own fit on the same partitions."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.sql import functions as F
+
+    from barloom.operators import boosting
+
+    monkeypatch.setattr(boosting, "FOLD", 4)
+    df, inputs = _noisy(spark, 12_000, parts)
+    rows = ln._features(df, inputs).select("features", "label", (F.col("label") > 0).cast("double").alias("up"), F.when(F.col("label") > 0, 1.7).otherwise(1.0).alias("w"))
+    shared = {"maxIter": 10, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+    for learner in (
+        GBTRegressor(labelCol="label", maxDepth=5, stepSize=0.015, **shared),
+        GBTClassifier(labelCol="up", weightCol="w", maxDepth=4, stepSize=0.05, **shared),
+        GBTRegressor(labelCol="label", maxDepth=3, maxIter=3, seed=7),
+    ):
+        own, theirs = boosting.boosted(learner, rows), learner.fit(rows)
+        assert _body(own) == _body(theirs) and own.treeWeights == theirs.treeWeights
+        assert own.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=1e-12)
+        assert own.getMaxDepth() == theirs.getMaxDepth() and own.numFeatures == 6
+
+
+def test_rounds_of_a_small_fit_are_no_jobs(spark):
+    """Rows that one task holds are boosted in it; a job for each level of each tree took most of the time."""
+    df, inputs = _noisy(spark, 2_000, 1)
+    context = spark.sparkContext
+    context.setJobGroup("boosting-jobs", "count")
+    try:
+        models = ln.train_return(df, inputs, iterations=20)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert models[0].getNumTrees == 20
+    assert len(context.statusTracker().getJobIdsForGroup("boosting-jobs")) < 40
+
+
+def test_a_task_of_a_fit_has_bounded_rows(spark, monkeypatch):
+    """Tasks follow the rows, up to the fit's share of the cluster, and beyond it where a task's rows would be too many."""
+    df, inputs = _noisy(spark, 1_000, 20)
+    rows, context = ln._features(df, inputs).select("features", "label"), spark.sparkContext
+    count = lambda: ln._training_table(rows, "bounded").rdd.getNumPartitions()
+    assert count() == 1
+    monkeypatch.setattr(ln, "ROWS_PER_TASK", 50)
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # so that each of the 20 files is a partition
+    try:
+        whole = count()
+        context.setLocalProperty(ln.SIDE_BY_SIDE, "4")
+        shared = count()
+        monkeypatch.setattr(ln, "MOST_ROWS_PER_TASK", 100)
+        assert (whole, shared, count()) == (8, 2, 10)
+    finally:
+        context.setLocalProperty(ln.SIDE_BY_SIDE, None)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
