@@ -12,12 +12,12 @@ from barloom.operators import serving as s
 from barloom.operators import strategy as st
 from barloom.plans.factor_queries import PANEL_SHAPE
 from barloom.plans.oracle import board, rows
-from barloom.plans.panels import ranged_panel, scored_panel
+from barloom.plans.panels import panel_tasks, ranged, ranged_panel, scored_panel
 from barloom.plans.quality_queries import DIRTY, REPORT_SQL, dirty
 from barloom.plans.registry import REGISTRY, query
 from barloom.plans.serving_queries import star, star_root
 from barloom.plans.strategy_queries import NAV_CTE, _approximate, _fixture
-from barloom.session import scratch_path, shuffles_released
+from barloom.session import discard, materialise, scratch_path, shuffles_released
 from barloom.sources import readers, sinks
 from barloom.sources.adapter import bars_long, bars_short, catalog, sentiment
 
@@ -146,9 +146,13 @@ def scan_json_report(spark, sf):
 )
 def write_partitioned(spark, sf):
     """Written whole, then one year again: the other years must stay."""
-    factors = f.core_factors(bars_long(spark, sf))
-    path = sinks.write_partitioned(factors, scratch_path(spark, "years"))
-    sinks.write_partitioned(factors.where(F.col("year") == 1998), path)
+    path = scratch_path(spark, "years")
+    with shuffles_released(spark):
+        bars = materialise(bars_long(spark, sf), "bars")  # for both writes
+        factors = f.core_factors(ranged(bars, panel_tasks(spark, sf)))
+        sinks.write_partitioned(factors, path, laid_out=True)
+        sinks.write_partitioned(factors.where(F.col("year") == 1998), path, laid_out=True)
+    discard(bars)
     return spark.read.parquet(path)
 
 

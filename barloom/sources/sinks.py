@@ -149,16 +149,18 @@ def write_panel(panel: DataFrame, path: str, formats: Sequence[str] = ("parquet"
     return written
 
 
-def write_partitioned(factors: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_partitioned(factors: DataFrame, path: str, mode: str = "overwrite", laid_out: bool = False) -> str:
     """Parquet by year; an overwrite replaces only the years that arrive.
 
     Range partitioning on (year, code) keeps the number of files small and a
-    busy year from landing in one task.
+    busy year from landing in one task. ``laid_out`` says that the rows come in
+    ranges of codes: a task then writes a file for each year, and nothing is sent.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError("mode must be 'overwrite' or 'append'")
-    ranged = factors.repartitionByRange("year", "code").sortWithinPartitions("year", "code", "date")
-    ranged.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    ranged = (factors if laid_out else factors.repartitionByRange("year", "code")).sortWithinPartitions("year", "code", "date")
+    options = {"partitionOverwriteMode": "dynamic", "compression": "zstd"}
+    ranged.write.mode(mode).options(**options).partitionBy("year").parquet(path)
     return path
 
 

@@ -247,3 +247,30 @@ def test_packed_bars_follow_bytes_not_symbols(spark, tmp_path):
     path = sinks.write_packed_csv(bars, f"{tmp_path}/bars")
     assert len(list(Path(path).rglob("*.csv"))) <= 8
     assert sorted(map(tuple, readers.scan_bars(spark, path, packed=True).collect())) == sorted(rows)
+
+
+def test_years_are_written_where_codes_lie(spark, tmp_path):
+    """Rows in ranges of codes are not sent again to be written by year; an overwrite still leaves the other years."""
+    rows = [(f"{i:06d}", dt.date(y, 1, 1 + d), y, float(i)) for i in range(40) for y in (2022, 2023, 2024) for d in range(3)]
+    laid = spark.createDataFrame(rows, "code string, date date, year int, close double").repartitionByRange(4, "code")
+    path = f"{tmp_path}/years"
+    sinks.write_partitioned(laid, path, laid_out=True)
+    spans = {}
+    for file in Path(path).rglob("year=2023/*.parquet"):
+        codes = [r["code"] for r in spark.read.parquet(str(file)).collect()]
+        assert codes == sorted(codes)
+        spans[codes[0]] = codes[-1]
+    ends = sorted(spans.items())
+    assert len(ends) == 4 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))  # each task wrote its own codes
+    sinks.write_partitioned(laid.where("year = 2023").withColumn("close", -laid["close"]), path, laid_out=True)
+    got = sorted((r["code"], r["date"], r["year"], r["close"]) for r in spark.read.parquet(path).collect())
+    assert got == sorted((c, d, y, -v if y == 2023 else v) for c, d, y, v in rows)
+
+
+def test_partitioned_query_keeps_no_shuffle_and_no_bars(spark):
+    from barloom.plans import source_queries as sq
+    from barloom.session import folders, shared_dir
+
+    before = set(folders(spark, shared_dir(spark)))
+    assert sq.write_partitioned(spark, "/root/testdata/sf0.001").count() > 0
+    assert len([f for f in set(folders(spark, shared_dir(spark))) - before if "/years-" in f or "/bars-" in f]) == 1
